@@ -20,7 +20,7 @@ STRIP = " \t\n\x0b\x0c\r"
 class RepetitionRules:
     """Most of a text's word characters that may lie inside n-grams found twice or more, by n; and inside repeated lines."""
 
-    ngram_chars: dict[int, float] = field(default_factory=lambda: {4: 0.55, 5: 0.45, 6: 0.40, 8: 0.30, 10: 0.26})
+    ngram_chars: dict[int, float] = field(default_factory=lambda: {3: 0.60, 4: 0.55, 5: 0.50, 6: 0.45, 8: 0.40, 10: 0.35})
     line_chars: float = 0.30
     min_words: int = 20
     max_repeat_words_pct: int = 30
