@@ -67,7 +67,9 @@ def sanitise(docs: DataFrame, radius: int = 60, min_support: int = 3, generalise
     line of any frequency makes rows in proportion to its occurrences.
     """
     keep = without(docs, ["pii", "sanitised", "_text", "_base", "_row", "_found"])
-    work = staged(keep.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("_base", base_spans(F.col("_text"))).withColumn("_row", F.monotonically_increasing_id()))
+    keep = keep.withColumn(text, F.col(text).cast("string"))
+    marks = staged(keep.withColumn("_base", base_spans(F.coalesce(F.col(text), F.lit("")))).withColumn("_row", F.monotonically_increasing_id()))
+    work = marks.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     hits = work.filter(F.size("_base") > 0)
 
     # windows of each entity occurrence
