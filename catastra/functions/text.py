@@ -68,12 +68,13 @@ def clean_number(raw: Column) -> Column:
 
 def parse_price(text: Column) -> Column:
     """C-07: struct(price, currency): soles, else dollars, else a bare number of at least 1000."""
-    pen = clean_number(blank_to_null(F.regexp_extract(text, r"(?i)(?:S\s*/\s*\.?|soles)\s*([\d.,\s]+)", 1)))
-    usd = clean_number(blank_to_null(F.regexp_extract(text, r"(?i)(?:US\s*\$|\$|USD|U\$)\s*([\d.,\s]+)", 1)))
-    bare = clean_number(blank_to_null(F.regexp_extract(text, r"(?<![\w$,.])(\d{3,8}(?:[.,]\d{1,3})?)", 1)))
-    bare = F.when(bare >= 1000, bare)
+    found = lambda p: blank_to_null(F.regexp_extract(text, p, 1))
+    pen, usd = found(r"(?i)(?:S\s*/\s*\.?|soles)\s*(\d[\d.,\s]*)"), found(r"(?i)(?:US\s*\$|\$|USD|U\$)\s*(\d[\d.,\s]*)")
+    bare = found(r"(?<![\w$,.])(\d{3,8}(?:[.,]\d{1,3})?)")
     currency = F.when(pen.isNotNull(), "PEN").when(usd.isNotNull(), "USD").when(bare.isNotNull(), "(no indicado)").otherwise("")
-    return F.struct(F.coalesce(pen, usd, bare).alias("price"), currency.alias("currency"))
+    # one number is read, so that the expression stays small
+    some = F.filter(F.array(F.struct(clean_number(F.coalesce(pen, usd, bare)).alias("price"), currency.alias("currency"))), lambda x: (x["currency"] != "(no indicado)") | (x["price"] >= 1000))
+    return F.coalesce(F.get(some, F.lit(0)), F.struct(F.lit(None).cast("double").alias("price"), F.lit("").alias("currency")))
 
 
 def area_m2(text: Column) -> Column:

@@ -69,3 +69,23 @@ def best_link(candidates: DataFrame, key: str, url: Column, position: str, bonus
     score = sum((F.when(test, points).otherwise(0) for test, points in bonus), F.lit(0))
     best = F.max(F.struct(score.alias("score"), (-F.col(position)).alias("p"), url.alias("url"))).alias("b")
     return candidates.groupBy(key).agg(best).select(key, F.col("b.url").alias("url"), F.col("b.score").alias("score"), (-F.col("b.p")).alias(position))
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, radius_m: float, most: int) -> DataFrame:
+    """X-01: (id, other, metres, rank): of each left place the `most` nearest right ones within the radius.
+
+    Places are put in cells as wide as the radius; a left one is sent to its own and the eight cells around it, so the
+    join is on equal cells. Longitude cells are as wide as at 60 degrees.
+    """
+    from pyspark.sql.window import Window
+
+    step = radius_m / 111_000.0
+    cell = lambda c, s: F.floor(F.col(c) / s)
+    around = F.explode(F.array(*[F.struct((cell("lat", step) + i).alias("y"), (cell("lon", 2 * step) + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    a = left.select(F.col(key).alias("id"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), around.alias("c")).select("id", "lat1", "lon1", "c.*")
+    b = right.select(F.col(key).alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), cell("lat", step).alias("y"), cell("lon", 2 * step).alias("x"))
+    half = lambda p, q: F.pow(F.sin(F.radians(F.col(q) - F.col(p)) / 2), 2)
+    metres = 2 * 6371008.8 * F.asin(F.sqrt(half("lat1", "lat2") + F.cos(F.radians("lat1")) * F.cos(F.radians("lat2")) * half("lon1", "lon2")))
+    pairs = a.join(b, ["y", "x"]).filter("id != other").select("id", "other", metres.alias("metres")).filter(F.col("metres") <= radius_m)
+    order = Window.partitionBy("id").orderBy(F.round("metres", 3), "other")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)

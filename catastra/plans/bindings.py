@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from catastra.functions import rules, text
 from catastra.operators import history, html, linkage, records, research, resolve
 from catastra.operators import search as listing
+from catastra.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -476,7 +477,8 @@ TOKENS = r"list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')
 
 
 @bound(f"""
-with d as (select doc_id, unnest({TOKENS}) as t, len({TOKENS}) as n from documents), b as (select item_id, unnest({TOKENS}) as t, len({TOKENS}) as n from benchmark),
+with dd as materialized (select doc_id, {TOKENS} as w from documents), bb as materialized (select item_id, {TOKENS} as w from benchmark),
+d as (select doc_id, unnest(w) as t, len(w) as n from dd), b as (select item_id, unnest(w) as t, len(w) as n from bb),
 s as (select doc_id, item_id, count(*) / min(least(d.n, b.n)) as ratio from d join b using (t) group by 1, 2)
 select doc_id, arg_max(item_id, (ratio, -item_id)) as item_id, round(max(ratio), 6) as ratio from s where ratio >= 0.5 group by 1""")
 def token_overlap_link(spark, d):
@@ -581,3 +583,52 @@ select event_id, k, case when k is null then '{}' else '{"k":"' || k || '"}' end
 def json_fields(spark, d):
     """S-05, C-17, C-39: a JSON path, and the object in canonical form."""
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), text.canonical_json(F.col("props")).alias("canonical"))
+
+
+# ---- streams ---------------------------------------------------------------------------------------------------------
+
+
+@bound("select user_id, event_type, count(*) as n from events group by 1, 2")
+def stream_totals(spark, d):
+    """R-01, R-02, R-03: micro-batches aggregated by themselves, then added up: a batch that is run again replaces its own part."""
+    parts = jobs.run_all(jobs.event_stream(spark, d), each=lambda s: s.select("user_id", "event_type"))
+    return parts.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@bound("select distinct user_id, event_type from events")
+def stream_keep_first(spark, d):
+    """R-05, R-07: one row of each key over the whole stream."""
+    first = jobs.keep_first(jobs.event_stream(spark, d), ["user_id", "event_type"], "ts", "60 days")
+    return jobs.run_all(first).select("user_id", "event_type")
+
+
+@bound()
+def stream_task_states(spark, d):
+    """R-06, T-02, T-04: keyed state; tests/test_streaming.py holds it against a fold."""
+    graph = {"signup": ["view", "click"], "view": ["click", "error", "signup"], "click": ["purchase", "view", "error"], "purchase": ["view"], "error": ["view"]}
+    states = jobs.task_states(jobs.event_stream(spark, d).select("user_id", "event_type", "event_id"), "user_id", "event_type", "event_id", graph, "signup", ["error"])
+    return jobs.run_all(states, "update").groupBy("user_id").agg(F.max_by(F.struct("status", "retries", "rejected"), "batch").alias("s")).select("user_id", "s.*")
+
+
+# ---- planned features of the reference (optional) --------------------------------------------------------------------
+
+
+@bound("""
+with m as (select o_orderpriority, avg(o_totalprice) as mean from orders group by 1)
+select o_orderkey, round(o_totalprice / mean, 6) as share from orders join m using (o_orderpriority) where o_totalprice < 0.65 * mean""")
+def price_alert(spark, d):
+    """X-03: a price over 35 % under the mean of its group."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    m = o.groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("mean"))
+    return o.join(m, "o_orderpriority").filter(F.col("o_totalprice") < 0.65 * F.col("mean")).select("o_orderkey", F.round(F.col("o_totalprice") / F.col("mean"), 6).alias("share"))
+
+
+@bound("""
+with g as (select c_custkey, c_acctbal, (c_custkey * 37 % 1000) / 1000.0 as lat, (c_custkey * 91 % 1000) / 1000.0 as lon from customer),
+n as (select a.c_custkey as id, b.c_custkey as other, 2 * 6371008.8 * asin(sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2))) as metres from g a join g b on a.c_custkey <> b.c_custkey and abs(a.lat - b.lat) < 0.03 and abs(a.lon - b.lon) < 0.03 where a.c_custkey % 10 = 0),
+r as (select *, row_number() over (partition by id order by round(metres, 3), other) as rank from n where metres <= 2000)
+select id, other, round(metres, 3) as metres, rank::int as rank from r where rank <= 10""")
+def radius_comparables(spark, d):
+    """X-01: the ten nearest within two kilometres; each place meets only those of its own and the next cells of a grid."""
+    c = table(spark, d, "customer").select("c_custkey", ((F.col("c_custkey") * 37 % 1000) / 1000.0).alias("lat"), ((F.col("c_custkey") * 91 % 1000) / 1000.0).alias("lon"))
+    return linkage.nearest(c.filter("c_custkey % 10 = 0"), c, "c_custkey", 2000.0, 10).select("id", "other", F.round("metres", 3).alias("metres"), "rank")
