@@ -8,25 +8,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, staged, word_hashes, windows
+from .common import WORD, partitions, word_hashes, windows
 
 #: A chunk of documents closes at so many words, a bucket of the count tables holds about so many n-grams.
-CHUNK_WORDS = 2_000_000
-BUCKET_NGRAMS = 2_000_000
+CHUNK_WORDS = 1 << 20
+BUCKET_NGRAMS = 1 << 20
 
-CHUNK = "chunk long, ids array<long>, lengths binary, vocabulary binary, words binary, n long"
+#: Hashes are kept so long that of 2 ** SPARE_BITS n-grams about one shares its hash with another, at any size of corpus (64 bits at most).
+SPARE_BITS = 24
+
+CHUNK = "chunk long, ids array<string>, lengths binary, vocabulary binary, words binary, n long"
 TABLE = "n int, bucket long, chunk long, many long, hashes binary, counts binary"
 TOTALS = "chunk long, n int, bucket long, many long, totals binary"
 
 
 def planes(a: np.ndarray) -> bytes:
-    """The bytes of a, all lowest bytes first: the zeros of the high bytes lie together and compress."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+    """The bytes of a, compressed; all lowest bytes first, so that the zeros of the high bytes lie together."""
+    import zstandard
+
+    if not len(a):
+        return b""
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T), 1)
 
 
 def unplanes(b: bytes, kind) -> np.ndarray:
+    import zstandard
+
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    if not b:
+        return np.empty(0, kind)
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def pack(h: np.ndarray) -> bytes:
@@ -46,7 +57,7 @@ def chunks(docs: DataFrame, id: str, text: str) -> DataFrame:
         h = np.concatenate([np.empty(0, np.uint64), *hashes])
         vocabulary, words = np.unique(h, return_inverse=True)
         row = [[number], [ids], [planes(np.fromiter(map(len, hashes), np.int32, len(hashes)))], [pack(vocabulary)], [planes(words.astype(np.uint32))], [len(h)]]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+        kinds = [pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["chunk", "ids", "lengths", "vocabulary", "words", "n"])
 
     def cut(batches):
@@ -65,22 +76,22 @@ def chunks(docs: DataFrame, id: str, text: str) -> DataFrame:
         if ids:
             yield pack_chunk(number, ids, hashes)
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, CHUNK)
+    return docs.select(F.col(id).cast("string").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, CHUNK)
 
 
-def ngrams(lengths: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams that end at each word, and whether there is one (none reaches over the start of a document)."""
+def ngrams(lengths: np.ndarray, h: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (the highest `bits`) of the n-grams that end at each word, and whether there is one (none reaches over the start of a document)."""
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else np.empty(0, int)
     at = np.arange(len(h)) - np.repeat(starts, lengths)
     out = np.zeros(len(h), np.uint64)
     if len(h) >= n:
-        out[n - 1 :] = windows(h, n) * np.uint64(2 * n + 1)  # so that a unigram's hash is no bigram's
-    return out, at >= n - 1
+        out[n - 1 :] = windows(h, n)
+    return out >> np.uint64(64 - bits), at >= n - 1
 
 
-def cuts(u: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def cuts(u: np.ndarray, buckets: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of sorted hashes, and where each bucket begins."""
-    b = ((u >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    b = ((u >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
     return np.unique(b, return_index=True)
 
 
@@ -91,30 +102,34 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_coun
     (1 for single words), times alpha for each word that the context was shortened by; S(w) is count(w) over all
     words. Counts come from all texts of docs; contexts do not reach over the start of a text.
 
-    Words and n-grams are 64-bit hashes. Each chunk of documents sends every n-gram that it holds once, with its count,
+    Words are 64-bit hashes, n-grams hashes of a length that grows with the corpus (see SPARE_BITS). Each chunk of documents sends every n-gram that it holds once, with its count,
     to the bucket of its hash; the buckets add the counts up, and send to each chunk the totals it asked for; the chunk
     looks its documents' n-grams up and sums. So a frequent n-gram costs one entry a chunk, never one an occurrence.
 
     Null and empty texts have n_words 0 and null scores. Repeated rows count and are scored as often as they occur.
-    Ids that are not whole numbers become null. Other columns do not matter.
+    Ids are of any type that text casts to. Other columns do not matter.
     """
     spark = docs.sparkSession
-    table = staged(chunks(docs, id, text))
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(2 * partitions(spark), -(-int(total) // BUCKET_NGRAMS))
+    total = int(docs.agg(F.coalesce(F.sum(F.regexp_count(F.col(text).cast("string"), F.lit(WORD))), F.lit(0))).first()[0])
+    buckets = max(2 * partitions(spark), -(-total // BUCKET_NGRAMS))
+    bits = min(64, max(32, (total * order).bit_length() + SPARE_BITS))
+    # one exchange, which both the counting and the scoring read
+    table = chunks(docs, id, text).repartition(partitions(spark), "chunk")
 
     def send(frames):
         for pdf in frames:
             for c in pdf.itertuples(index=False):
                 lengths, h = unplanes(c.lengths, np.int32), unpack(c.vocabulary)[unplanes(c.words, np.uint32)]
-                out = []
                 for n in range(1, order + 1):
-                    g, there = ngrams(lengths, h, n)
+                    out = []
+                    g, there = ngrams(lengths, h, n, bits)
                     u, counts = np.unique(g[there], return_counts=True)
-                    b, at = cuts(u, buckets)
+                    if not len(u):
+                        continue
+                    b, at = cuts(u, buckets, bits)
                     for k, lo, hi in zip(b, at, [*at[1:], len(u)], strict=True):
                         out.append((n, int(k), c.chunk, hi - lo, pack(u[lo:hi]), planes(counts[lo:hi].astype(np.int64))))
-                yield pd.DataFrame(out, columns=["n", "bucket", "chunk", "many", "hashes", "counts"])
+                    yield pd.DataFrame(out, columns=["n", "bucket", "chunk", "many", "hashes", "counts"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         u, which = np.unique(np.concatenate([unpack(x) for x in pdf.hashes]), return_inverse=True)
@@ -129,7 +144,7 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_coun
         right = right.sort_values(["n", "bucket"])
         count = []
         for n in range(1, order + 1):
-            g, there = ngrams(lengths, h, n)
+            g, there = ngrams(lengths, h, n, bits)
             u, which = np.unique(g[there], return_inverse=True)
             mine = right[right.n == n]
             totals = np.concatenate([np.empty(0, np.int64), *[unplanes(x, np.int64) for x in mine.totals]])
@@ -150,19 +165,19 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_coun
         sums = np.zeros(len(lengths))
         np.add.at(sums, np.repeat(np.arange(len(lengths)), lengths), s)
         some = lengths > 0
-        ids = pd.array([None if x is None or x != x else int(x) for x in c.ids], dtype="Int64")
-        return pd.DataFrame({"id": ids, "n_words": lengths.astype(np.int64), "log_score": np.where(some, sums, np.nan), "mean_log_score": np.where(some, sums / np.maximum(lengths, 1), np.nan)})
+        return pd.DataFrame({"id": c.ids, "n_words": lengths.astype(np.int64), "log_score": np.where(some, sums, np.nan), "mean_log_score": np.where(some, sums / np.maximum(lengths, 1), np.nan)})
 
-    sent = table.select("chunk", "lengths", "vocabulary", "words").mapInPandas(send, TABLE)
+    sent = table.mapInPandas(send, TABLE)  # of all columns: with fewer, the exchange would be another
     totals = sent.groupBy("n", "bucket").applyInPandas(add, TOTALS)
-    out = table.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInPandas(score, "id long, n_words long, log_score double, mean_log_score double")
+    out = table.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInPandas(score, "id string, n_words long, log_score double, mean_log_score double")
     blank = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    return out.select(F.col("id").alias(id), "n_words", blank("log_score"), blank("mean_log_score"))
+    return out.select(F.col("id").cast(docs.schema[id].dataType).alias(id), "n_words", blank("log_score"), blank("mean_log_score"))
 
 
 def oracle(order: int = 3, alpha: float = 0.4, min_count: int = 2) -> str:
     """DuckDB SQL for backoff_scores over documents."""
-    grams = [f"case when i >= {n} then array_to_string(list_slice(w, i - {n - 1}, i), ' ') end as g{n}" for n in range(1, order + 1)]
+    back = lambda k: f"lag(g1, {k}) over w" if k else "g1"
+    grams = [f"""case when i >= {n} then {" || ' ' || ".join(back(k) for k in range(n - 1, -1, -1))} end as g{n}""" for n in range(2, order + 1)]
     case, left = "", []
     for n in range(order, 1, -1):
         case += f"when c{n} >= {min_count} then ln(c{n}) - ln(p{n - 1}) + (least({order}, i) - {n}) * ln({alpha}) "
@@ -172,8 +187,8 @@ def oracle(order: int = 3, alpha: float = 0.4, min_count: int = 2) -> str:
     lags = ", ".join(f"lag(c{n}) over (partition by rid order by i) as p{n}" for n in range(1, order))
     return rf"""
 with words as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
-placed as (select rid, doc_id, w, unnest(range(1, len(w) + 1)) as i from words),
-pos as (select rid, doc_id, i, {", ".join(grams)} from placed),
+placed as (select rid, doc_id, unnest(w) as g1, generate_subscripts(w, 1) as i from words),
+pos as (select rid, doc_id, i, {", ".join(["g1", *grams])} from placed window w as (partition by rid order by i)),
 counted as (select pos.rid, pos.doc_id, pos.i, {cols} from pos {joins}),
 lagged as (select *, {lags} from counted),
 scored as (select rid, case {case} else ln(c1) - ln((select count(*) from pos)) + (least({order}, i) - 1) * ln({alpha}) end as s from lagged),
