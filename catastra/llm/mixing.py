@@ -32,9 +32,9 @@ def rates(docs: DataFrame, source: str, text: str, weights: dict[str, float] | N
         raw = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]), F.col("_source")), F.lit(0.0)) if weights else F.lit(0.0)
         raw = F.floor(raw * 1e12)
     sizes = staged(sizes.withColumn("_raw", raw.cast("long")))
-    whole = sizes.agg(F.sum("_bytes").alias("_all"), F.sum("_raw").alias("_sum"))  # one row
-    rate = F.round(F.lit(epochs) * F.col("_all") * (F.col("_raw") / F.col("_sum")) / F.col("_bytes"), 9)
-    out = sizes.join(F.broadcast(whole)).withColumn("_rate", F.coalesce(F.when(F.col("_sum") > 0, rate), F.lit(0.0)))
+    all_, sum_ = sizes.agg(F.coalesce(F.sum("_bytes"), F.lit(0)), F.coalesce(F.sum("_raw"), F.lit(0))).first()  # two numbers
+    rate = F.round(F.lit(epochs) * F.lit(all_) * (F.col("_raw") / F.lit(max(sum_, 1))) / F.col("_bytes"), 9)
+    out = sizes.withColumn("_rate", rate)
     out = out.withColumn("_draws", F.greatest(F.lit(1), F.ceil(F.col("_rate") / MEAN_AT_ONCE)).cast("int")).withColumn("_mean", F.col("_rate") / F.col("_draws"))
     first = F.struct(F.exp(-F.col("_mean")).alias("p"), F.array(F.exp(-F.col("_mean"))).alias("c"))
 

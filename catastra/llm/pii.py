@@ -90,10 +90,10 @@ def sanitise(docs: DataFrame, radius: int = 60, min_support: int = 3, generalise
     pairs = windows.select("entity", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= min_support)
     corpus = work.select(F.explode(F.regexp_extract_all("_text", F.lit(TERM), 0)).alias("term")).groupBy(F.lower("term").alias("term")).agg(F.count(F.lit(1)).alias("n_t"))
     corpus = staged(corpus)
-    total = corpus.agg(F.coalesce(F.sum("n_t"), F.lit(0)).alias("n"))  # one row
-    p_e = F.col("n_e") / F.greatest(F.col("n"), F.col("n_e") + 1)
+    total = corpus.agg(F.coalesce(F.sum("n_t"), F.lit(0))).first()[0]  # one number
+    p_e = F.col("n_e") / F.greatest(F.lit(total), F.col("n_e") + 1)
     ratio = 1 + F.log(F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))) / -F.log(p_e)
-    telling = pairs.join(corpus, "term").join(occurrences, "entity").join(F.broadcast(total)).withColumn("ratio", ratio).filter(F.col("ratio") >= generalise).select("entity", "term", F.when(F.col("ratio") >= remove, 5).otherwise(4).alias("k"))
+    telling = pairs.join(corpus, "term").join(occurrences, "entity").withColumn("ratio", ratio).filter(F.col("ratio") >= generalise).select("entity", "term", F.when(F.col("ratio") >= remove, 5).otherwise(4).alias("k"))
 
     each = windows.select("_row", "entity", F.explode("terms").alias("t")).select("_row", "entity", "t.*")
     found = each.join(telling, ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("k").alias("k"))
