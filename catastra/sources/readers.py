@@ -39,8 +39,7 @@ def by_link(bronze: DataFrame, link: str, prefix: str | None = None) -> DataFram
 
 def with_default(rows: DataFrame, default: DataFrame) -> DataFrame:
     """S-16: rows, or the default where there are none."""
-    none = rows.limit(1).agg((F.count(F.lit(1)) == 0).alias("_none"))
-    return rows.unionByName(default.join(F.broadcast(none)).filter("_none").drop("_none"))
+    return default if rows.isEmpty() else rows
 
 
 @dataclass(frozen=True)
