@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, windows, without
+from .common import BLANK, WORD, windows, without
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -105,3 +105,25 @@ def keep_quality(docs: DataFrame, text: str = "text", rules: RepetitionRules | N
         return pd.Series([measure(t, rules)[6] for t in texts], dtype=bool)
 
     return docs.filter(ok(F.col(text).cast("string")))
+
+
+def oracle(rules: RepetitionRules | None = None) -> str:
+    """DuckDB SQL for repetition_quality over documents."""
+    rules = rules or RepetitionRules()
+    lengths = sorted({*rules.ngram_chars, rules.base_window})
+    window = lambda n: " || ' ' || ".join("g" if k == 0 else f"lead(g, {k}) over w" for k in range(n))
+    shares = {n: f"coalesce(a.c{n} / a.chars, 0.0)" for n in rules.ngram_chars}
+    return rf"""
+with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+words as (select rid, unnest(w) as g, generate_subscripts(w, 1) as i from (select rid, regexp_extract_all(t, '{WORD}') as w from docs)),
+grams as (select rid, i, length(g) as n_chars, {", ".join(f"{window(n)} as g{n}" for n in lengths)} from words window w as (partition by rid order by i)),
+twice as (select rid, i, n_chars, {", ".join(f"g{n} is not null and count(*) over (partition by rid, g{n}) > 1 as d{n}" for n in lengths)} from grams),
+inside as (select rid, n_chars, {", ".join(f"bool_or(d{n}) over (partition by rid order by i rows between {n - 1} preceding and current row) as x{n}" for n in lengths)} from twice),
+a as (select rid, count(*) as n_words, sum(n_chars)::bigint as chars, count(*) filter (where x{rules.base_window}) as repeats, {", ".join(f"coalesce(sum(n_chars) filter (where x{n}), 0)::double as c{n}" for n in rules.ngram_chars)} from inside group by rid),
+lines as (select rid, unnest(string_split(t, chr(10))) as line from docs),
+full_lines as (select rid, line from lines where regexp_matches(line, '{WORD}')),
+l as (select rid, count(*) - count(distinct line) as dups, (sum(length(line)) - (select sum(length(x)) from (select distinct unnest(list(line)) as x)))::double / sum(length(line)) as share from full_lines group by rid),
+m as (select d.doc_id, coalesce(a.n_words, 0)::bigint as n_words, coalesce(a.chars, 0)::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(l.dups, 0)::bigint as n_dup_lines,
+  coalesce(a.repeats, 0)::bigint as n_repeat_words, coalesce(a.n_words, 0) < {rules.min_words} or 100 * a.repeats > {rules.max_repeat_words_pct} * a.n_words as base_failed, coalesce(l.share, 0.0)::double as dup_line_share,
+  greatest({", ".join(shares.values())})::double as max_ngram_share, {" or ".join(f"{s} > {rules.ngram_chars[n]}" for n, s in shares.items())} as bad from docs d left join a using (rid) left join l using (rid))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and dup_line_share <= {rules.line_chars} and not bad as kept, dup_line_share, max_ngram_share from m"""

@@ -75,7 +75,7 @@ def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op3_mixing, op4_lm_scores, op5_simhash, op6_token_counts, op7_decontamination, op8_sharding, op9_pii, op10_quotations)}
-ORACLE = {"op3_mixing": mixing.oracle(), "op4_lm_scores": lm.oracle(), "op8_sharding": sharding.oracle()}
+ORACLE = {"op1_quality": quality.oracle(), "op3_mixing": mixing.oracle(), "op4_lm_scores": lm.oracle(), "op8_sharding": sharding.oracle()}
 
 
 def tokenizer_there() -> bool:
