@@ -76,6 +76,10 @@ def windows(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: Names that running_totals uses; columns of its input by these names are dropped.
+INTERNAL = ["__pid", "__at", "__nth", "_base", "_first", "_before", "_rank"]
+
+
 def running_totals(df: DataFrame, order: list[str], value: str) -> tuple[DataFrame, int, int]:
     """df in the order given, with `_before` (sum of `value` over all earlier rows) and `_rank` (number of earlier rows); the grand total and count.
 
@@ -85,8 +89,8 @@ def running_totals(df: DataFrame, order: list[str], value: str) -> tuple[DataFra
     """
     spark = df.sparkSession
     n = max(1, partitions(spark))
-    keep = without(df, ["_pid", "_at", "_nth", "_before", "_rank"])
-    schema = T.StructType([*keep.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_at", T.LongType()), T.StructField("_nth", T.LongType())])
+    keep = without(df, INTERNAL)
+    schema = T.StructType([*keep.schema.fields, T.StructField("__pid", T.IntegerType()), T.StructField("__at", T.LongType()), T.StructField("__nth", T.LongType())])
     slot = keep.columns.index(value)
 
     def run(batches):
@@ -98,17 +102,17 @@ def running_totals(df: DataFrame, order: list[str], value: str) -> tuple[DataFra
             size = np.asarray(b.column(slot).fill_null(0), np.int64)
             ends = np.cumsum(size)
             at = ends - size + total
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(size), pid, np.int32)), pa.array(at), pa.array(np.arange(seen, seen + len(size)))], names=[*b.schema.names, "_pid", "_at", "_nth"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(size), pid, np.int32)), pa.array(at), pa.array(np.arange(seen, seen + len(size)))], names=[*b.schema.names, "__pid", "__at", "__nth"])
             total, seen = total + int(size.sum()), seen + len(size)
 
     keys = [F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in order]
     rows = staged(keep.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema))
-    totals = sorted(tuple(r) for r in rows.groupBy("_pid").agg(F.sum(F.coalesce(F.col(value), F.lit(0))).cast("long"), F.count(F.lit(1))).collect())  # a row for each partition
+    totals = sorted(tuple(r) for r in rows.groupBy("__pid").agg(F.sum(F.coalesce(F.col(value), F.lit(0))).cast("long"), F.count(F.lit(1))).collect())  # a row for each partition
     offsets, total, count = [], 0, 0
     for pid, size, many in totals:
         offsets.append((pid, total, count))
         total, count = total + size, count + many
-    small = spark.createDataFrame(offsets, "_pid int, _base long, _first long")
-    joined = rows.join(F.broadcast(small), "_pid")
-    out = joined.select(*keep.columns, (F.col("_at") + F.col("_base")).alias("_before"), (F.col("_nth") + F.col("_first")).alias("_rank"))
+    small = spark.createDataFrame(offsets, "__pid int, _base long, _first long")
+    joined = rows.join(F.broadcast(small), "__pid")
+    out = joined.select(*keep.columns, (F.col("__at") + F.col("_base")).alias("_before"), (F.col("__nth") + F.col("_first")).alias("_rank"))
     return out, total, count

@@ -9,12 +9,11 @@ from .common import staged
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """(node, label) for each node of links(a, b): the least node that links reach.
+    """(node, label) for each node of links(a, b), of any type that has an order: the least node that links reach.
 
     Alternates large-star and small-star rounds (Kiveris et al. 2014), each a pair of aggregations and joins over the
     links, until the links no longer change: then each points from a node to the least one of its component.
     """
-    spark = links.sparkSession
     edges = staged(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
@@ -29,4 +28,4 @@ def connected(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct() if before else spark.createDataFrame([], "node long, label long")
+    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct() if before else nodes

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_totals, staged, without
+from .common import INTERNAL, running_totals, staged, without
 
 PREFIX = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 WROTE = re.compile(r"[^\n]{0,200}\b(?:wrote|schrieb|écrit|escribió)\s*:\s*$")
@@ -83,7 +83,7 @@ def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: st
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse(t) for t in texts], columns=["own", "units", "quoted"])
 
-    keep = without(messages, ["content", "reply_conversation", "reply_turn", "depth", "thread", "position", "_p"])
+    keep = without(messages, ["content", "reply_conversation", "reply_turn", "depth", "thread", "position", "_p", "_c", "_t", "_one", "_tie", *INTERNAL])
     work = staged(keep.withColumn("_p", of(F.col(text).cast("string"))).withColumn("_c", F.col(conversation)).withColumn("_t", F.col(turn)))
     quoted = staged(work.select("_c", "_t", F.explode("_p.quoted").alias("q")).select("_c", "_t", "q.*").filter("_c is not null and _t is not null").groupBy("_c", "_t", "h").agg(F.max("words").alias("words"), F.min("level").alias("level")))
     wanted = quoted.groupBy("h").agg(F.count(F.lit(1)).alias("quoters"))
@@ -109,8 +109,8 @@ def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: st
             break
     roots = chain.select("_c", "_t", F.col("pc").alias("thread"), "depth")
     out = work.join(links, ["_c", "_t"], "left").join(roots, ["_c", "_t"], "left")
-    out = out.select(*[F.col(f"`{c}`") for c in keep.columns], F.col("_p.own").alias("content"), F.col("pc").alias("reply_conversation"), F.col("pt").alias("reply_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), F.coalesce("thread", "_c").alias("thread"), F.lit(1).cast("long").alias("_one"))
-    ranked, _, _ = running_totals(out, ["thread", conversation, turn, text], "_one")
+    out = out.select(*[F.col(f"`{c}`") for c in keep.columns], F.col("_p.own").alias("content"), F.col("pc").alias("reply_conversation"), F.col("pt").alias("reply_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), F.coalesce("thread", "_c").alias("thread"), F.lit(1).cast("long").alias("_one"), F.xxhash64(text).alias("_tie"))
+    ranked, _, _ = running_totals(out, ["thread", conversation, turn, "_tie"], "_one")
     first = ranked.groupBy("thread").agg(F.min("_rank").alias("_first"))
     joined = ranked.join(first, ranked.thread.eqNullSafe(first.thread)).drop(first.thread)
     return joined.select(*[F.col(f"`{c}`") for c in keep.columns], "content", "reply_conversation", "reply_turn", "depth", "thread", (F.col("_rank") - F.col("_first")).alias("position"))

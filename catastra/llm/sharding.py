@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_totals, without
+from .common import INTERNAL, running_totals, without
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with size (UTF-8 bytes of the text and one more), shard (0 to shards - 1) and slot (0, 1, ... in each shard).
 
-    Rows stand in order of id (nulls first), then text. The bytes before a row, over the whole table, say which of the
+    Rows stand in order of id (nulls first), rows of one id by a hash of their texts (no text is a sort key: the driver
+    samples those). The bytes before a row, over the whole table, say which of the
     equal stretches of the total it begins in; so shards are contiguous, and differ from an equal share by less than
     the largest row. Null and empty texts have size 1; rows that are alike in id and text may stand either way round.
     An empty table gives an empty result; a shard may stay empty where rows are larger than a share. Columns of docs
-    named size, shard or slot are replaced.
+    named size, shard or slot are replaced, and those named like INTERNAL dropped.
     """
-    names = without(docs, ["size", "shard", "slot"]).columns
-    sized = docs.select(*[F.col(f"`{c}`") for c in names], (F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))) + 1).cast("long").alias("size"))
-    placed, total, _ = running_totals(sized, [id, text], "size")
+    names = without(docs, ["size", "shard", "slot", "_tie", "_start", *INTERNAL]).columns
+    sized = docs.select(*[F.col(f"`{c}`") for c in names], (F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))) + 1).cast("long").alias("size"), F.xxhash64(text).alias("_tie"))
+    placed, total, _ = running_totals(sized, [id, "_tie"], "size")
     shard = F.least(F.lit(shards - 1), F.floor(F.col("_before").cast("decimal(38,0)") * shards / F.lit(max(total, 1)))).cast("int")
     placed = placed.withColumn("shard", shard)
     first = placed.groupBy("shard").agg(F.min("_rank").alias("_start"))  # a row for each shard

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,18 @@ BLOCK_TOKENS = 1 << 18
 BLOCKS = "file long, block long, first long, tokens binary"
 
 
+@lru_cache(maxsize=2)
+def encoding_of(vocabulary: str, pattern: str):
+    """The tokenizer, built once in each worker, which many tasks share."""
+    import base64
+
+    import tiktoken
+
+    with open(vocabulary, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def write_flat(docs: DataFrame, vocabulary: str, pattern: str, end_of_document: int, id: str = "doc_id", text: str = "text", dtype: str = "uint16", block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """Texts as flat token files cut into blocks that heed no document, and (file, ordinal, id) of the documents in them.
 
@@ -21,15 +35,10 @@ def write_flat(docs: DataFrame, vocabulary: str, pattern: str, end_of_document:
     """
 
     def encode(batches):
-        import base64
-
         import pyarrow as pa
-        import tiktoken
         from pyspark import TaskContext
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encoding = encoding_of(vocabulary, pattern)
         file, block, first, ordinal = TaskContext.get().partitionId(), 0, 0, 0
         open_, n = [], 0
         schema = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("tokens", pa.binary()), ("ids", pa.list_(pa.int64()))])
