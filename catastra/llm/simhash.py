@@ -79,8 +79,9 @@ def plan(n: int, both: np.ndarray, radius: int) -> list[tuple[list[int], int]]:
     up to radius - groups + 1. They are allotted by dynamic programming over the estimated number of candidates,
     n * n / 2 * P(a group differs in at most t bits), and of probes.
     """
-    p = np.clip(np.diag(both) / max(n, 1), 1e-9, 1 - 1e-9)
-    cov = both / max(n, 1) - np.outer(p, p)
+    n = max(n, 1)  # without rows, too, probes have a cost
+    p = np.clip(np.diag(both) / n, 1e-9, 1 - 1e-9)
+    cov = both / n - np.outer(p, p)
     corr = np.abs(cov / np.sqrt(np.outer(p * (1 - p), p * (1 - p))))
     np.fill_diagonal(corr, -1)
     best = None
