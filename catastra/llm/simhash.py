@@ -16,8 +16,10 @@ from .components import connected
 BITS = 64
 #: A probe row costs about as much as so many comparisons.
 PROBE_COST = 100
-#: Buckets with more rows are split once more by the rest of their bits.
-LARGE_BUCKET = 2_000
+#: A task splits a bucket with more rows by blocks of bits before it compares.
+SPLIT_BUCKET = 2_000
+#: Buckets with more rows are split by the rest of their bits before they go to tasks.
+LARGE_BUCKET = 50_000
 
 
 def fingerprint(text: str | None, n: int = 3, once: bool = False) -> int:
@@ -172,37 +174,48 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def links_of(fp: np.ndarray, group: np.ndarray, radius: int, second: np.ndarray | None = None, radius2: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places: a spanning forest of the pairs that share a group, within `radius` and of `second` within radius2. Rows of a group stand together."""
-    second = np.zeros_like(fp) if second is None else second
+def near_pairs(fp: np.ndarray, group: np.ndarray, radius: int, large: int | None = None):
+    """Places (i, j) of all pairs that share a group and are within `radius`, in arrays. Rows of a group stand together.
+
+    Groups of more than `large` rows are split by each of radius + 1 blocks of bits, one of which any such pair agrees in.
+    """
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     size = np.diff(np.append(first, len(group)))
-    a, b, many, label = [], [], 0, np.arange(len(fp))
-
-    def add(x: np.ndarray, y: np.ndarray) -> None:
-        nonlocal a, b, many, label
-        near = np.bitwise_count(second[x] ^ second[y]) <= radius2
-        a.append(x[near])
-        b.append(y[near])
-        many += int(near.sum())
-        if many > 2_000_000:
-            label = forest(np.concatenate([np.arange(len(fp)), *a]), np.concatenate([label, *b]), len(fp))
-            a, b, many = [], [], 0
-
-    # small groups all at once, a step apart and then more; large ones by blocks of rows against all later rows
+    split = size > large if large else np.zeros(len(size), bool)
+    # small groups all at once, a step apart and then more; others by blocks of rows against all later rows
     small = size <= 48
     left = np.where(np.repeat(small, size), np.repeat(first + size, size) - np.arange(len(group)) - 1, 0)  # rows of the group after each row
     for step in range(1, int(size[small].max(initial=1))):
         at = np.flatnonzero(left >= step)
         near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
-        add(near, near + step)
-    for lo, n in zip(first[~small], size[~small], strict=True):
+        yield near, near + step
+    for lo, n in zip(first[~small & ~split], size[~small & ~split], strict=True):
         x = fp[lo : lo + n]
         rows = max(1, 2_000_000 // int(n))
         for i in range(0, int(n), rows):
             p, q = np.nonzero(np.bitwise_count(x[i : i + rows, None] ^ x[None, i:]) <= radius)
             p, q = p[q > p], q[q > p]
-            add(lo + i + p, lo + i + q)
+            yield lo + i + p, lo + i + q
+    for lo, n in zip(first[split], size[split], strict=True):
+        for k in range(radius + 1):
+            block = fp[lo : lo + n] & np.uint64(mask(range(k, BITS, radius + 1)))
+            order = np.argsort(block)
+            for p, q in near_pairs(fp[lo + order], block[order], radius):
+                yield lo + order[p], lo + order[q]
+
+
+def links_of(fp: np.ndarray, group: np.ndarray, radius: int, second: np.ndarray | None = None, radius2: int = 64, large: int | None = SPLIT_BUCKET) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places: a spanning forest of the near_pairs that are also within radius2 in `second`."""
+    second = np.zeros_like(fp) if second is None else second
+    a, b, many, label = [], [], 0, np.arange(len(fp))
+    for x, y in near_pairs(fp, group, radius, large):
+        near = np.bitwise_count(second[x] ^ second[y]) <= radius2
+        a.append(x[near])
+        b.append(y[near])
+        many += int(near.sum())
+        if many > 2_000_000:
+            label = forest(np.concatenate([np.arange(len(fp)), *a]), np.concatenate([label, *b]), len(fp))
+            a, b, many = [], [], 0
     label = forest(np.concatenate([np.arange(len(fp)), *a]), np.concatenate([label, *b]), len(fp))
     at = np.flatnonzero((label != np.arange(len(fp))) & ((fp != fp[label]) | (second != second[label])))
     return at, label[at]

@@ -105,6 +105,20 @@ def test_all_links_are_found(spark, monkeypatch, radius):
     assert {i: got[f] for i, f in enumerate(fps)} == want
 
 
+@pytest.mark.parametrize(("radius", "large"), [(0, 5), (3, 5), (3, 60), (7, 60), (7, 400)])
+def test_split_buckets_lose_no_pair(radius, large):
+    r = np.random.default_rng(radius + large)
+    centres = r.integers(0, 2**63, 12, dtype=np.uint64)
+    fp = np.array([int(c) ^ sum(1 << int(b) for b in r.choice(64, r.integers(0, 6), replace=False)) for c in centres for _ in range(40)], np.uint64)
+    r.shuffle(fp)
+    group = np.sort(r.integers(0, 3, len(fp)))
+    want = {(i, j) for i in range(len(fp)) for j in range(i + 1, len(fp)) if group[i] == group[j] and (int(fp[i]) ^ int(fp[j])).bit_count() <= radius}
+    assert {(min(i, j), max(i, j)) for x, y in simhash.near_pairs(fp, group, radius, large) for i, j in zip(x.tolist(), y.tolist(), strict=True)} == want
+    a, b = simhash.links_of(fp, group, radius, large=large)
+    whole = components([(int(fp[i]), int(fp[j])) for i, j in want], {int(x) for x in fp})
+    assert components(list(zip(map(int, fp[a]), map(int, fp[b]), strict=True)), whole) == whole
+
+
 def test_plan_is_a_pigeonhole():
     r = np.random.default_rng(0)
     x = r.random((500, 64)) < np.linspace(0.1, 0.9, 64)
