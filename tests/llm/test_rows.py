@@ -15,6 +15,7 @@ from catastra.llm.queries import END_OF_DOCUMENT, PATTERN, QUERIES, VOCABULARY,
 from tests.llm.helpers import WORDS, edges, prose
 
 SF = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"  # the smallest one that holds secrets
 
 
 def plain_quality(text):
@@ -61,9 +62,9 @@ def plain_base(text):
 
 
 def test_secrets_query(spark):
-    want = {r.doc_id: plain_base(r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = {r.doc_id: plain_base(r.text or "") for r in spark.read.parquet(f"{LARGER}/documents.parquet").collect()}
     assert any(want.values())
-    for r in QUERIES["op2_secrets"](spark, SF).collect():
+    for r in QUERIES["op2_secrets"](spark, LARGER).collect():
         base = ",".join(f"{secrets.BASE[k]}:{a}:{b}" for a, k, b in want[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in want[r.doc_id]) for i in range(3))
