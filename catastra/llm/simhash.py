@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, partitions, staged, without
 from .components import connected
+from .similar import similar_classes, with_prefix
 
 BITS = 64
 #: A probe row (6 microseconds to make, deal, sort and read) costs about as much as so many comparisons (5.5 nanoseconds each).
@@ -280,16 +281,18 @@ def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shin
     return fps.join(classes(fps, radius), "fp").select(F.col("id").alias(id), F.col("fp").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 1, radius: int = 7, shingle2: int = 5, radius2: int = 13) -> DataFrame:
-    """docs with only the row of least id of each near-duplicate component; of rows that are alike in id and fingerprints, one.
+def keep_one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with only the row of least id of each near-duplicate component; of rows that are alike in id and shingles, one.
 
-    Two fingerprints tell a pair: of distinct words within `radius`, which candidates come from, and of five-word
-    shingles within radius2, which verifies. Texts of a five-word Jaccard similarity of 0.8 differ in few words, so
-    that about 95 of 100 such pairs (99 of 100 from 0.9 on) are within both, while texts that only share a vocabulary
-    are within neither.
+    Two texts are linked exactly if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; no such
+    pair is missed (see similar.py). Texts without words are alike.
     """
-    work = staged(with_fingerprint(with_fingerprint(without(docs, ["_fp", "_fp2"]), text, "_fp", shingle, once=True), text, "_fp2", shingle2))
-    fps = work.select(F.col(id).alias("id"), F.col("_fp").alias("fp"), F.col("_fp2").alias("fp2"))
-    keepers = fps.join(classes(fps, radius, radius2), ["fp", "fp2"]).filter(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "fp", "fp2").distinct()
-    kept = work.join(keepers, work[id].eqNullSafe(keepers["id"]) & (work["_fp"] == keepers["fp"]) & (work["_fp2"] == keepers["fp2"]), "left_semi")
-    return kept.dropDuplicates([id, "_fp", "_fp2"]).select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("_fp", "_fp2")])
+    inner = ["_fp", "_fp2", "_size", "_prefix", "_node", "_set"]
+    given = [c for c in docs.columns if c.lower() not in ("_fp", "_fp2")]
+    renamed = docs.select(*[F.col(f"`{c}`").alias(f"__{c}" if c.lower() in inner else c) for c in given])
+    work = staged(with_prefix(renamed, text, shingle, similarity).withColumn("_node", F.monotonically_increasing_id()))
+    of = similar_classes(work, id, text, shingle, similarity).select(F.col("_fp").alias("__a"), F.col("_fp2").alias("__b"), "component_id")
+    keepers = work.select(F.col(id).alias("__id"), F.col("_fp").alias("__x"), F.col("_fp2").alias("__y")).join(of, (F.col("__x") == F.col("__a")) & (F.col("__y") == F.col("__b")))
+    keepers = keepers.filter(F.col("__id").eqNullSafe(F.col("component_id"))).select("__id", "__x", "__y").distinct()
+    kept = work.join(keepers, work[id].eqNullSafe(keepers["__id"]) & (work["_fp"] == keepers["__x"]) & (work["_fp2"] == keepers["__y"]), "left_semi")
+    return kept.dropDuplicates([id, "_fp", "_fp2"]).select(*[F.col(f"`__{c}`").alias(c) if c.lower() in inner else F.col(f"`{c}`") for c in given])
