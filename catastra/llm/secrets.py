@@ -17,10 +17,15 @@ from .common import without
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # whole runs; a shorter run holds no longer match
 HEX = re.compile(r"[0-9a-f]{32,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]+)-----END \1-----")
+FRAME = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
+DEK = re.compile(r"(?i:DEK-Info:)[\x20\t]*([A-Za-z0-9-]+),[\x20\t]*([0-9A-Fa-f]+)\s*\Z")
 SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-ANYHEX = re.compile(r"[0-9a-fA-F]{64,}")
+#: 19 and 28 characters are the least that hold `token=` and eight more, the shortest text that confirmed() takes.
+B64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
+ANYHEX = re.compile(r"[0-9a-fA-F]{28,}")
+#: Runs on lines that follow each other.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]++=*+(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++=*+)++")
+PIECE = re.compile(r"[A-Za-z0-9+/_-]+=*")
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "pem_key", "der_key", "ssh_key", "signed_token", "encoded_secret")
@@ -106,21 +111,59 @@ def confirmed(data: bytes | None) -> str | None:
         return "ssh_key"
     if data.isascii():
         plain = data.decode("ascii")
-        if plain.isprintable() and (ACCESS.search(plain) or any(len(m[1]) >= 8 for m in ASSIGN.finditer(plain))):
+        if not plain.translate(BLANKS).isprintable():
+            return None
+        if ACCESS.search(plain) or any(len(m[1]) >= 8 for m in ASSIGN.finditer(plain)) or any(pem_keys(plain)):
             return "encoded_secret"
     return None
 
 
+BLANKS = str.maketrans("\t\r\n", "   ")
+
+
+def pem_keys(text: str):
+    """Places (start, end) of the PEM frames whose body parses as a private key."""
+    begin = None
+    for m in FRAME.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        else:
+            if begin and begin[2] == m[2] and pem_body(text[begin.end() : m.start()]):
+                yield begin.start(), m.end()
+            begin = None
+
+
+def pem_body(body: str) -> bool:
+    raw = unbase64("".join(body.split()))
+    return bool(raw and (der_key(raw) or ssh_key(raw)))
+
+
+def wrapped(text: str):
+    """Places of runs on lines that follow each other and may be one text that a tool has broken: lines of one width, with or without another first line and a shorter last one."""
+    for m in WRAPPED.finditer(text):
+        at = [(p.start(), p.end()) for p in PIECE.finditer(text, m.start(), m.end())]
+        i = 0
+        while i < len(at):
+            j = i
+            while j + 1 < len(at) and at[j + 1][1] - at[j + 1][0] == at[i][1] - at[i][0]:
+                j += 1
+            width = at[i][1] - at[i][0]
+            tail = j + 1 < len(at) and at[j + 1][1] - at[j + 1][0] < width
+            for a in (i - 1, i) if i else (i,):
+                for b in (j, j + 1) if tail else (j,):
+                    if b > a:
+                        yield at[a : b + 1]
+            i = j + 1
+
+
 def find(text: str | None) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) in order."""
     text = text or ""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if "PRIVATE KEY" in text:
-        for m in PEM.finditer(text):
-            if (raw := unbase64("".join(m[2].split()))) and (der_key(raw) or ssh_key(raw)):
-                out.append((m.start(), 3, m.end()))
+    pem = list(pem_keys(text)) if "PRIVATE KEY" in text else []
+    out += [(a, 3, b) for a, b in pem]
     if "eyJ" in text:
         out += [(m.start(), 6, m.end()) for m in SIGNED.finditer(text) if signed(m[0])]
     for m in B64.finditer(text):
@@ -129,6 +172,16 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
     for m in ANYHEX.finditer(text):
         if len(m[0]) % 2 == 0 and (kind := confirmed(bytes.fromhex(m[0]))):
             out.append((m.start(), KINDS.index(kind), m.end()))
+    for lines in wrapped(text):
+        start, end = lines[0][0], lines[-1][1]
+        if any(a <= start and end <= b for a, b in pem):
+            continue
+        run = "".join(text[a:b] for a, b in lines)
+        kind = confirmed(unbase64(run)) if len(run) >= 19 else None
+        if not kind and len(run) >= 28 and len(run) % 2 == 0 and ANYHEX.fullmatch(run):
+            kind = confirmed(bytes.fromhex(run))
+        if kind:
+            out.append((start, KINDS.index(kind), end))
     return sorted(set(out))
 
 
@@ -137,7 +190,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", to: str = "secrets") -> Da
 
     The three base kinds come from patterns alone. All other candidates are decoded (base64 in either alphabet, hex)
     and reported only if what they hold parses: private keys by nested DER or length-prefixed fields that fill the
-    data, signed tokens by a JSON header with an algorithm, encoded text by a base kind inside. Null and empty texts
+    data, signed tokens by a JSON header with an algorithm, encoded text by an assign, an access key or a PEM key
+    inside. Runs that a line break parts are joined too, if their lines are of one width but for the first and last. Null and empty texts
     have no spans. Every row is scanned whole, for itself; a column named like `to` is replaced.
     """
 
