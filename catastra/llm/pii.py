@@ -75,12 +75,13 @@ def sanitise(docs: DataFrame, radius: int = 60, min_support: int = 3, generalise
     # windows of each entity occurrence
     e = hits.select("_row", "_text", F.explode("_base").alias("s"))
     value = F.when(F.col("s.k").isin(2, 3), digits(F.col("s.value"))).otherwise(F.lower("s.value"))
-    lo = F.greatest(F.col("s.start") - radius, F.lit(0).cast("long"))
+    lo = F.greatest(F.col("s.start") - radius - 1, F.lit(0).cast("long"))
     e = e.select("_row", F.concat_ws(":", F.col("s.k").cast("string"), value).alias("entity"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), lo.alias("lo"),
                  F.col("_text").substr((lo + 1).cast("int"), (F.col("s.start") - lo).cast("int")).alias("left"), F.col("_text").substr((F.col("s.end") + 1).cast("int"), F.lit(radius + 1)).alias("right"))
     # a term cut by the window's edge does not count: one more character is read on either side
-    left = F.regexp_replace(F.regexp_extract("left", r"[^\n]*\z", 0), r"^[\p{L}\p{N}]+", "")
-    right = F.regexp_replace(F.regexp_extract("right", r"^[^\n]*", 0), r"[\p{L}\p{N}]+\z", "")
+    cut_off = lambda side: (F.length(side) > radius) & ~F.contains(F.col(side), F.lit("\n"))
+    left = F.when(cut_off("left"), F.regexp_replace("left", r"^[\p{L}\p{N}]+", "")).otherwise(F.regexp_extract("left", r"[^\n]*\z", 0))
+    right = F.when(cut_off("right"), F.regexp_replace("right", r"[\p{L}\p{N}]+\z", "")).otherwise(F.regexp_extract("right", r"^[^\n]*", 0))
     e = staged(e.select("_row", "entity", "start", "end", left.alias("left"), right.alias("right")))
     shifted = lambda side, by: F.transform(spans(F.col(side), TERM, 0), lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), F.lower(s["value"]).alias("term")))
     terms = F.concat(shifted("left", F.col("start") - F.length("left")), shifted("right", F.col("end")))
