@@ -27,15 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="catastra-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="catastra-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def staged(df: DataFrame) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: lineage ends there and later reads prune columns."""
     spark = df.sparkSession
@@ -51,6 +49,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key with fewer rows than this is never split.
+HOT_ROWS = 500
+HOT_SALTS = 64
+
+
+def hot_keys(counts: DataFrame, count: str = "count") -> DataFrame | None:
+    """Of a table of keys with their number of rows, those of very many: BROADCAST_ROWS keys at most, since each has more than its share of all rows."""
+    total, most = counts.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()  # two numbers
+    least = max(HOT_ROWS, -(-int(total) // BROADCAST_ROWS))
+    return counts.filter(F.col(count) > least).drop(count) if most > least else None
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """left joined with right by key, of which right has one row each. Rows of the keys in hot(key) are dealt over HOT_SALTS parts by `spread`, and right's row is repeated for each part."""
+    if hot is None:
+        return left.join(right, key, how)
+    marks = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))  # see hot_keys: a bounded number
+    left = left.join(marks, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(HOT_SALTS))).otherwise(0).cast("int")).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = right.join(marks, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def without(df: DataFrame, names) -> DataFrame:
     """df less the columns that a result of these names would clash with (Spark compares names without case)."""
     lower = {n.lower() for n in names}

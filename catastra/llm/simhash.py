@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import comb, exp, lgamma
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, partitions, staged, without
+from .common import BROADCAST_ROWS, hot_keys, partitions, salted_join, staged, without
 from .components import connected
-from .similar import similar_classes, with_prefix
 
 BITS = 64
 #: A probe row (6 microseconds to make, deal, sort and read) costs about as much as so many comparisons (5.5 nanoseconds each).
@@ -23,8 +22,16 @@ SPLIT_BUCKET = 2_000
 LARGE_BUCKET = 50_000
 
 
-def fingerprint(text: str | None, n: int = 3, once: bool = False) -> int:
-    """Bits that over half of the XXH64 values (seed 42) of the n-word shingles (of each distinct one, if once) have; 0 for a text without words."""
+def majority(h: np.ndarray) -> int:
+    """The 64 bits that over half of the hashes have; 0 without hashes."""
+    total = np.zeros(BITS, np.int64)
+    for lo in range(0, len(h), 65536):
+        total += np.unpackbits(h[lo : lo + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(h)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, n: int = 3) -> int:
+    """Bits that over half of the XXH64 values (seed 42) of the n-word shingles have; 0 for a text without words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z change, only the six blanks part
@@ -37,18 +44,13 @@ def fingerprint(text: str | None, n: int = 3, once: bool = False) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         shingles = [flat[a:b] for a, b in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)]
-    shingles = set(shingles) if once else shingles
-    h = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles))
-    total = np.zeros(BITS, np.int64)
-    for lo in range(0, len(h), 65536):
-        total += np.unpackbits(h[lo : lo + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > len(h)).tobytes(), "big")
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(shingles)))
 
 
-def with_fingerprint(docs: DataFrame, text: str, to: str, shingle: int, once: bool = False) -> DataFrame:
+def with_fingerprint(docs: DataFrame, text: str, to: str, shingle: int) -> DataFrame:
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle, once) for t in texts], np.uint64).view(np.int64))
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
     return docs.withColumn(to, of(F.col(text).cast("string")))
 
@@ -84,7 +86,22 @@ def plan(n: int, both: np.ndarray, radius: int) -> list[tuple[list[int], int]]:
     """
     n = max(n, 1)  # without rows, too, probes have a cost
     p = np.clip(np.diag(both) / n, 1e-9, 1 - 1e-9)
-    cov = both / n - np.outer(p, p)
+    joint = both / n
+    cov = joint - np.outer(p, p)
+    # of two fingerprints drawn at random: whether they differ in a bit, and whether in both of two bits
+    differ = 2 * p * (1 - p)
+    differ2 = 2 * (joint * (1 - p[:, None] - p[None, :] + joint) + (p[:, None] - joint) * (p[None, :] - joint))
+
+    def within(part: list[int], t: int) -> float:
+        """Chance that two fingerprints differ in at most t bits of a group: a beta-binomial law of the same mean and variance, since its bits go together."""
+        k, mean = len(part), float(differ[part].sum())
+        spread = float((differ2[np.ix_(part, part)] - np.outer(differ[part], differ[part])).sum())
+        plain = mean * (1 - mean / k)
+        rho = min(max((spread / plain - 1) / (k - 1), 1e-6), 0.99) if k > 1 and plain > 0 else 1e-6
+        a, b = mean / k * (1 / rho - 1), (1 - mean / k) * (1 / rho - 1)
+        log = lambda j: lgamma(k + 1) - lgamma(j + 1) - lgamma(k - j + 1) + lgamma(j + a) + lgamma(k - j + b) - lgamma(k + a + b) + lgamma(a + b) - lgamma(a) - lgamma(b)
+        return min(1.0, sum(exp(log(j)) for j in range(min(t, k) + 1)))
+
     corr = np.abs(cov / np.sqrt(np.outer(p * (1 - p), p * (1 - p))))
     np.fill_diagonal(corr, -1)
     best = None
@@ -103,14 +120,8 @@ def plan(n: int, both: np.ndarray, radius: int) -> list[tuple[list[int], int]]:
         def cost(part: list[int], t: int) -> float:
             if t < 0:
                 return 0.0
-            d = np.zeros(t + 2)
-            d[0] = 1.0
-            for b in part:
-                x = 2 * p[b] * (1 - p[b])
-                d[1:] = d[1:] * (1 - x) + d[:-1] * x
-                d[0] *= 1 - x
             balls = sum(comb(len(part), k) for k in range(t + 1))
-            return n * n / 2 * float(d[: t + 1].sum()) + PROBE_COST * n * (balls + (t > 0))
+            return n * n / 2 * within(part, t) + PROBE_COST * n * (balls + (t > 0))
 
         states: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for part in parts:
@@ -205,68 +216,80 @@ def near_pairs(fp: np.ndarray, group: np.ndarray, radius: int, large: int | None
                 yield lo + order[p], lo + order[q]
 
 
-def links_of(fp: np.ndarray, group: np.ndarray, radius: int, second: np.ndarray | None = None, radius2: int = 64, large: int | None = SPLIT_BUCKET) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places: a spanning forest of the near_pairs that are also within radius2 in `second`."""
-    second = np.zeros_like(fp) if second is None else second
+def links_of(fp: np.ndarray, group: np.ndarray, radius: int, large: int | None = SPLIT_BUCKET) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places: a spanning forest of the near_pairs."""
     a, b, many, label = [], [], 0, np.arange(len(fp))
     for x, y in near_pairs(fp, group, radius, large):
-        near = np.bitwise_count(second[x] ^ second[y]) <= radius2
-        a.append(x[near])
-        b.append(y[near])
-        many += int(near.sum())
+        a.append(x)
+        b.append(y)
+        many += len(x)
         if many > 2_000_000:
             label = forest(np.concatenate([np.arange(len(fp)), *a]), np.concatenate([label, *b]), len(fp))
             a, b, many = [], [], 0
     label = forest(np.concatenate([np.arange(len(fp)), *a]), np.concatenate([label, *b]), len(fp))
-    at = np.flatnonzero((label != np.arange(len(fp))) & ((fp != fp[label]) | (second != second[label])))
+    at = np.flatnonzero((label != np.arange(len(fp))) & (fp != fp[label]))
     return at, label[at]
 
 
-def near_links(uniq: DataFrame, radius: int = 3, radius2: int | None = None) -> DataFrame:
-    """Links between the distinct rows of uniq(fp), or of uniq(fp, fp2) with radius2: enough to connect all that any link connects.
+def nearest_of(fp: np.ndarray, group: np.ndarray, radius: int, large: int | None = SPLIT_BUCKET) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places: each row and the nearest of the earlier ones near it in its bucket."""
+    best, far = np.full(len(fp), -1), np.full(len(fp), BITS + 1)
+    for x, y in near_pairs(fp, group, radius, large):
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        d = np.bitwise_count(fp[x] ^ fp[y]).astype(np.int64)
+        order = np.lexsort((x, -d))
+        x, y, d = x[order], y[order], d[order]  # of equal y, the last one written is the nearest
+        closer = d < far[y]
+        best[y[closer]], far[y[closer]] = x[closer], d[closer]
+    at = np.flatnonzero(best >= 0)
+    return best[at], at
+
+
+def near_links(uniq: DataFrame, radius: int = 3, nearest: bool = False) -> DataFrame:
+    """Links (a, b) between the distinct rows of uniq(fp): enough to connect all that any link connects.
 
-    Ends are named a and b, and with a second fingerprint a2 and b2 too.
+    With nearest: only pairs that are within the radius, of each fingerprint and bucket that of the nearest earlier one.
     """
     n, both = bit_counts(uniq)
     chosen = plan(n, both, radius)
     rows = refined(probes(uniq, chosen), chosen, radius)
-    keys, two = ["part", "key", "sub", "subkey"], radius2 is not None
+    keys = ["part", "key", "sub", "subkey"]
 
     def link(frames):
-        kept = None
+        kept: list = []
         for pdf in frames:
-            pdf = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
             k = pdf[keys].to_numpy()
-            new = np.concatenate(([True], (k[1:] != k[:-1]).any(1))) if len(k) else np.empty(0, bool)
-            last = int(np.flatnonzero(new)[-1]) if len(k) else 0
-            kept, group = pdf.iloc[last:], np.cumsum(new)[:last]
-            if last:
-                yield frame(pdf.iloc[:last], group)
-        if kept is not None and len(kept):
-            yield frame(kept, np.zeros(len(kept), int))
-
-    def frame(pdf, group):
+            new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(1))))
+            last = int(new[-1])
+            if last or (kept and (kept[-1][keys].iloc[-1].to_numpy() != k[-1]).any()):
+                yield frame(pd.concat([*kept, pdf.iloc[:last]], ignore_index=True))
+                kept = []
+            kept.append(pdf.iloc[last:])
+        if kept:
+            yield frame(pd.concat(kept, ignore_index=True))
+
+    def frame(pdf):
+        k = pdf[keys].to_numpy()
+        group = np.cumsum(np.concatenate(([True], (k[1:] != k[:-1]).any(1)))) if len(k) else np.empty(0, int)
         fp = pdf.fp.to_numpy(np.int64).view(np.uint64)
-        fp2 = pdf.fp2.to_numpy(np.int64).view(np.uint64) if two else None
-        a, b = links_of(fp, group, radius, fp2, radius2 if two else 64)
-        out = {"a": fp[a].view(np.int64), "b": fp[b].view(np.int64)}
-        return pd.DataFrame(out | ({"a2": fp2[a].view(np.int64), "b2": fp2[b].view(np.int64)} if two else {}))
+        a, b = (nearest_of if nearest else links_of)(fp, group, radius)
+        return pd.DataFrame({"a": fp[a].view(np.int64), "b": fp[b].view(np.int64)})
 
     dealt = rows.repartition(partitions(uniq.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.mapInPandas(link, "a long, b long" + ", a2 long, b2 long" * two)
+    return dealt.mapInPandas(link, "a long, b long").distinct()
 
 
-def classes(fps: DataFrame, radius: int = 3, radius2: int | None = None) -> DataFrame:
-    """For each distinct fp (and fp2, with radius2) of fps(id, fp[, fp2]) its component_id: the least id that links reach from it."""
-    names = ["fp"] if radius2 is None else ["fp", "fp2"]
-    node = (lambda *c: F.col(c[0])) if radius2 is None else (lambda *c: F.struct(F.col(c[0]).alias("x"), F.col(c[1]).alias("y")))
-    uniq = staged(fps.groupBy(*names).agg(F.min("id").alias("least")))
-    links = near_links(uniq.select(*names), radius, radius2).select(node("a", "a2").alias("a"), node("b", "b2").alias("b"))
-    labels = connected(staged(links.distinct()))  # only linked ones
-    own = uniq.withColumn("node", node(*names))
-    named = own.join(labels, "node", "left").select(*names, "least", F.coalesce("label", "node").alias("label"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return named.join(least, "label").select(*names, "component_id")
+def classes(fps: DataFrame, radius: int = 3) -> tuple[DataFrame, DataFrame | None]:
+    """For each distinct fp of fps(id, fp) its component_id, the least id that links reach from it; and the fingerprints of very many rows."""
+    uniq = staged(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("count")))
+    labels = connected(staged(near_links(uniq.select("fp"), radius)))  # only linked ones
+    named = uniq.select("fp", "least", F.col("fp").alias("node")).join(labels, "node", "left").select("fp", "least", F.coalesce("label", "node").alias("label"))
+    counts = named.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("count"))
+    counts = staged(counts)
+    of = salted_join(named, counts.drop("count"), "label", "fp", hot=hot_keys(counts.select("label", "count")))
+    return of.select("fp", "component_id"), hot_keys(uniq.select("fp", "count"))
 
 
 def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -278,21 +301,24 @@ def simhash_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", shin
     zero and are linked like any other. Repeated rows stay. Null ids never name a component unless all its ids are null.
     """
     fps = staged(with_fingerprint(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", "fp", shingle).select("id", "fp"))
-    return fps.join(classes(fps, radius), "fp").select(F.col("id").alias(id), F.col("fp").alias("fingerprint"), "component_id")
+    of, hot = classes(fps, radius)
+    return salted_join(fps, of, "fp", "id", hot=hot).select(F.col("id").alias(id), F.col("fp").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with only the row of least id of each near-duplicate component; of rows that are alike in id and shingles, one.
+def keep_one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 7) -> DataFrame:
+    """docs with only one row of each near-duplicate component, that of least id (null ids last).
 
     Two texts are linked exactly if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; no such
-    pair is missed (see similar.py). Texts without words are alike.
+    pair is missed (see similar.py). SimHash fingerprints within `radius` bits propose links first; the radius changes
+    the work only. Texts without words, null ones among them, are alike. Of repeated rows one stays. An empty table
+    stays empty. All columns of docs stay as they are, whatever their names.
     """
-    inner = ["_fp", "_fp2", "_size", "_prefix", "_node", "_set"]
-    given = [c for c in docs.columns if c.lower() not in ("_fp", "_fp2")]
-    renamed = docs.select(*[F.col(f"`{c}`").alias(f"__{c}" if c.lower() in inner else c) for c in given])
-    work = staged(with_prefix(renamed, text, shingle, similarity).withColumn("_node", F.monotonically_increasing_id()))
-    of = similar_classes(work, id, text, shingle, similarity).select(F.col("_fp").alias("__a"), F.col("_fp2").alias("__b"), "component_id")
-    keepers = work.select(F.col(id).alias("__id"), F.col("_fp").alias("__x"), F.col("_fp2").alias("__y")).join(of, (F.col("__x") == F.col("__a")) & (F.col("__y") == F.col("__b")))
-    keepers = keepers.filter(F.col("__id").eqNullSafe(F.col("component_id"))).select("__id", "__x", "__y").distinct()
-    kept = work.join(keepers, work[id].eqNullSafe(keepers["__id"]) & (work["_fp"] == keepers["__x"]) & (work["_fp2"] == keepers["__y"]), "left_semi")
-    return kept.dropDuplicates([id, "_fp", "_fp2"]).select(*[F.col(f"`__{c}`").alias(c) if c.lower() in inner else F.col(f"`{c}`") for c in given])
+    from .similar import similar_classes, with_prefix
+
+    inner = ["_fp", "_fp2", "_size", "_sim", "_prefix", "_node", "_set"]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name of docs can clash
+    lower = [c.lower() for c in docs.columns]
+    id, text = (f"c{lower.index(c.lower())}" for c in (id, text))
+    work = staged(with_prefix(plain, text, shingle, similarity).withColumn("_node", F.monotonically_increasing_id()))
+    kept = work.join(similar_classes(work, id, text, shingle, similarity, radius), "_node", "left_semi")
+    return kept.drop(*inner).toDF(*docs.columns)

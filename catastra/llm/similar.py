@@ -1,4 +1,8 @@
-"""Links between texts by the exact Jaccard similarity of their word shingles: prefix and length filters, then the sets themselves."""
+"""Near-duplicate classes by the exact Jaccard similarity of word shingles.
+
+SimHash fingerprints of the shingles (operator 5: groups of bits, probes) propose most links; each is verified on the sets
+themselves. Prefix, length and place filters then propose what SimHash can't see, among texts that are still apart.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +11,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, partitions, staged, windows, word_hashes
+from .common import BROADCAST_ROWS, hot_keys, partitions, salted_join, staged, windows, word_hashes
 from .components import connected
+from .simhash import majority, near_links, signed
 
 #: All texts up to so many, and a sixteenth of more, show which shingles are frequent. Only the work depends on it.
 SAMPLE = 10_000
 #: So many frequent shingles go to every task.
 FREQUENT = 100_000
-#: Buckets with more rows send out two chains of pairs before all pairs whose texts are still apart.
-CHAINED = 16
+#: A bucket with more rows is cut into blocks of so many, and each pair of blocks goes to a task of its own.
+BLOCK_ROWS = 8_192
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -46,7 +51,7 @@ def frequent(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray
 
 
 def with_prefix(docs: DataFrame, text: str, n: int, similarity: float) -> DataFrame:
-    """docs with _fp and _fp2 (128 bits that name the set of shingles), _size (of the set) and _prefix.
+    """docs with _fp and _fp2 (128 bits that name the set of shingles), _size (of the set), _sim (its SimHash) and _prefix.
 
     The prefix is the first size - least_overlap + 1 shingles, rarest first by one order for all texts: two sets as
     similar as that share a shingle of both prefixes, whatever the order is.
@@ -54,7 +59,7 @@ def with_prefix(docs: DataFrame, text: str, n: int, similarity: float) -> DataFr
     hashes, counts = frequent(docs, text, n)
     sent = docs.sparkSession.sparkContext.broadcast((hashes, counts))
 
-    @F.pandas_udf("struct<a:long,b:long,size:int,prefix:array<long>>")
+    @F.pandas_udf("struct<a:long,b:long,size:int,sim:long,prefix:array<long>>")
     def of(texts: pd.Series) -> pd.DataFrame:
         import xxhash
 
@@ -69,11 +74,12 @@ def with_prefix(docs: DataFrame, text: str, n: int, similarity: float) -> DataFr
                 weight = np.where(known[at] == s, many[at], 0)
             order = np.lexsort((s, weight))
             length = len(s) - int(least_overlap(len(s), similarity)) + 1 if len(s) else 0
-            out.append((int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True), len(s), s[order[:length]].view(np.int64)))
-        return pd.DataFrame(out, columns=["a", "b", "size", "prefix"])
+            sim = signed(majority((s ^ s >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)))
+            out.append((int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True), len(s), sim, s[order[:length]].view(np.int64)))
+        return pd.DataFrame(out, columns=["a", "b", "size", "sim", "prefix"])
 
     k = F.col("_set")
-    return docs.withColumn("_set", of(F.col(text).cast("string"))).select(*docs.columns, k["a"].alias("_fp"), k["b"].alias("_fp2"), k["size"].alias("_size"), k["prefix"].alias("_prefix"))
+    return docs.withColumn("_set", of(F.col(text).cast("string"))).select(*docs.columns, k["a"].alias("_fp"), k["b"].alias("_fp2"), k["size"].alias("_size"), k["sim"].alias("_sim"), k["prefix"].alias("_prefix"))
 
 
 def whole_groups(frames, key: str = "key"):
@@ -104,58 +110,94 @@ def possible(size: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, sim
     return most >= np.ceil(similarity / (1 + similarity) * (size[x] + size[y]) - 1e-9)
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """The rows(key, ...) whose key another row has too."""
-
-    def of(frames):
-        for pdf in whole_groups(frames):
-            first, length = runs(pdf["key"].to_numpy())
-            yield pdf[np.repeat(length > 1, length)]
-
-    dealt = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInPandas(of, rows.schema)
-
-
-def candidates(rows: DataFrame, similarity: float, chain: int | None) -> DataFrame:
+def candidates(rows: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs (a, b) of nodes of rows(key, node, size, at, label) that share a key and not a label, and may be similar.
 
-    With chain, only a row and the next one in its bucket: 0 by size, others in an order that differs between buckets.
+    The rows of a bucket are compared in one task up to BLOCK_ROWS; of a larger one, in order of size, each pair of
+    blocks whose sizes are near enough is compared in a task of its own.
     """
 
+    def pairs(b, x, y):
+        good = (b["label"][x] != b["label"][y]) & possible(b["size"], b["at"], x, y, similarity)
+        x, y = b["node"][x[good]], b["node"][y[good]]
+        return np.stack([np.minimum(x, y), np.maximum(x, y)])
+
+    def frame(found):
+        a, b = np.concatenate([np.empty((2, 0), np.int64), *found], axis=1)
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+    def across(b, xs, ys):
+        """All pairs of places of xs and ys, a stretch of xs at once; of one side (ys is xs), each pair once."""
+        step = max(1, 4_000_000 // len(ys))
+        for i in range(0, len(xs), step):
+            p, q = np.nonzero(b["label"][xs[i : i + step], None] != b["label"][None, ys])
+            if ys is xs:
+                p, q = p[q > p + i], q[q > p + i]
+            yield pairs(b, xs[i + p], ys[q])
+
+    def blocks(b, at):
+        at = at[np.argsort(b["size"][at], kind="stable")]
+        cut = [at[i : i + BLOCK_ROWS] for i in range(0, len(at), BLOCK_ROWS)]
+        one = [len(np.unique(b["label"][c])) == 1 for c in cut]
+        for i, x in enumerate(cut):
+            for j in range(i, len(cut)):
+                y = cut[j]
+                if b["size"][y[0]] * similarity > b["size"][x[-1]]:
+                    break
+                if one[i] and one[j] and b["label"][x[0]] == b["label"][y[0]]:
+                    continue
+                for side, z in enumerate((x, y)[: 1 + (i != j)]):
+                    yield pd.DataFrame({"key": b["key"][z], "cell": i * len(cut) + j, "side": side} | {c: b[c][z] for c in ("node", "size", "at", "label")})
+
+    def arrays(pdf):
+        return {c: pdf[c].to_numpy(np.int64) for c in ("key", "node", "size", "at", "label")}
+
     def of(frames):
         for pdf in whole_groups(frames):
-            key, node, label = (pdf[c].to_numpy(np.int64) for c in ("key", "node", "label"))
-            size, at = pdf["size"].to_numpy(np.int64), pdf["at"].to_numpy(np.int64)
-            if chain is not None:
-                mixed = (node.view(np.uint64) + np.uint64(chain)) * (key.view(np.uint64) | np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
-                order = np.lexsort((node, size, key)) if chain == 0 else np.lexsort((mixed, key))
-                key, node, label, size, at = (v[order] for v in (key, node, label, size, at))
-                x = np.flatnonzero(key[1:] == key[:-1])
-                if chain:
-                    first, length = runs(key)
-                    x = x[np.repeat(length > CHAINED, length)[x]]
-                yield pairs(node, label, size, at, x, x + 1)
+            b = arrays(pdf)
+            if not len(pdf):
                 continue
-            first, length = runs(key)
+            first, length = runs(b["key"])
+            open_ = np.minimum.reduceat(b["label"], first) != np.maximum.reduceat(b["label"], first)
+            b = {c: v[np.repeat(open_, length)] for c, v in b.items()}
+            first, length = runs(b["key"])
             small = length <= 64
-            left = np.where(np.repeat(small, length), np.repeat(first + length, length) - np.arange(len(key)) - 1, 0)
+            left = np.where(np.repeat(small, length), np.repeat(first + length, length) - np.arange(len(b["key"])) - 1, 0)
+            found = []
             for step in range(1, int(length[small].max(initial=1))):
                 x = np.flatnonzero(left >= step)
-                yield pairs(node, label, size, at, x, x + step)
+                found.append(pairs(b, x, x + step))
             for lo, many in zip(first[~small].tolist(), length[~small].tolist(), strict=True):
-                step = max(1, 500_000 // many)
-                for i in range(0, many, step):
-                    x, y = np.nonzero(label[lo + i : lo + min(i + step, many), None] != label[None, lo + i : lo + many])
-                    after = y > x
-                    yield pairs(node, label, size, at, lo + i + x[after], lo + i + y[after])
-
-    def pairs(node, label, size, at, x, y):
-        good = (label[x] != label[y]) & possible(size, at, x, y, similarity)
-        x, y = x[good], y[good]
-        return pd.DataFrame({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])}).drop_duplicates()
-
-    dealt = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInPandas(of, "a long, b long").distinct()
+                at = np.arange(lo, lo + many)
+                if many > BLOCK_ROWS:
+                    yield from blocks(b, at)
+                    continue
+                for some in across(b, at, at):
+                    found.append(some)
+                    if sum(x.shape[1] for x in found) > 1_000_000:
+                        yield frame(found)
+                        found = []
+            yield frame(found)
+
+    def cells(frames):
+        for pdf in whole_groups(frames, "group"):
+            b, side = arrays(pdf), pdf["side"].to_numpy()
+            for lo, many in zip(*runs(pdf["group"].to_numpy()), strict=True):
+                at = np.arange(lo, lo + many)
+                xs, ys = at[side[at] == 0], at[side[at] == 1]
+                for some in across(b, xs, ys if len(ys) else xs) if len(xs) else ():
+                    yield frame([some])
+
+    block = "key long, cell long, side int, node long, size int, at int, label long"
+    n = partitions(rows.sparkSession)
+    found = staged(rows.repartition(n, "key").sortWithinPartitions("key").mapInPandas(lambda f: (x.reindex(columns=PAIR_OR_BLOCK) for x in of(f)), f"a long, b long, {block}"))
+    small = found.filter("a is not null").select("a", "b")
+    large = found.filter("key is not null").select(*[c.split()[0] for c in block.split(", ")], F.xxhash64("key", "cell").alias("group"))
+    split = large.repartition(n, "group").sortWithinPartitions("group").mapInPandas(cells, "a long, b long")
+    return small.unionByName(split).distinct()
+
+
+PAIR_OR_BLOCK = ["a", "b", "key", "cell", "side", "node", "size", "at", "label"]
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -199,8 +241,9 @@ def similar(pairs: DataFrame, docs: DataFrame, text: str, n: int, similarity: fl
         return pd.Series(out, dtype=bool)
 
     def with_both(pairs, *columns):
-        for end in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("_node").alias(end), *[F.col(c).alias(c + end) for c in columns]), end)
+        for end, other in (("a", "b"), ("b", "a")):
+            named = sets.select(F.col("_node").alias(end), *[F.col(c).alias(c + end) for c in columns])
+            pairs = salted_join(pairs, named, end, other, hot=hot_keys(pairs.groupBy(end).count()))
         return pairs
 
     def only(pairs):
@@ -209,26 +252,32 @@ def similar(pairs: DataFrame, docs: DataFrame, text: str, n: int, similarity: fl
 
     sets = staged(docs.select("_node", F.col(text).cast("string").alias("t")).join(only(pairs), "_node", "left_semi").select("_node", packed("t").alias("p")).select("_node", "p.*"))
     left = staged(with_both(pairs, "k", "n").filter(maybe("ka", "kb", "na", "nb")).select("a", "b"))
-    sets = sets.join(only(left), "_node", "left_semi")
     return with_both(left, "s").filter(near("sa", "sb")).select("a", "b")
 
 
-def similar_classes(work: DataFrame, id: str, text: str, n: int, similarity: float) -> DataFrame:
-    """For each distinct (_fp, _fp2) of work(id, text, _fp, _fp2, _size, _prefix, _node) its component_id: the least id that links reach from it.
+def similar_classes(work: DataFrame, id: str, text: str, n: int, similarity: float, radius: int) -> DataFrame:
+    """The _node of one row for each class of work(id, text, _fp, _fp2, _size, _sim, _prefix, _node): of least id (null ids last).
 
-    A link is a pair of sets with that Jaccard similarity. Equal sets are one node, under the least _node of its rows.
-    Chains of pairs join most of a large group first; then all pairs of a bucket whose texts are still apart are judged,
-    so that a chain leaves no pair out.
+    A link is a pair of sets with that Jaccard similarity; classes are what links connect. Equal sets are one node.
+    Pairs that SimHash proposes join most of each group first. Then all pairs of a bucket whose texts are still apart
+    are judged, so that no link between classes is left out.
     """
-    uniq = staged(work.groupBy("_fp", "_fp2").agg(F.min(id).alias("least"), F.min("_node").alias("node")))
-    first = work.select("_node", "_size", "_prefix").join(uniq.select(F.col("node").alias("_node")), "_node", "left_semi")
-    rows = staged(shared(first.select(F.col("_node").alias("node"), F.col("_size").alias("size"), F.posexplode("_prefix").alias("at", "key"))))
+    order = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col("_node").alias("node"))
+    uniq = staged(work.groupBy("_fp", "_fp2").agg(F.min(order).alias("k")).select("k", F.col("k.node").alias("node")))
+    first = staged(work.select(F.col("_node").alias("node"), "_size", "_sim", "_prefix").join(uniq.select("node"), "node", "left_semi"))
     docs = work.select("_node", text)
-    links, labels = None, None
-    for chain in (0, 1, None):
-        now = rows.withColumn("label", F.col("node")) if labels is None else rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        found = similar(staged(candidates(now, similarity, chain)), docs, text, n, similarity)
-        links = staged(found if links is None else found.unionByName(links))
-        labels = staged(connected(links))
-    named = uniq.join(labels, "node", "left").select("_fp", "_fp2", "least", F.coalesce("label", "node").alias("label"))
-    return named.join(named.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("_fp", "_fp2", "component_id")
+
+    sims = staged(first.groupBy("_sim").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("count")))
+    rep = lambda end: sims.select(F.col("_sim").alias(end), F.col("rep").alias(f"{end}_rep"))
+    far = near_links(sims.select(F.col("_sim").alias("fp")), radius, nearest=True).join(rep("a"), "a").join(rep("b"), "b").select("a_rep", "b_rep")
+    same = salted_join(first.select("node", "_sim"), sims.select("_sim", "rep"), "_sim", "node", hot=hot_keys(sims.select("_sim", "count"))).filter("node != rep").select("node", "rep")
+    proposed = far.union(same).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = staged(similar(staged(proposed), docs, text, n, similarity))
+    labels = staged(connected(links))
+
+    rows = first.join(labels, "node", "left").select("node", F.col("_size").alias("size"), F.coalesce("label", "node").alias("label"), F.posexplode("_prefix").alias("at", "key"))
+    more = staged(similar(staged(candidates(rows, similarity)), docs, text, n, similarity))
+    if more.limit(1).count():
+        labels = staged(connected(links.unionByName(more)))
+    named = uniq.join(labels, "node", "left").select("k", F.coalesce("label", "node").alias("label"))
+    return named.groupBy("label").agg(F.min("k").alias("k")).select(F.col("k.node").alias("_node"))

@@ -21,9 +21,9 @@ def plain_kept(texts):
     return {d for d in ids if up[d] == d}
 
 
-@pytest.mark.parametrize("chained", [0, 16])
-def test_pairs_around_the_threshold(spark, monkeypatch, chained):
-    monkeypatch.setattr(similar, "CHAINED", chained)
+@pytest.mark.parametrize(("block", "radius"), [(20, 0), (8_192, 7)])  # 20: buckets are cut, and SimHash proposes next to nothing
+def test_pairs_around_the_threshold(spark, monkeypatch, block, radius):
+    monkeypatch.setattr(similar, "BLOCK_ROWS", block)
     r, texts = random.Random(1), {}
     for i in range(60):
         w = prose(i, r.randint(20, 400)).split()
@@ -35,7 +35,7 @@ def test_pairs_around_the_threshold(spark, monkeypatch, chained):
     texts |= {200 + i: f"{common} {prose(300 + i, r.randint(3, 12))}" for i in range(90)}  # one large group, some of them too far apart
     texts |= {400: "", 401: None, 402: "One two", 403: "one  TWO", 404: "two one"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    assert {x.doc_id for x in simhash.keep_one_of_each(docs).collect()} == plain_kept(texts)
+    assert {x.doc_id for x in simhash.keep_one_of_each(docs, radius=radius).collect()} == plain_kept(texts)
 
 
 def test_exactly_at_the_threshold(spark):
