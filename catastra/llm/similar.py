@@ -19,7 +19,10 @@ from .simhash import majority, near_links, signed
 SAMPLE = 10_000
 #: So many frequent shingles go to every task.
 FREQUENT = 100_000
-#: A bucket with more rows is cut into blocks of so many, and each pair of blocks goes to a task of its own.
+#: Texts that are similar share so many shingles of their prefixes (fewer only if they have fewer).
+SHARED = 3
+#: Buckets with more rows are compared by sketches of the texts, in blocks of at most so many rows.
+SMALL_BUCKET = 64
 BLOCK_ROWS = 8_192
 
 
@@ -53,8 +56,8 @@ def frequent(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray
 def with_prefix(docs: DataFrame, text: str, n: int, similarity: float) -> DataFrame:
     """docs with _fp and _fp2 (128 bits that name the set of shingles), _size (of the set), _sim (its SimHash) and _prefix.
 
-    The prefix is the first size - least_overlap + 1 shingles, rarest first by one order for all texts: two sets as
-    similar as that share a shingle of both prefixes, whatever the order is.
+    The prefix is the first size - least_overlap + SHARED shingles, rarest first by one order for all texts: two sets as
+    similar as that share so many shingles of both prefixes (all they share, if fewer), whatever the order is.
     """
     hashes, counts = frequent(docs, text, n)
     sent = docs.sparkSession.sparkContext.broadcast((hashes, counts))
@@ -73,7 +76,7 @@ def with_prefix(docs: DataFrame, text: str, n: int, similarity: float) -> DataFr
                 at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                 weight = np.where(known[at] == s, many[at], 0)
             order = np.lexsort((s, weight))
-            length = len(s) - int(least_overlap(len(s), similarity)) + 1 if len(s) else 0
+            length = len(s) - int(least_overlap(len(s), similarity)) + SHARED
             sim = signed(majority((s ^ s >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)))
             out.append((int.from_bytes(name[:8], "big", signed=True), int.from_bytes(name[8:], "big", signed=True), len(s), sim, s[order[:length]].view(np.int64)))
         return pd.DataFrame(out, columns=["a", "b", "size", "sim", "prefix"])
@@ -104,53 +107,40 @@ def runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(k)))
 
 
+def needed(size_x: np.ndarray, size_y: np.ndarray, similarity: float) -> np.ndarray:
+    """How many shingles two sets of these sizes share at least, if they are as similar as that."""
+    return np.ceil(similarity / (1 + similarity) * (size_x + size_y) - 1e-9).astype(np.int64)
+
+
 def possible(size: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of these sizes, whose first shared shingle stands at these places, may be similar enough."""
-    most = np.minimum(size[x] - at[x], size[y] - at[y])
-    return most >= np.ceil(similarity / (1 + similarity) * (size[x] + size[y]) - 1e-9)
+    """Whether sets of these sizes, with one of their first SHARED shared shingles at these places, may be similar enough."""
+    return np.minimum(size[x] - at[x], size[y] - at[y]) >= needed(size[x], size[y], similarity) - (SHARED - 1)
 
 
-def candidates(rows: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of rows(key, node, size, at, label) that share a key and not a label, and may be similar.
+COLUMNS = ("key", "node", "size", "at", "label")
+PAIR_OR_BLOCK = "a long, b long, need long, key long, cell long, side int, node long, size int, at int, label long"
+NAMES = [c.split()[0] for c in PAIR_OR_BLOCK.split(", ")]
 
-    The rows of a bucket are compared in one task up to BLOCK_ROWS; of a larger one, in order of size, each pair of
-    blocks whose sizes are near enough is compared in a task of its own.
-    """
 
-    def pairs(b, x, y):
-        good = (b["label"][x] != b["label"][y]) & possible(b["size"], b["at"], x, y, similarity)
-        x, y = b["node"][x[good]], b["node"][y[good]]
-        return np.stack([np.minimum(x, y), np.maximum(x, y)])
+def arrays(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    return {c: pdf[c].to_numpy(np.int64) for c in COLUMNS}
 
-    def frame(found):
-        a, b = np.concatenate([np.empty((2, 0), np.int64), *found], axis=1)
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
-    def across(b, xs, ys):
-        """All pairs of places of xs and ys, a stretch of xs at once; of one side (ys is xs), each pair once."""
-        step = max(1, 4_000_000 // len(ys))
-        for i in range(0, len(xs), step):
-            p, q = np.nonzero(b["label"][xs[i : i + step], None] != b["label"][None, ys])
-            if ys is xs:
-                p, q = p[q > p + i], q[q > p + i]
-            yield pairs(b, xs[i + p], ys[q])
+def bucketed(rows: DataFrame, similarity: float) -> DataFrame:
+    """Of rows(key, node, size, at, label), what stands together under a key and is not of one label: all pairs (a, b, need) of
+    a small bucket that may be similar; the rows of a large one, in order of size and cut into blocks, under each cell (pair of
+    blocks whose sizes are near enough)."""
 
     def blocks(b, at):
         at = at[np.argsort(b["size"][at], kind="stable")]
         cut = [at[i : i + BLOCK_ROWS] for i in range(0, len(at), BLOCK_ROWS)]
-        one = [len(np.unique(b["label"][c])) == 1 for c in cut]
         for i, x in enumerate(cut):
             for j in range(i, len(cut)):
                 y = cut[j]
                 if b["size"][y[0]] * similarity > b["size"][x[-1]]:
                     break
-                if one[i] and one[j] and b["label"][x[0]] == b["label"][y[0]]:
-                    continue
                 for side, z in enumerate((x, y)[: 1 + (i != j)]):
-                    yield pd.DataFrame({"key": b["key"][z], "cell": i * len(cut) + j, "side": side} | {c: b[c][z] for c in ("node", "size", "at", "label")})
-
-    def arrays(pdf):
-        return {c: pdf[c].to_numpy(np.int64) for c in ("key", "node", "size", "at", "label")}
+                    yield pd.DataFrame({"cell": i * len(cut) + j, "side": side} | {c: b[c][z] for c in COLUMNS})
 
     def of(frames):
         for pdf in whole_groups(frames):
@@ -158,46 +148,75 @@ def candidates(rows: DataFrame, similarity: float) -> DataFrame:
             if not len(pdf):
                 continue
             first, length = runs(b["key"])
-            open_ = np.minimum.reduceat(b["label"], first) != np.maximum.reduceat(b["label"], first)
-            b = {c: v[np.repeat(open_, length)] for c, v in b.items()}
+            apart = np.minimum.reduceat(b["label"], first) != np.maximum.reduceat(b["label"], first)
+            b = {c: v[np.repeat(apart, length)] for c, v in b.items()}
             first, length = runs(b["key"])
-            small = length <= 64
+            small = length <= SMALL_BUCKET
             left = np.where(np.repeat(small, length), np.repeat(first + length, length) - np.arange(len(b["key"])) - 1, 0)
-            found = []
+            found = [np.empty((3, 0), np.int64)]
             for step in range(1, int(length[small].max(initial=1))):
                 x = np.flatnonzero(left >= step)
-                found.append(pairs(b, x, x + step))
+                y = x + step
+                good = (b["label"][x] != b["label"][y]) & possible(b["size"], b["at"], x, y, similarity)
+                x, y = x[good], y[good]
+                found.append(np.stack([np.minimum(b["node"][x], b["node"][y]), np.maximum(b["node"][x], b["node"][y]), np.minimum(SHARED, needed(b["size"][x], b["size"][y], similarity))]))
+            yield pd.DataFrame(dict(zip(("a", "b", "need"), np.concatenate(found, axis=1), strict=True)))
             for lo, many in zip(first[~small].tolist(), length[~small].tolist(), strict=True):
-                at = np.arange(lo, lo + many)
-                if many > BLOCK_ROWS:
-                    yield from blocks(b, at)
-                    continue
-                for some in across(b, at, at):
-                    found.append(some)
-                    if sum(x.shape[1] for x in found) > 1_000_000:
-                        yield frame(found)
-                        found = []
-            yield frame(found)
-
-    def cells(frames):
-        for pdf in whole_groups(frames, "group"):
-            b, side = arrays(pdf), pdf["side"].to_numpy()
-            for lo, many in zip(*runs(pdf["group"].to_numpy()), strict=True):
-                at = np.arange(lo, lo + many)
-                xs, ys = at[side[at] == 0], at[side[at] == 1]
-                for some in across(b, xs, ys if len(ys) else xs) if len(xs) else ():
-                    yield frame([some])
+                yield from blocks(b, np.arange(lo, lo + many))
 
-    block = "key long, cell long, side int, node long, size int, at int, label long"
     n = partitions(rows.sparkSession)
-    found = staged(rows.repartition(n, "key").sortWithinPartitions("key").mapInPandas(lambda f: (x.reindex(columns=PAIR_OR_BLOCK) for x in of(f)), f"a long, b long, {block}"))
-    small = found.filter("a is not null").select("a", "b")
-    large = found.filter("key is not null").select(*[c.split()[0] for c in block.split(", ")], F.xxhash64("key", "cell").alias("group"))
-    split = large.repartition(n, "group").sortWithinPartitions("group").mapInPandas(cells, "a long, b long")
-    return small.unionByName(split).distinct()
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInPandas(lambda f: (x.reindex(columns=NAMES) for x in of(f)), PAIR_OR_BLOCK)
+
 
+def compared(cells: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of different labels in the cells of large buckets, of rows with sketches (k), that may be similar by all filters. With nearest, of each row in a cell only its nearest by the sketches."""
 
-PAIR_OR_BLOCK = ["a", "b", "key", "cell", "side", "node", "size", "at", "label"]
+    def of(frames):
+        for pdf in whole_groups(frames, "group"):
+            b, side, k = arrays(pdf), pdf["side"].to_numpy(), pdf["k"].to_numpy()
+            for lo, many in zip(*runs(pdf["group"].to_numpy()), strict=True):
+                at = np.arange(lo, lo + many)
+                xs, ys = at[side[at] == 0], at[side[at] == 1]
+                best, apart = np.full(many, -1), np.full(many, np.iinfo(np.int64).max)
+                for x, y, d in near(b, k, xs, ys if len(ys) else xs):
+                    if not nearest:
+                        yield frame(b, x, y)
+                        continue
+                    for p, q in ((x, y), (y, x)):
+                        order = np.argsort(-d, kind="stable")  # of equal places, the last one written is the nearest
+                        p, q, e = p[order], q[order], d[order]
+                        closer = e < apart[p - lo]
+                        best[p[closer] - lo], apart[p[closer] - lo] = q[closer], e[closer]
+                if nearest:
+                    x = np.flatnonzero(best >= 0)
+                    yield frame(b, lo + x, best[x])
+
+    def frame(b, x, y):
+        return pd.DataFrame({"a": np.minimum(b["node"][x], b["node"][y]), "b": np.maximum(b["node"][x], b["node"][y])}).drop_duplicates()
+
+    def near(b, k, xs, ys):
+        """Places and sketch distances, a stretch of xs and a size of sketches at a time; of one side (ys is xs), each pair once."""
+        sized = lambda at: {n: at[[len(k[i]) == n for i in at]] for n in {len(k[i]) for i in at}}
+        left, right = sized(xs), sized(ys)
+        bits = lambda at, n: np.bitwise_xor.reduce(np.stack([np.frombuffer(k[i], np.uint64) for i in at]).reshape(len(at), -1, n // 8), axis=1)
+        for n, x in left.items():
+            for m, y in right.items():
+                if ys is xs and m < n:
+                    continue
+                p, q = bits(x, min(n, m)), bits(y, min(n, m))
+                step = max(1, 4_000_000 // (len(y) * p.shape[1]))
+                for i in range(0, len(x), step):
+                    z = x[i : i + step]
+                    d = np.bitwise_count(p[i : i + step, None] ^ q[None]).sum(-1, dtype=np.int64)
+                    most = (1 - similarity) / (1 + similarity) * (b["size"][z, None] + b["size"][None, y]) + 1e-9
+                    e, f = np.nonzero((d <= most) & (b["label"][z, None] != b["label"][None, y]))
+                    if ys is xs and m == n:
+                        e, f = e[f > e + i], f[f > e + i]
+                    good = possible(b["size"], b["at"], z[e], y[f], similarity)
+                    yield z[e[good]], y[f[good]], d[e[good], f[good]]
+
+    n = partitions(cells.sparkSession)
+    return cells.repartition(n, "group").sortWithinPartitions("group").mapInPandas(of, "a long, b long").distinct()
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -215,17 +234,25 @@ def sketched(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(np.bitwise_xor.reduce(p.reshape(-1, m)) ^ np.bitwise_xor.reduce(q.reshape(-1, m))).sum())
 
 
+def packed(nodes: DataFrame, docs: DataFrame, text: str, n: int, sets: bool = True) -> DataFrame:
+    """(node, k, n, s) of the distinct nodes(node): the sketch of the text's set, its size and, with sets, the set itself."""
+
+    @F.pandas_udf("struct<k:binary,n:int,s:binary>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        found = [shingles(t, n) for t in texts]
+        return pd.DataFrame({"k": [sketch(x) for x in found], "n": np.array([len(x) for x in found], np.int32), "s": [x.tobytes() if sets else None for x in found]})
+
+    only = staged(nodes.select(F.col("node").alias("_node")).distinct())
+    only = F.broadcast(only) if only.count() <= BROADCAST_ROWS else only
+    return staged(docs.select("_node", F.col(text).cast("string").alias("t")).join(only, "_node", "left_semi").select(F.col("_node").alias("node"), of("t").alias("p")).select("node", "p.*"))
+
+
 def similar(pairs: DataFrame, docs: DataFrame, text: str, n: int, similarity: float) -> DataFrame:
     """The pairs(a, b) of values of docs._node whose sets have that Jaccard similarity or more.
 
     Short sketches, which bound it from above, go to all pairs, and sets to those that are left.
     """
 
-    @F.pandas_udf("struct<s:binary,k:binary,n:int>")
-    def packed(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t, n) for t in texts]
-        return pd.DataFrame({"s": [x.tobytes() for x in sets], "k": [sketch(x) for x in sets], "n": np.array([len(x) for x in sets], np.int32)})
-
     @F.pandas_udf("boolean")
     def maybe(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
         apart = np.array([sketched(x, y) for x, y in zip(a, b, strict=True)], np.int64)
@@ -242,15 +269,11 @@ def similar(pairs: DataFrame, docs: DataFrame, text: str, n: int, similarity: fl
 
     def with_both(pairs, *columns):
         for end, other in (("a", "b"), ("b", "a")):
-            named = sets.select(F.col("_node").alias(end), *[F.col(c).alias(c + end) for c in columns])
-            pairs = salted_join(pairs, named, end, other, hot=hot_keys(pairs.groupBy(end).count()))
+            named = sets.select(F.col("node").alias(end), *[F.col(c).alias(c + end) for c in columns])
+            pairs = salted_join(pairs, named, end, other, hot=hot_keys(pairs.groupBy(end).count()) if end == "a" else None)
         return pairs
 
-    def only(pairs):
-        needed = staged(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct())
-        return F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-
-    sets = staged(docs.select("_node", F.col(text).cast("string").alias("t")).join(only(pairs), "_node", "left_semi").select("_node", packed("t").alias("p")).select("_node", "p.*"))
+    sets = packed(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, text, n)
     left = staged(with_both(pairs, "k", "n").filter(maybe("ka", "kb", "na", "nb")).select("a", "b"))
     return with_both(left, "s").filter(near("sa", "sb")).select("a", "b")
 
@@ -259,25 +282,37 @@ def similar_classes(work: DataFrame, id: str, text: str, n: int, similarity: flo
     """The _node of one row for each class of work(id, text, _fp, _fp2, _size, _sim, _prefix, _node): of least id (null ids last).
 
     A link is a pair of sets with that Jaccard similarity; classes are what links connect. Equal sets are one node.
-    Pairs that SimHash proposes join most of each group first. Then all pairs of a bucket whose texts are still apart
-    are judged, so that no link between classes is left out.
+    Pairs that SimHash proposes join most of each group first. Then pairs under a common shingle of the prefixes are
+    judged, where the texts are still apart: all of small buckets; of large ones the nearest of each text, and last, all
+    that are apart even then and whose sketches are near enough. So no link between classes is left out.
     """
     order = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col("_node").alias("node"))
     uniq = staged(work.groupBy("_fp", "_fp2").agg(F.min(order).alias("k")).select("k", F.col("k.node").alias("node")))
-    first = staged(work.select(F.col("_node").alias("node"), "_size", "_sim", "_prefix").join(uniq.select("node"), "node", "left_semi"))
     docs = work.select("_node", text)
+    judged = lambda pairs: staged(similar(staged(pairs), docs, text, n, similarity))
 
+    first = staged(work.select(F.col("_node").alias("node"), "_sim").join(uniq.select("node"), "node", "left_semi"))
     sims = staged(first.groupBy("_sim").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("count")))
     rep = lambda end: sims.select(F.col("_sim").alias(end), F.col("rep").alias(f"{end}_rep"))
     far = near_links(sims.select(F.col("_sim").alias("fp")), radius, nearest=True).join(rep("a"), "a").join(rep("b"), "b").select("a_rep", "b_rep")
-    same = salted_join(first.select("node", "_sim"), sims.select("_sim", "rep"), "_sim", "node", hot=hot_keys(sims.select("_sim", "count"))).filter("node != rep").select("node", "rep")
-    proposed = far.union(same).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = staged(similar(staged(proposed), docs, text, n, similarity))
+    same = salted_join(first, sims.select("_sim", "rep"), "_sim", "node", hot=hot_keys(sims.select("_sim", "count"))).filter("node != rep").select("node", "rep")
+    links = judged(far.union(same).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     labels = staged(connected(links))
 
-    rows = first.join(labels, "node", "left").select("node", F.col("_size").alias("size"), F.coalesce("label", "node").alias("label"), F.posexplode("_prefix").alias("at", "key"))
-    more = staged(similar(staged(candidates(rows, similarity)), docs, text, n, similarity))
-    if more.limit(1).count():
-        labels = staged(connected(links.unionByName(more)))
+    label = lambda df: df.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = work.select(F.col("_node").alias("node"), F.col("_size").alias("size"), "_prefix").join(label(uniq.select("node")), "node").select("node", "size", "label", F.posexplode("_prefix").alias("at", "key"))
+    found = staged(bucketed(rows, similarity))
+    pairs = found.filter("a is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("many"), F.max("need").alias("need")).filter("many >= need").select("a", "b")
+    cells = found.filter("key is not null").drop("a", "b", "need")
+    large = cells.limit(1).count()
+    if large:
+        cells = staged(cells.withColumn("group", F.xxhash64("key", "cell")).join(packed(cells, docs, text, n, sets=False).select("node", "k"), "node"))
+        pairs = pairs.unionByName(compared(cells, similarity, nearest=True)).distinct()
+    links = staged(links.unionByName(judged(pairs)))
+    labels = staged(connected(links))
+    if large:
+        last = judged(compared(label(cells.drop("label")), similarity, nearest=False))
+        if last.limit(1).count():
+            labels = staged(connected(links.unionByName(last)))
     named = uniq.join(labels, "node", "left").select("k", F.coalesce("label", "node").alias("label"))
     return named.groupBy("label").agg(F.min("k").alias("k")).select(F.col("k.node").alias("_node"))

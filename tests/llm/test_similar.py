@@ -21,8 +21,9 @@ def plain_kept(texts):
     return {d for d in ids if up[d] == d}
 
 
-@pytest.mark.parametrize(("block", "radius"), [(20, 0), (8_192, 7)])  # 20: buckets are cut, and SimHash proposes next to nothing
-def test_pairs_around_the_threshold(spark, monkeypatch, block, radius):
+@pytest.mark.parametrize(("small", "block", "radius"), [(4, 20, 0), (64, 8_192, 7)])  # 20: buckets are cut, and SimHash proposes next to nothing
+def test_pairs_around_the_threshold(spark, monkeypatch, small, block, radius):
+    monkeypatch.setattr(similar, "SMALL_BUCKET", small)
     monkeypatch.setattr(similar, "BLOCK_ROWS", block)
     r, texts = random.Random(1), {}
     for i in range(60):
