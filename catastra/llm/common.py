@@ -78,6 +78,12 @@ def without(df: DataFrame, names) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
 
 
+def plain_names(df: DataFrame, *names: str) -> tuple[DataFrame, list[str], list[str]]:
+    """df with columns c0, c1, ..., which clash with no name of ours; its own names; and what those given are called now."""
+    lower = [c.lower() for c in df.columns]
+    return df.toDF(*[f"c{i}" for i in range(len(lower))]), df.columns, [f"c{lower.index(n.lower())}" for n in names]
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash for each word, alike in every process."""
     import xxhash

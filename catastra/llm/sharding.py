@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import INTERNAL, running_totals, without
+from .common import plain_names, running_totals, without
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -16,15 +16,16 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id: str = "doc_id", text: s
     equal stretches of the total it begins in; so shards are contiguous, and differ from an equal share by less than
     the largest row. Null and empty texts have size 1; rows that are alike in id and text may stand either way round.
     An empty table gives an empty result; a shard may stay empty where rows are larger than a share. Columns of docs
-    named size, shard or slot are replaced, and those named like INTERNAL dropped.
+    named size, shard or slot are replaced.
     """
-    names = without(docs, ["size", "shard", "slot", "_tie", "_start", *INTERNAL]).columns
-    sized = docs.select(*[F.col(f"`{c}`") for c in names], (F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))) + 1).cast("long").alias("size"), F.xxhash64(text).alias("_tie"))
+    plain, names, (id, text) = plain_names(without(docs, ["size", "shard", "slot"]), id, text)
+    columns = plain.columns
+    sized = plain.select(*columns, (F.octet_length(F.coalesce(F.col(text).cast("string"), F.lit(""))) + 1).cast("long").alias("size"), F.xxhash64(text).alias("_tie"))
     placed, total, _ = running_totals(sized, [id, "_tie"], "size")
     shard = F.least(F.lit(shards - 1), F.floor(F.col("_before").cast("decimal(38,0)") * shards / F.lit(max(total, 1)))).cast("int")
     placed = placed.withColumn("shard", shard)
     first = placed.groupBy("shard").agg(F.min("_rank").alias("_start"))  # a row for each shard
-    return placed.join(F.broadcast(first), "shard").select(*[F.col(f"`{c}`") for c in names], "size", "shard", (F.col("_rank") - F.col("_start")).alias("slot"))
+    return placed.join(F.broadcast(first), "shard").select(*columns, "size", "shard", (F.col("_rank") - F.col("_start")).alias("slot")).toDF(*names, "size", "shard", "slot")
 
 
 #: CRC-32 (polynomial 0xEDB88320) of the sixteen half-bytes.

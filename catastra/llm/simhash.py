@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, hot_keys, partitions, salted_join, staged, without
+from .common import BROADCAST_ROWS, hot_keys, partitions, plain_names, salted_join, staged, without
 from .components import connected
 
 BITS = 64
@@ -316,9 +316,7 @@ def keep_one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", sh
     from .similar import similar_classes, with_prefix
 
     inner = ["_fp", "_fp2", "_size", "_sim", "_prefix", "_node", "_set"]
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name of docs can clash
-    lower = [c.lower() for c in docs.columns]
-    id, text = (f"c{lower.index(c.lower())}" for c in (id, text))
+    plain, names, (id, text) = plain_names(docs, id, text)
     work = staged(with_prefix(plain, text, shingle, similarity).withColumn("_node", F.monotonically_increasing_id()))
     kept = work.join(similar_classes(work, id, text, shingle, similarity, radius), "_node", "left_semi")
-    return kept.drop(*inner).toDF(*docs.columns)
+    return kept.drop(*inner).toDF(*names)
