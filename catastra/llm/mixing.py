@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, partitions, staged, without
+from .common import BROADCAST_ROWS, partitions, plain_names, staged, without
 
 #: A Poisson count of a larger mean is the sum of several independent ones of at most this mean.
 MEAN_AT_ONCE = 16.0
@@ -58,9 +58,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     The table of sources is broadcast if it has at most BROADCAST_ROWS rows; beyond, each source is split in SALTS
     salted parts and joined by shuffle.
     """
-    table = staged(rates(docs, source, text, weights, power, epochs))
-    out = without(docs, ["copy", "shuffle_key", "_source", "_rate", "_draws", "_cdf", "_n", "_salt"])
-    names = out.columns
+    out, names, (id, source, text) = plain_names(without(docs, ["copy", "shuffle_key"]), id, source, text)
+    table = staged(rates(out, source, text, weights, power, epochs))
+    columns = out.columns
     out = out.withColumn("_source", F.coalesce(F.col(source), F.lit("")))
     if table.count() <= BROADCAST_ROWS:
         out = out.join(F.broadcast(table), "_source")
@@ -70,8 +70,12 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     draw = lambda j: F.size(F.filter("_cdf", lambda c: c <= uniform(seed, j, F.col(id))))
     many = F.aggregate(F.sequence(F.lit(0), F.col("_draws") - 1), F.lit(0), lambda acc, j: acc + draw(j))
     out = out.withColumn("_n", many).filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    out = out.withColumn("shuffle_key", (uniform(seed, F.lit("shuffle"), F.col(id), F.col("copy")) * float(2**52)).cast("long")).select(*[F.col(f"`{c}`") for c in names], "copy", "shuffle_key")
-    return out.repartitionByRange(partitions(docs.sparkSession), "shuffle_key", id).sortWithinPartitions("shuffle_key", id) if shuffle else out
+    out = out.withColumn("shuffle_key", (uniform(seed, F.lit("shuffle"), F.col(id), F.col("copy")) * float(2**52)).cast("long")).select(*columns, "copy", "shuffle_key")
+    if not shuffle:
+        return out.toDF(*names, "copy", "shuffle_key")
+    # keys are even over [0, 2**52), so a formula cuts their range and no sample of them is drawn
+    n = partitions(docs.sparkSession)
+    return out.repartitionById(n, F.least(F.lit(n - 1), F.floor(F.col("shuffle_key") / F.lit(float(2**52)) * n)).cast("int")).sortWithinPartitions("shuffle_key", id).toDF(*names, "copy", "shuffle_key")
 
 
 def oracle(epochs: float = 1.0, seed: int = 42) -> str:
