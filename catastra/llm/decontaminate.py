@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without, word_hashes, windows
+from .common import hot_keys, plain_names, salted_join, staged, without, word_hashes, windows
 
 #: A benchmark of up to so many bytes of text goes to each task; a larger one is joined by shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -59,11 +59,69 @@ def tile(matches: list[tuple[int, int, int]], text_words: int, item_words: int,
     return used_item
 
 
+def rolling(h: np.ndarray):
+    """A function of the length that gives the Karp-Rabin hashes of all windows, from prefix sums."""
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    back = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(h), odd)]))
+    down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(h), back)]))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * down[:-1])])
+    return lambda length: (total[length:] - total[: len(total) - length]) * up[length - 1 : len(h)]
+
+
+def tile_running(text: np.ndarray, item: np.ndarray, n: int) -> np.ndarray:
+    """As tile(), from the words' hashes alone: the longest length with a free match is searched by window hashes, each hit
+    is confirmed on the words, and its matches are marked in order. Memory grows with the sum of both lengths only."""
+    used_text, used_item = np.zeros(len(text), bool), np.zeros(len(item), bool)
+    of_text, of_item = rolling(text), rolling(item)
+
+    def free(used, length):
+        c = np.concatenate(([0], np.cumsum(used)))
+        return np.flatnonzero(c[length:] == c[: len(c) - length])
+
+    def hits(length):
+        a, b = free(used_text, length), free(used_item, length)
+        x, y = of_text(length)[a], of_item(length)[b]
+        return a[np.isin(x, y)], b[np.isin(y, x)]
+
+    longest = min(len(text), len(item))
+    while True:
+        lo, hi = n - 1, longest
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if len(hits(mid)[0]) else (lo, mid - 1)
+        if lo < n:
+            return used_item
+        longest = lo
+        a, b = hits(lo)
+        key = of_item(lo)
+        places: dict[int, list[int]] = {}
+        for j in b[::-1].tolist():
+            places.setdefault(int(key[j]), []).append(j)
+        key, done, marked = of_text(lo), -1, False
+        for i in a.tolist():
+            if i < done:
+                continue
+            left = places[int(key[i])]
+            while left and used_item[left[-1] : left[-1] + lo].any():
+                left.pop()  # a marked word stays marked
+            if left and np.array_equal(text[i : i + lo], item[left[-1] : left[-1] + lo]):
+                j = left.pop()
+                used_text[i : i + lo] = used_item[j : j + lo] = marked = True
+                done = i + lo
+        if not marked:  # equal hashes of unequal words
+            longest = lo - 1
+
+
+#: A text and an item with more pairs of equal seeds are tiled by tile_running.
+PAIRS_AT_ONCE = 1_000_000
+
+
 class Items:
     """The windows of all items, sorted, with the items and places that have them."""
 
     def __init__(self, keys: list, hashes: list[np.ndarray], n: int):
-        self.keys, self.sizes, self.n = keys, [len(h) for h in hashes], n
+        self.keys, self.sizes, self.n, self.hashes = keys, [len(h) for h in hashes], n, hashes
         w = [windows(h, n) for h in hashes]
         seed = np.concatenate([np.empty(0, np.uint64), *w])
         item = np.repeat(np.arange(len(w)), [len(x) for x in w])
@@ -80,15 +138,28 @@ class Items:
         at = np.flatnonzero(self.seed[np.minimum(lo, len(self.seed) - 1)] == w)
         if not len(at):
             return []
-        lo, hi = lo[at], np.searchsorted(self.seed, w[at], "right")
-        many = hi - lo
-        i = np.repeat(at, many)
-        k = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        # pairs of equal seeds by item, without making them: each seed of the text and each range of the items' seeds once
+        seeds, times = np.unique(w[at], return_counts=True)
+        start = np.searchsorted(self.seed, seeds)
+        many = np.searchsorted(self.seed, seeds, "right") - start
+        k = np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        found, which = np.unique(self.item[k], return_inverse=True)
+        pairs = np.bincount(which, np.repeat(times, many).astype(float))
         out = []
-        item = self.item[k]
-        for x in np.unique(item):
-            mine = item == x
-            used = tile(maximal(i[mine], self.place[k[mine]], self.n), len(h), self.sizes[x], self.n)
+        for x, total in zip(found.tolist(), pairs.tolist(), strict=True):
+            if total > PAIRS_AT_ONCE:
+                used = tile_running(h, self.hashes[x], self.n)
+            else:
+                mine = np.flatnonzero(self.item[k] == x)
+                seed, place = self.seed[k[mine]], self.place[k[mine]]  # in order of the seeds
+                first, last = np.searchsorted(seed, w[at]), np.searchsorted(seed, w[at], "right")
+                i = np.repeat(at, last - first)
+                j = place[np.repeat(first, last - first) + np.arange(len(i)) - np.repeat(np.cumsum(last - first) - (last - first), last - first)]
+                same = h[i] == self.hashes[x][j]  # hits of the hash are confirmed on the words
+                for step in range(1, self.n):
+                    same &= h[i + step] == self.hashes[x][j + step]
+                i, j = i[same], j[same]
+                used = tile(maximal(i, j, self.n), len(h), self.sizes[x], self.n) if len(i) else np.zeros(1, bool)
             out.append((self.keys[x], int(used.sum()), self.sizes[x]))
         return out
 
@@ -139,19 +210,20 @@ def leaks_by_join(docs: DataFrame, benchmark: DataFrame, rules: TilingRules, tex
             out.append((found[0][1], found[0][2]) if found else (0, 1))
         return pd.DataFrame(out, columns=["words", "of"])
 
-    left = without(docs, [to, "_text"])
+    left = without(docs, [to, "_text", "_a", "_b"])
     key = F.xxhash64(F.lit(1), F.col(text)), F.xxhash64(F.lit(2), F.col(text))  # equal texts have equal leaks
-    texts = left.select(key[0].alias("_a"), key[1].alias("_b"), F.col(text).cast("string").alias("_text"))
+    texts = left.select(key[0].alias("_a"), key[1].alias("_b"), F.col(text).cast("string").alias("_text")).dropDuplicates(["_a", "_b"])
     items = benchmark.select(F.col(item).cast("string").alias("_item"), F.col(item_text).cast("string").alias("_item_text"))
-    doc_seeds = texts.select("_a", "_b", F.explode(seeds("_text")).alias("_seed"))
-    item_seeds = items.select("_item", "_item_text", F.explode(seeds("_item_text")).alias("_seed"))
-    pairs = doc_seeds.join(item_seeds, "_seed").select("_a", "_b", "_item", "_item_text").distinct()
-    once = texts.dropDuplicates(["_a", "_b"])
-    found = pairs.join(once, ["_a", "_b"]).withColumn("_t", tiled("_text", "_item_text")).filter(F.col("_t.words") >= rules.coverage * F.col("_t.of"))
+    doc_seeds = staged(texts.select("_a", "_b", F.explode(seeds("_text")).alias("_seed")))
+    item_seeds = items.select("_item", F.explode(seeds("_item_text")).alias("_seed")).groupBy("_seed").agg(F.collect_set("_item").alias("_items"))
+    met = salted_join(doc_seeds, item_seeds, "_seed", "_a", hot=hot_keys(doc_seeds.groupBy("_seed").count()))
+    pairs = met.select("_a", "_b", F.explode("_items").alias("_item")).distinct()
+    found = pairs.join(texts, ["_a", "_b"]).join(items, "_item").withColumn("_t", tiled("_text", "_item_text")).filter(F.col("_t.words") >= rules.coverage * F.col("_t.of"))
     per = found.groupBy("_a", "_b").agg(F.array_sort(F.collect_list(F.struct(F.col("_item").alias("item"), F.col("_t.words").alias("words"), F.col("_t.of").alias("of")))).alias(to))
     return left.withColumn("_a", key[0]).withColumn("_b", key[1]).join(per, ["_a", "_b"], "left").withColumn(to, F.coalesce(F.col(to), F.array().cast(LEAKS))).drop("_a", "_b")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rules: TilingRules = TilingRules()) -> DataFrame:
-    """The rows of docs without leaks, with the columns of docs."""
-    return leaks(docs, benchmark, rules, to="_leaks").filter(F.size("_leaks") == 0).drop("_leaks")
+    """The rows of docs without leaks, with the columns of docs, whatever their names. Null and empty texts and repeated rows stay."""
+    plain, names, (text,) = plain_names(docs, "text")
+    return leaks(plain, benchmark, rules, text=text, to="_leaks").filter(F.size("_leaks") == 0).drop("_leaks").toDF(*names)
