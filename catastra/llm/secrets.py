@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 
@@ -19,12 +18,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # whole runs; a shorter run holds no
 HEX = re.compile(r"[0-9a-f]{32,}")
 FRAME = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
 DEK = re.compile(r"(?i:DEK-Info:)[\x20\t]*([A-Za-z0-9-]+),[\x20\t]*([0-9A-Fa-f]+)\s*\Z")
-SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 #: 19 and 28 characters are the least that hold `token=` and eight more, the shortest text that confirmed() takes.
 B64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
 ANYHEX = re.compile(r"[0-9a-fA-F]{28,}")
 #: Runs on lines that follow each other.
-WRAPPED = re.compile(r"[A-Za-z0-9+/_-]++=*+(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++=*+)++")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++=*+(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++=*+)++")
 PIECE = re.compile(r"[A-Za-z0-9+/_-]+=*")
 
 BASE = ("assign", "access", "hex")
@@ -69,27 +68,46 @@ def der_key(data: bytes) -> bool:
         parts.append(part)
         at = part[2]
     tags = [t for t, _, _ in parts]
+    if tags == [0x30, 0x04]:  # encrypted PKCS#8: an algorithm and its data
+        oid = der(data, parts[0][1], parts[0][2])
+        return oid is not None and oid[0] == 0x06 and parts[1][2] - parts[1][1] >= 16
     if len(parts) < 2 or tags[0] != 0x02:
         return False
     version = data[parts[0][1] : parts[0][2]]
     rsa = version in (b"\0", b"\1") and len(parts) >= 9 and set(tags[:9]) == {0x02}
+    dsa = version == b"\0" and tags == [0x02] * 6
     pkcs8 = version in (b"\0", b"\1") and tags[1:3] == [0x30, 0x04] and (oid := der(data, parts[1][1], parts[1][2])) is not None and oid[0] == 0x06
     sec1 = version == b"\1" and tags[1] == 0x04
-    return bool(rsa or pkcs8 or sec1)
+    return bool(rsa or dsa or pkcs8 or sec1)
+
+
+#: Names of ciphers begin so, and these are the key derivations of the container (fixed values).
+SSH_CIPHERS = (b"none", b"aes", b"chacha20-poly1305", b"3des")
+SSH_DERIVATIONS = (b"none", b"bcrypt")
 
 
 def ssh_key(data: bytes) -> bool:
-    """An openssh-key-v1 container whose first three length-prefixed fields fit."""
+    """An openssh-key-v1 container: the names of a cipher and a key derivation, its options, a number of keys, and as many public keys and a private part."""
     if not data.startswith(b"openssh-key-v1\0"):
         return False
-    at = 15
-    for _ in range(3):
+    at, fields = 15, []
+
+    def take():
+        nonlocal at
         if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-        if at > len(data):
-            return False
-    return True
+            return None
+        end = at + 4 + int.from_bytes(data[at : at + 4], "big")
+        field = data[at + 4 : end] if end <= len(data) else None
+        at = end
+        return field
+
+    for _ in range(3):
+        fields.append(take())
+    if None in fields or not fields[0].startswith(SSH_CIPHERS) or fields[1] not in SSH_DERIVATIONS or at + 4 > len(data):
+        return False
+    many = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    return 1 <= many <= 16 and all(take() for _ in range(many + 1))
 
 
 def signed(candidate: str) -> bool:
@@ -134,6 +152,13 @@ def pem_keys(text: str):
 
 
 def pem_body(body: str) -> bool:
+    """Base64 that parses as a key; or, below header lines that name a cipher, whole blocks of encrypted data."""
+    lines = body.strip().splitlines()
+    head = [k for k, x in enumerate(lines) if ":" in x]
+    if head:
+        named = any(DEK.match(x.strip()) for x in lines[: head[-1] + 1])
+        raw = unbase64("".join("".join(lines[head[-1] + 1 :]).split()))
+        return bool(raw and (named and len(raw) >= 32 and len(raw) % 8 == 0 or der_key(raw) or ssh_key(raw)))
     raw = unbase64("".join(body.split()))
     return bool(raw and (der_key(raw) or ssh_key(raw)))
 
@@ -213,7 +238,3 @@ def redact(text: str | None, spans) -> str | None:
             out += [text[at : s["start"]], f"[{s['kind'].upper()}]"]
         at = max(at, s["end"])
     return "".join(out) + text[at:]
-
-
-def digest(spans, kinds=BASE) -> str:
-    return hashlib.sha256(",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans if s["kind"] in kinds).encode()).hexdigest()
