@@ -60,13 +60,14 @@ def sanitise(docs: DataFrame, radius: int = 60, min_support: int = 3, generalise
     PMI(e; t) / IC(e) = 1 + log(p(e | t)) / -log(p(e)), with p(e | t) the entity's windows that hold t over all
     occurrences of t in the corpus (1 at most), and p(e) the entity's occurrences over all term occurrences. Terms of at
     least min_support windows are kinds generalised (from `generalise`; the text keeps their shape: word or number) or
-    removed (from `remove`), wherever they stand in a window of that entity. All counts are of all texts.
+    removed (from `remove`), wherever they stand in a text that has that entity, but for what a base span covers. All
+    counts are of all texts.
 
     Null texts have no spans and stay null; empty texts have none. Repeated rows count each. An empty table gives an
     empty result. Columns of docs named pii or sanitised are replaced. Windows are of bounded length, so an entity or
     line of any frequency makes rows in proportion to its occurrences.
     """
-    keep = without(docs, ["pii", "sanitised", "_text", "_base", "_row", "_found"])
+    keep = without(docs, ["pii", "sanitised", "_text", "_base", "_row", "_found", "_terms"])
     keep = keep.withColumn(text, F.col(text).cast("string"))
     marks = staged(keep.withColumn("_base", base_spans(F.coalesce(F.col(text), F.lit("")))).withColumn("_row", F.monotonically_increasing_id()))
     work = marks.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
@@ -96,12 +97,16 @@ def sanitise(docs: DataFrame, radius: int = 60, min_support: int = 3, generalise
     ratio = 1 + F.log(F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))) / -F.log(p_e)
     telling = pairs.join(corpus, "term").join(occurrences, "entity").withColumn("ratio", ratio).filter(F.col("ratio") >= generalise).select("entity", "term", F.when(F.col("ratio") >= remove, 5).otherwise(4).alias("k"))
 
-    each = windows.select("_row", "entity", F.explode("terms").alias("t")).select("_row", "entity", "t.*")
-    found = each.join(telling, ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("k").alias("k"))
-    found = found.groupBy("_row").agg(F.collect_list(F.struct("start", "k", "end", F.lit("").alias("value"))).alias("_found"))
+    # a telling term goes wherever it stands in a text that has the entity: of each such text, its terms and what becomes of them
+    of_row = windows.select("_row", "entity").distinct().join(telling, "entity").groupBy("_row", "term").agg(F.max("k").alias("k"))
+    of_row = of_row.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "k"))).alias("_terms"))
+    kind_of = lambda s: F.element_at("_terms", F.lower(s["value"]))
+    inside = F.filter(spans(F.col("_text"), TERM, 0), lambda s: kind_of(s).isNotNull())
+    found = F.when(F.col("_terms").isNotNull(), F.transform(inside, lambda s: F.struct(s["start"].alias("start"), kind_of(s).alias("k"), s["end"].alias("end"), F.lit("").alias("value"))))
     name = F.array(*[F.lit(k) for k in (*KINDS, "generalised", "removed")])
     named = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.element_at(name, s["k"] + 1).alias("kind"), s["end"].alias("end")))
-    every = F.array_sort(F.concat("_base", F.coalesce("_found", F.array().cast(SPANS))))
+    covered = lambda s: F.exists("_base", lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))
+    every = F.array_sort(F.concat("_base", F.filter(F.coalesce("_found", F.array().cast(SPANS)), lambda s: ~covered(s))))
 
     def cut(acc: Column, s: Column) -> Column:
         shape = F.when(F.col("_text").substr((s["start"] + 1).cast("int"), F.lit(1)).rlike("[0-9]"), "[NUMBER]").otherwise("[WORD]")
@@ -112,7 +117,7 @@ def sanitise(docs: DataFrame, radius: int = 60, min_support: int = 3, generalise
         return F.when(s["start"] >= acc["at"], new).otherwise(longer)
 
     body = F.aggregate("pii", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), cut, lambda a: F.concat(a["out"], F.substring(F.col("_text"), (a["at"] + 1).cast("int"), F.length("_text"))))
-    marked = hits.join(found, "_row", "left").withColumn("pii", named(every))
-    out = marked.drop("_found").unionByName(work.filter(F.size("_base") == 0).withColumn("pii", named(F.col("_base"))))
+    marked = hits.join(of_row, "_row", "left").withColumn("_found", found).withColumn("pii", named(every))
+    out = marked.drop("_found", "_terms").unionByName(work.filter(F.size("_base") == 0).withColumn("pii", named(F.col("_base"))))
     shown = F.when(F.col(text).isNotNull(), F.when(F.size("pii") > 0, body).otherwise(F.col("_text")))
     return out.withColumn("sanitised", shown).select(*[F.col(f"`{c}`") for c in keep.columns], "pii", "sanitised")

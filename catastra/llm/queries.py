@@ -67,7 +67,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.sanitise(read(spark, sf_dir, "documents").select("doc_id", "text"))
     s = F.col("pii")
-    return found.select("doc_id", *[counted(s, k) for k in pii.KINDS], F.sha2(joined(F.filter(s, lambda x: x["kind"].isin(*pii.KINDS))), 256).alias("base_sha256"), joined(s).alias("spans"))
+    return found.select("doc_id", *[counted(s, k) for k in pii.KINDS], F.sha2(joined(F.filter(s, lambda x: x["kind"].isin(*pii.KINDS))), 256).alias("base_sha256"), joined(s).alias("spans"), F.sha2("sanitised", 256).alias("sanitised_sha256"), F.length("sanitised").cast("long").alias("sanitised_chars"))
 
 
 def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
