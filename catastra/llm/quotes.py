@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import INTERNAL, running_totals, staged, without
+from .common import INTERNAL, hot_keys, running_totals, salted_join, staged, without
 
 PREFIX = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 WROTE = re.compile(r"[^\n]{0,200}\b(?:wrote|schrieb|écrit|escribió)\s*:\s*$")
@@ -86,13 +86,13 @@ def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: st
     keep = without(messages, ["content", "reply_conversation", "reply_turn", "depth", "thread", "position", "_p", "_c", "_t", "_one", "_tie", *INTERNAL])
     work = staged(keep.withColumn("_p", of(F.col(text).cast("string"))).withColumn("_c", F.col(conversation)).withColumn("_t", F.col(turn)))
     quoted = staged(work.select("_c", "_t", F.explode("_p.quoted").alias("q")).select("_c", "_t", "q.*").filter("_c is not null and _t is not null").groupBy("_c", "_t", "h").agg(F.max("words").alias("words"), F.min("level").alias("level")))
-    wanted = quoted.groupBy("h").agg(F.count(F.lit(1)).alias("quoters"))
-    offered = work.select("_c", "_t", F.explode("_p.units").alias("u")).select("_c", "_t", "u.h").filter("_c is not null and _t is not null").join(wanted, "h", "left_semi")
-    near = offered.groupBy(F.col("_c").alias("oc"), "h").agg(F.min("_t").alias("ot"))
-    near = staged(near)
+    wanted = staged(quoted.groupBy("h").agg(F.count(F.lit(1)).alias("count")))
+    offered = work.select("_c", "_t", F.explode("_p.units").alias("u")).select("_c", "_t", "u.h").filter("_c is not null and _t is not null")
+    near = staged(offered.groupBy(F.col("_c").alias("oc"), "h").agg(F.min("_t").alias("ot")))  # a row for each unit of a conversation
+    near = staged(salted_join(near, wanted.select("h"), "h", "oc", "left_semi", hot_keys(near.groupBy("h").count())))
     far = near.groupBy("h").agg(F.min(F.struct("oc", "ot")).alias("o")).select("h", F.col("o.oc").alias("fc"), F.col("o.ot").alias("ft"))
     found = quoted.join(near, (quoted.h == near.h) & (quoted._c == near.oc) & (near.ot < quoted._t), "left").select(quoted["*"], "oc", "ot")
-    found = found.join(far, "h", "left")
+    found = salted_join(found, far, "h", "_c", "left", hot_keys(wanted))
     use_far = F.col("oc").isNull() & (F.col("words") >= far_words) & ((F.col("fc") < F.col("_c")) | ((F.col("fc") == F.col("_c")) & (F.col("ft") < F.col("_t"))))
     found = found.select("_c", "_t", "words", "level", F.when(use_far, F.col("fc")).otherwise(F.col("oc")).alias("oc"), F.when(use_far, F.col("ft")).otherwise(F.col("ot")).alias("ot")).filter("oc is not null")
     votes = found.groupBy("_c", "_t", "oc", "ot").agg(F.min("level").alias("level"), F.sum("words").alias("words"))
