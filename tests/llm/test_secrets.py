@@ -39,3 +39,28 @@ def test_wrapped_runs(width, around):
 def test_framed_key_is_reported_once():
     text = pem("RSA PRIVATE KEY", RSA)
     assert secrets.find(text) == [(0, secrets.KINDS.index("pem_key"), len(text))]
+
+
+def test_other_key_shapes():
+    oid = tlv(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d")
+    dsa = tlv(0x30, tlv(2, b"\0") + b"".join(tlv(2, bytes([k]) * 40) for k in range(1, 6)))
+    encrypted = tlv(0x30, tlv(0x30, oid + tlv(0x30, b"")) + tlv(4, b"\x55" * 64))
+    for raw in (dsa, encrypted):
+        assert kinds(b64(raw)) == {"der_key"} and kinds(b64(raw[:-1])) == set()
+        assert "pem_key" in kinds(pem("PRIVATE KEY", raw))
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    assert "pem_key" in kinds(pem("RSA PRIVATE KEY", b"\x91" * 64, head)) and "pem_key" not in kinds(pem("RSA PRIVATE KEY", b"\x91" * 61, head))
+    assert "pem_key" not in kinds(pem("RSA PRIVATE KEY", b"\x91" * 64))
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = lambda cipher, kdf, rest: b64(b"openssh-key-v1\0" + field(cipher) + field(kdf) + field(b"") + b"\0\0\0\1" + rest)
+    assert kinds(ssh(b"aes256-ctr", b"bcrypt", field(b"public") + field(b"private"))) == {"ssh_key"}
+    assert kinds(ssh(b"", b"", b"")) == kinds(ssh(b"none", b"none", b"")) == set()
+
+
+def test_long_texts_without_blanks_take_linear_time():
+    import time
+
+    for text in ("eyJ" * 100_000, "eyJhbGciOiJ9." * 30_000, "-----BEGIN PRIVATE KEY-----" * 10_000, "token" * 50_000):
+        start = time.time()
+        secrets.find(text)
+        assert time.time() - start < 5
