@@ -58,7 +58,7 @@ def hot_keys(counts: DataFrame, count: str = "count") -> DataFrame | None:
     """Of a table of keys with their number of rows, those of very many: BROADCAST_ROWS keys at most, since each has more than its share of all rows."""
     total, most = counts.agg(F.coalesce(F.sum(count), F.lit(0)), F.coalesce(F.max(count), F.lit(0))).first()  # two numbers
     least = max(HOT_ROWS, -(-int(total) // BROADCAST_ROWS))
-    return counts.filter(F.col(count) > least).drop(count) if most > least else None
+    return staged(counts.filter(F.col(count) > least).drop(count)) if most > least else None
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:

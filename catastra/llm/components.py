@@ -27,6 +27,7 @@ def connected(links: DataFrame) -> DataFrame:
         near = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("count"))
         hot = hot_keys(near.select("u", "count"))
         large = salted_join(both.filter("v > u"), near.drop("count"), "u", "v", hot=hot).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = staged(large) if hot is not None else large  # three plans below read it
         # large points from each node to lesser ones: no more than its links above, so hot nodes are among the same
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = salted_join(large, least, "u", "v", hot=hot).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -294,7 +294,7 @@ def similar_classes(work: DataFrame, id: str, text: str, n: int, similarity: flo
     first = staged(work.select(F.col("_node").alias("node"), "_sim").join(uniq.select("node"), "node", "left_semi"))
     sims = staged(first.groupBy("_sim").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("count")))
     rep = lambda end: sims.select(F.col("_sim").alias(end), F.col("rep").alias(f"{end}_rep"))
-    far = near_links(sims.select(F.col("_sim").alias("fp")), radius, nearest=True).join(rep("a"), "a").join(rep("b"), "b").select("a_rep", "b_rep")
+    far = staged(near_links(sims.select(F.col("_sim").alias("fp")), radius, nearest=True)).join(rep("a"), "a").join(rep("b"), "b").select("a_rep", "b_rep")
     same = salted_join(first, sims.select("_sim", "rep"), "_sim", "node", hot=hot_keys(sims.select("_sim", "count"))).filter("node != rep").select("node", "rep")
     links = judged(far.union(same).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     labels = staged(connected(links))
