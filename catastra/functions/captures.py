@@ -1,4 +1,4 @@
-"""From captured cards, links, posters and registry documents to columns (C-13 to C-22, C-34 to C-36, C-40, C-44, C-45, P-06, P-10 to P-13, F-15, F-18 to F-21)."""
+"""From captured cards, links, posters and registry documents to columns (C-13 to C-22, C-34 to C-36, C-40, C-44, C-45, P-06, P-10, P-12, P-13, F-15, F-18, F-20, F-21)."""
 
 from __future__ import annotations
 

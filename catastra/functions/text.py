@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and what they are without (C-23).
-MARKED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ"
-PLAIN = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyy"
+#: Marks that combine with a letter; a letter that stands for another one and such marks; and those others (C-23).
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+DECOMPOSED = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x2000)}
+MARKED = "".join(c for c, d in DECOMPOSED.items() if len(d) > 1 and len(d.strip(MARKS)) == 1 and d[0] not in MARKS)
+PLAIN = "".join(DECOMPOSED[c][0] for c in MARKED)
 #: JavaScript's white space, for trimming and folding (trap 3).
-SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+BLANKS = " \t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Words of an address that do not tell two apart.
 ADDRESS_STOP = ["de", "del", "la", "las", "el", "los", "y", "en", "av", "avenida", "calle", "jr", "jiron", "jirón", "urb", "urbanizacion", "urbanización", "mz", "manzana", "lote", "lt", "n", "nro", "numero", "número", "s/n", "sn", "piso", "dpto", "departamento", "asentamiento", "humano", "pueblo", "joven", "asoc", "asociacion", "asociación", "coop", "cooperativa"]
 
@@ -19,16 +23,16 @@ def blank_to_null(c: Column) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def folded(c: Column) -> Column:
-    return trimmed(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.btrim(F.regexp_replace(F.translate(c, BLANKS, " " * len(BLANKS)), "  +", " "))
 
 
 def strip_accents(c: Column) -> Column:
-    """C-23."""
-    return F.translate(c, MARKED, PLAIN)
+    """C-23: letters up to U+1FFF lose their marks, whether these are part of them or follow."""
+    return F.translate(c, MARKED + MARKS, PLAIN)
 
 
 def only_digits(c: Column) -> Column:
@@ -109,10 +113,11 @@ def first_line(text: Column, least: int = 8) -> Column:
 
 
 def date_iso(raw: Column) -> Column:
-    """C-10: dd/MM/yyyy to ISO; only the ranges of day and month are tested."""
+    """C-10: dd/MM/yyyy to ISO; only the ranges of day and month are tested. What is ISO stays as it is."""
     m = lambda k: F.regexp_extract(raw, r"^\s*(\d{2})/(\d{2})/(\d{4})\s*$", k)
     day, month = m(1).try_cast("int"), m(2).try_cast("int")
-    return F.when(day.between(1, 31) & month.between(1, 12), F.concat_ws("-", m(3), m(2), m(1)))
+    iso = blank_to_null(F.regexp_extract(raw, r"^\s*(\d{4}-\d{2}-\d{2})\s*$", 1))
+    return F.coalesce(iso, F.when(day.between(1, 31) & month.between(1, 12), F.concat_ws("-", m(3), m(2), m(1))))
 
 
 def last_separator_number(raw: Column) -> Column:

@@ -36,7 +36,11 @@ def page_parts(html: Column) -> Column:
 
 
 def nearby(body: DataFrame, key: str, text: str, pattern: str, window: int) -> DataFrame:
-    """S-14, C-21: (key, id, position, near): the first place of each id that the pattern finds, and the text around it."""
-    found = body.select(key, text, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))).alias("id"))
-    at = F.expr(f"locate(id, {text})")
-    return found.withColumn("position", at).select(key, "id", "position", F.col(text).substr(F.greatest(F.lit(1), F.col("position") - window), F.lit(2 * window)).alias("near"))
+    """S-14, C-21: (key, id, position, near): where the pattern first finds each id, and the text around that match."""
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("hit"), F.regexp_extract_all(text, F.lit(pattern), 1).alias("id"))
+    lengths = F.transform("_parts", lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0)))
+    found = body.withColumn("_parts", parts).select(key, text, F.posexplode("_parts").alias("_k", "_p"), lengths.alias("_lengths")).filter("_p.hit is not null")
+    start = F.aggregate(F.slice("_lengths", F.lit(1), F.col("_k")), F.lit(0), lambda a, x: a + x) + F.length("_p.gap")
+    found = found.select(key, text, F.col("_p.id").alias("id"), (start + F.expr("locate(_p.id, _p.hit)")).alias("position"))
+    first = found.groupBy(key, "id").agg(F.min(F.struct("position", text)).alias("m")).select(key, "id", "m.*")
+    return first.select(key, "id", "position", F.col(text).substr(F.greatest(F.lit(1), F.col("position") - window), F.lit(2 * window)).alias("near"))

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catastra.functions import text
+
 
 def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str) -> DataFrame:
     """(left_id, right_id, shared, ratio) of pairs that share a token: shared over the smaller set.
@@ -26,24 +28,64 @@ def best_match(pairs: DataFrame, left_id: str, right_id: str, least: float) -> D
     return pairs.filter(F.col("ratio") >= least).groupBy(left_id).agg(best).select(left_id, (-F.col("b.n")).alias(right_id), F.col("b.ratio").alias("ratio"))
 
 
+def district_name(raw: Column) -> Column:
+    return text.blank_to_null(text.trimmed(F.upper(text.strip_accents(raw))))
+
+
+def contained_districts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """C-38: (_da, _dp) of the distinct names of left(_da) and right(_dp) of which one holds the other: each name meets the stretches of the others by an equi-join."""
+    a, p = left.select("_da").filter("_da is not null").distinct(), right.select("_dp").filter("_dp is not null").distinct()
+
+    def stretches(df, c):
+        n = F.length(c)
+        every = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.col(c).substr(i, k))))
+        return df.select(c, F.explode(F.array_distinct(every)).alias("_s"))
+
+    inside = stretches(a, "_da").join(p, F.col("_s") == F.col("_dp")).select("_da", "_dp")
+    around = stretches(p, "_dp").join(a, F.col("_s") == F.col("_da")).select("_da", "_dp")
+    return inside.union(around).distinct()
+
+
 def link_auctions(auctions: DataFrame, properties: DataFrame) -> DataFrame:
-    """J-06: auctions(auction, number, tokens, district) to properties(property, number, tokens, district).
+    """J-06: all links of auctions(auction, number, address, district) to properties(property, number, address, district), all as written.
 
-    An equal registry number is certain (1, high). Else shared address tokens score ratio x 0.8 in the same district,
-    x 0.5 elsewhere; medium in the district from a ratio of 0.6, else low. Else an equal district is 0.3, low. The
-    three ways are three equi-joins; of a pair that several give, the first counts.
+    An equal registry number is certain (1, high). Else shared address words score ratio x 0.8 if one district's name
+    holds the other's, x 0.5 if not; medium with the district from a ratio of 0.6, else low. Else such a district is 0.3,
+    low. The three ways are equi-joins; of a pair that several give, the first counts. See matching_plan for the best
+    of each pair without its list of district links.
     """
     pick = ["auction", "property"]
-    exact = auctions.filter("number is not null").join(properties.filter("number is not null"), "number").select(*pick, F.lit(1).alias("rank"), F.lit("partida").alias("match_type"), F.lit(1.0).alias("score"), F.lit("high").alias("confidence"))
-    pairs = token_overlap(auctions, properties, "auction", "property", "tokens")
-    named = pairs.join(auctions.select("auction", F.col("district").alias("_da")), "auction").join(properties.select("property", F.col("district").alias("_dp")), "property")
-    same = F.coalesce(F.col("_da") == F.col("_dp"), F.lit(False))
+    shape = lambda df, id, d: df.select(id, text.link_number(F.col("number")).alias("number"), text.address_tokens(F.col("address")).alias("tokens"), district_name(F.col("district")).alias(d))
+    a, p = shape(auctions, "auction", "_da"), shape(properties, "property", "_dp")
+    known = contained_districts(a, p)
+    exact = a.filter("number is not null").join(p.filter("number is not null"), "number").select(*pick, F.lit(1).alias("rank"), F.lit("partida").alias("match_type"), F.lit(1.0).alias("score"), F.lit("high").alias("confidence"))
+    pairs = token_overlap(a, p, "auction", "property", "tokens")
+    named = pairs.join(a.select("auction", "_da"), "auction").join(p.select("property", "_dp"), "property").join(known.withColumn("_same", F.lit(True)), ["_da", "_dp"], "left")
+    same = F.coalesce("_same", F.lit(False))
     near = named.select(*pick, F.lit(2).alias("rank"), F.lit("address").alias("match_type"), F.round(F.col("ratio") * F.when(same, 0.8).otherwise(0.5), 2).alias("score"), F.when(same & (F.col("ratio") >= 0.6), "medium").otherwise("low").alias("confidence"))
-    place = auctions.filter("district is not null").join(properties.filter("district is not null"), "district").select(*pick, F.lit(3).alias("rank"), F.lit("district").alias("match_type"), F.lit(0.3).alias("score"), F.lit("low").alias("confidence"))
+    place = a.join(known, "_da").join(p, "_dp").select(*pick, F.lit(3).alias("rank"), F.lit("district").alias("match_type"), F.lit(0.3).alias("score"), F.lit("low").alias("confidence"))
     best = F.min(F.struct("rank", "match_type", "score", "confidence")).alias("m")
     return exact.unionByName(near).unionByName(place).groupBy(*pick).agg(best).select(*pick, "m.match_type", "m.score", "m.confidence")
 
 
+def matching_plan(auctions: DataFrame, properties: DataFrame) -> DataFrame:
+    """J-13: for each property(property, number, district) the number of auctions(auction, number, district) that match, whether one is certain, the confidence and the best kind of match.
+
+    An auction counts once: by an equal number (certain), else by the district. District matches are counted by
+    district and not made as pairs.
+    """
+    a = auctions.select("auction", text.link_number(F.col("number")).alias("number"), district_name(F.col("district")).alias("_da"))
+    p = properties.select("property", text.link_number(F.col("number")).alias("number"), district_name(F.col("district")).alias("_dp"))
+    known = contained_districts(a, p)
+    places = a.groupBy("_da").agg(F.count(F.lit(1)).alias("n")).join(known, "_da").groupBy("_dp").agg(F.sum("n").alias("near"))
+    exact = a.filter("number is not null").join(p.filter("number is not null"), "number").join(known.withColumn("_both", F.lit(1)), ["_da", "_dp"], "left")
+    exact = exact.groupBy("property").agg(F.count(F.lit(1)).alias("certain"), F.count("_both").alias("both"))
+    out = p.join(places, "_dp", "left").join(exact, "property", "left").na.fill(0, ["near", "certain", "both"]).withColumn("matches", F.col("near") + F.col("certain") - F.col("both"))
+    hard = F.col("certain") > 0
+    some = F.col("matches") > 0
+    return out.select("property", "matches", hard.alias("hard_match"), F.when(hard, "high").when(some, "low").otherwise("unknown").alias("confidence"), F.when(hard, "partida").when(some, "district").alias("best_match_type"))
+
+
 def greedy(pairs: DataFrame, group: str, left: str, right: str, ratio: str, least: float = 0.2) -> DataFrame:
     """J-07, J-08: in order, each left row takes the free right row of largest ratio (ties: the first), which is then used up.
 
@@ -74,16 +116,21 @@ def best_link(candidates: DataFrame, key: str, url: Column, position: str, bonus
 def nearest(left: DataFrame, right: DataFrame, key: str, radius_m: float, most: int) -> DataFrame:
     """X-01: (id, other, metres, rank): of each left place the `most` nearest right ones within the radius.
 
-    Places are put in cells as wide as the radius; a left one is sent to its own and the eight cells around it, so the
-    join is on equal cells. Longitude cells are as wide as at 60 degrees.
+    Places are put in bands of latitude as high as the radius, and those in cells at least as wide as it is at the band's
+    poleward side, around the whole globe. A left place is sent to the cells around it in its own band and the two next
+    to it, so the join is on equal cells.
     """
     from pyspark.sql.window import Window
 
     step = radius_m / 111_000.0
-    cell = lambda c, s: F.floor(F.col(c) / s)
-    around = F.explode(F.array(*[F.struct((cell("lat", step) + i).alias("y"), (cell("lon", 2 * step) + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    band = lambda c: F.floor(F.col(c) / step)
+    top = lambda y: F.radians(F.least(F.lit(90.0), (F.abs(y) + 2) * step))
+    cells = lambda y: F.greatest(F.lit(1), F.floor(F.lit(360.0) * F.greatest(F.cos(top(y)), F.lit(0.0)) / (1.6 * step))).cast("long")
+    cell = lambda c, n: F.floor(F.pmod(F.col(c) + 180.0, F.lit(360.0)) / 360.0 * n)
+    near = lambda y: F.transform(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda j: F.pmod(cell("lon", cells(y)) + j, cells(y)))), lambda x: F.struct(y.alias("y"), x.alias("x")))
+    around = F.explode(F.concat(*[near(band("lat") + i) for i in (-1, 0, 1)]))
     a = left.select(F.col(key).alias("id"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), around.alias("c")).select("id", "lat1", "lon1", "c.*")
-    b = right.select(F.col(key).alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), cell("lat", step).alias("y"), cell("lon", 2 * step).alias("x"))
+    b = right.select(F.col(key).alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), band("lat").alias("y"), cell("lon", cells(band("lat"))).alias("x"))
     half = lambda p, q: F.pow(F.sin(F.radians(F.col(q) - F.col(p)) / 2), 2)
     metres = 2 * 6371008.8 * F.asin(F.sqrt(half("lat1", "lat2") + F.cos(F.radians("lat1")) * F.cos(F.radians("lat2")) * half("lon1", "lon2")))
     pairs = a.join(b, ["y", "x"]).filter("id != other").select("id", "other", metres.alias("metres")).filter(F.col("metres") <= radius_m)

@@ -108,10 +108,9 @@ def new_case_tasks(cases: DataFrame, case: str, kinds: list[str] = DEFAULT_TASKS
     return cases.select(case, F.explode(F.array(*[F.lit(k) for k in kinds])).alias("task_type")).withColumn("status", F.lit("pending")).withColumn("priority", F.when(F.col("task_type") == "identity", "high").otherwise("medium"))
 
 
-def connector_outcome(status: Column, found: Column) -> Column:
+def connector_outcome(status: Column) -> Column:
     """T-11: what becomes of a task, from its source's status; the first that holds."""
-    return (F.when(status == "unavailable", "unavailable").when(status.isin("requires_manual_action", "requires_auth"), "requires_manual_action")
-            .when(status.isin("maintenance", "rate_limited"), "blocked").when(status == "error", "failed").when(found, "completed").otherwise("completed"))
+    return F.when(status.isin("unavailable", "maintenance", "rate_limited"), "unavailable").when(status.isin("requires_manual_action", "requires_auth"), "requires_manual_action").when(status == "error", "failed").otherwise("completed")
 
 
 def geolocation_outcome(verified: Column, query: Column, hit: Column) -> Column:
@@ -125,7 +124,7 @@ def auction_outcome(locality: Column, matches: Column, certain: Column) -> Colum
 
 
 def settle_manual(actions: DataFrame, tasks: DataFrame, task: str, outcome: str) -> DataFrame:
-    """T-12: tasks that wait for a person take the outcome of their action; others stay."""
-    done = actions.groupBy(task).agg(F.max(outcome).alias("_o"))
-    waits = F.col("status") == "requires_manual_action"
-    return tasks.join(done, task, "left").withColumn("status", F.when(waits & (F.col("_o") == "completed"), "completed").when(waits & (F.col("_o") == "cancelled"), "pending").otherwise(F.col("status"))).drop("_o")
+    """T-12: a task that waits for a person is completed if an action of its is; a cancelled action leaves it waiting."""
+    done = actions.groupBy(task).agg(F.bool_or(F.col(outcome) == "completed").alias("_done"))
+    settled = (F.col("status") == "requires_manual_action") & F.coalesce("_done", F.lit(False))
+    return tasks.join(done, task, "left").withColumn("status", F.when(settled, "completed").otherwise(F.col("status"))).drop("_done")

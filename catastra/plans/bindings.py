@@ -16,7 +16,7 @@ from catastra.streaming import jobs
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-#: DuckDB's form of text.SPACE and of the folded text.
+#: DuckDB's form of text.BLANKS and of the folded text.
 SP = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 AS_OF = "2024-02-01 00:00:00"
 
@@ -185,12 +185,13 @@ def address_tokens(spark, d):
 
 
 @bound("""
-with t as (select o_orderkey, lpad((o_orderkey % 35)::varchar, 2, '0') || '/' || lpad((o_orderkey % 14)::varchar, 2, '0') || '/' || strftime(o_orderdate, '%Y') as raw from orders)
-select o_orderkey, raw, case when substr(raw, 1, 2)::int between 1 and 31 and substr(raw, 4, 2)::int between 1 and 12 then substr(raw, 7) || '-' || substr(raw, 4, 2) || '-' || substr(raw, 1, 2) end as iso from t""")
+with t as (select o_orderkey, lpad((o_orderkey % 35)::varchar, 2, '0') || '/' || lpad((o_orderkey % 14)::varchar, 2, '0') || '/' || strftime(o_orderdate, '%Y') as dmy, case when o_orderkey % 3 = 0 then strftime(o_orderdate, ' %Y-%m-%d') else dmy end as raw from orders)
+select o_orderkey, raw, case when o_orderkey % 3 = 0 then trim(raw) when substr(raw, 1, 2)::int between 1 and 31 and substr(raw, 4, 2)::int between 1 and 12 then substr(raw, 7) || '-' || substr(raw, 4, 2) || '-' || substr(raw, 1, 2) end as iso from t""")
 def date_iso(spark, d):
-    """C-10: ranges alone are tested, so 31/02 stays."""
+    """C-10: ranges alone are tested, so 31/02 stays; ISO dates stay."""
     k = F.col("o_orderkey")
     raw = F.concat_ws("/", F.lpad((k % 35).cast("string"), 2, "0"), F.lpad((k % 14).cast("string"), 2, "0"), F.date_format("o_orderdate", "yyyy"))
+    raw = F.when(k % 3 == 0, F.date_format("o_orderdate", " yyyy-MM-dd")).otherwise(raw)
     return table(spark, d, "orders").select("o_orderkey", raw.alias("raw")).withColumn("iso", text.date_iso(F.col("raw")))
 
 
@@ -324,7 +325,7 @@ def consolidate_keys(spark, d):
 
 @bound("select o_orderkey, l_linenumber, l_quantity from orders join lineitem on l_orderkey = o_orderkey where o_orderstatus = 'O' and l_returnflag = 'N' and l_quantity > 45")
 def case_task_join(spark, d):
-    """J-01, T-15, F-10."""
+    """J-01, F-10."""
     o = table(spark, d, "orders").filter("o_orderstatus = 'O'").select("o_orderkey")
     task = table(spark, d, "lineitem").filter("l_returnflag = 'N' and l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
     return o.join(task, "o_orderkey")
@@ -405,7 +406,7 @@ def manual_cycle(spark, d):
 
 @bound("select event_type, count(*) as n, count(distinct user_id) as users, round(sum(value), 4) as total from events group by 1")
 def results_by_source(spark, d):
-    """A-05, A-15, A-17."""
+    """A-05, A-15."""
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -442,7 +443,7 @@ select c_custkey, 'charges', case when returned > 0 then 'risk' else 'fact' end
 select c_custkey, 'open', 'risk' from c where open > 5 union all
 select c_custkey, 'balance', 'alert' from c where c_acctbal < 0""")
 def dossier_findings(spark, d):
-    """A-10, A-11, J-02 to J-05: the report of each customer in long form."""
+    """A-10, J-02 to J-05: the report of each customer in long form."""
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
     by = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("o_orderstatus") == "O").alias("open"))
     line = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("l_returnflag") == "R").alias("returned"))
@@ -489,23 +490,41 @@ def token_overlap_link(spark, d):
     return best.withColumn("ratio", F.round("ratio", 6))
 
 
-@bound("""
-with a as (select c_custkey as auction, case when c_custkey % 7 = 0 then (c_custkey % 100)::varchar end as number, list_distinct([c_mktsegment, 'k' || (c_custkey % 50)]) as tokens, n_name as district from customer join nation on n_nationkey = c_nationkey),
-p as (select s_suppkey as property, case when s_suppkey % 3 = 0 then (s_suppkey % 100)::varchar end as number, list_distinct(['k' || (s_suppkey % 50), 'k' || (s_suppkey % 31)]) as tokens, n_name as district from supplier join nation on n_nationkey = s_nationkey),
-e as (select auction, property, 1 as r, 'partida' as match_type, 1.0 as score, 'high' as confidence from a join p using (number)),
-t as (select auction, property, count(*) / min(least(na, np)) as ratio from (select auction, unnest(tokens) as t, len(tokens) as na from a) join (select property, unnest(tokens) as t, len(tokens) as np from p) using (t) group by 1, 2),
-n as (select t.auction, t.property, 2 as r, 'address' as match_type, round(ratio * case when a.district = p.district then 0.8 else 0.5 end, 2) as score, case when a.district = p.district and ratio >= 0.6 then 'medium' else 'low' end as confidence from t join a using (auction) join p using (property)),
-d as (select auction, property, 3 as r, 'district' as match_type, 0.3 as score, 'low' as confidence from a join p using (district)),
-u as (select * from e union all select * from n union all select * from d)
-select auction, property, arg_min(match_type, r) as match_type, arg_min(score, r)::double as score, arg_min(confidence, r) as confidence from u group by 1, 2""")
+AUCTIONS = """
+a as (select c_custkey as auction, case when c_custkey % 7 = 0 then (c_custkey % 100)::varchar end as number, ['urb', lower(c_mktsegment), 'k' || (c_custkey % 50)] as w, case when c_custkey % 3 = 0 then n_name || ' - PERU' else n_name end as district from customer join nation on n_nationkey = c_nationkey),
+p as (select s_suppkey as property, case when s_suppkey % 3 = 0 then (s_suppkey % 100)::varchar end as number, list_distinct(['k' || (s_suppkey % 50), 'k' || (s_suppkey % 31)]) as w, case when s_suppkey % 4 = 0 then 'DISTRITO ' || n_name else n_name end as district from supplier join nation on n_nationkey = s_nationkey)"""
+
+
+@bound(f"""
+with {AUCTIONS},
+j as (select auction, property, a.number = p.number as sure, contains(a.district, p.district) or contains(p.district, a.district) as place, len(list_intersect(list_filter(a.w, lambda x: x <> 'urb'), p.w)) / least(2, len(p.w)) as ratio from a, p)
+select auction, property, case when sure then 'partida' when ratio > 0 then 'address' else 'district' end as match_type, case when sure then 1.0 when ratio > 0 then round(ratio * case when place then 0.8 else 0.5 end, 2) else 0.3 end::double as score,
+case when sure then 'high' when ratio >= 0.6 and place then 'medium' else 'low' end as confidence from j where sure or ratio > 0 or place""")
 def auction_link(spark, d):
-    """J-06, J-13, C-30, C-37, C-38: three equi-joins; the first way of a pair counts."""
+    """J-06, C-30, C-37, C-38: three equi-joins; the first way of a pair counts."""
+    return linkage.link_auctions(*auctions_and_properties(spark, d))
+
+
+@bound(f"""
+with {AUCTIONS},
+j as (select property, auction, coalesce(a.number = p.number, false) as sure, contains(a.district, p.district) or contains(p.district, a.district) as place from a, p),
+m as (select property, count(*) filter (where sure or place) as matches, bool_or(sure) as hard from j group by 1)
+select property, matches, hard as hard_match, case when hard then 'high' when matches > 0 then 'low' else 'unknown' end as confidence, case when hard then 'partida' when matches > 0 then 'district' end as best_match_type from m""")
+def auction_plan(spark, d):
+    """J-13: what each property's matching comes to."""
+    return linkage.matching_plan(*auctions_and_properties(spark, d))
+
+
+def auctions_and_properties(spark, d) -> tuple[DataFrame, DataFrame]:
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("district"))
     c, s = table(spark, d, "customer"), table(spark, d, "supplier")
     word = lambda x, m: F.concat(F.lit("k"), (F.col(x) % m).cast("string"))
-    a = c.join(n, c.c_nationkey == n.k).select(F.col("c_custkey").alias("auction"), F.when(F.col("c_custkey") % 7 == 0, (F.col("c_custkey") % 100).cast("string")).alias("number"), F.array_distinct(F.array("c_mktsegment", word("c_custkey", 50))).alias("tokens"), "district")
-    p = s.join(n, s.s_nationkey == n.k).select(F.col("s_suppkey").alias("property"), F.when(F.col("s_suppkey") % 3 == 0, (F.col("s_suppkey") % 100).cast("string")).alias("number"), F.array_distinct(F.array(word("s_suppkey", 50), word("s_suppkey", 31))).alias("tokens"), "district")
-    return linkage.link_auctions(a, p)
+    number = lambda x, m: F.when(F.col(x) % m == 0, F.concat(F.lit(" "), (F.col(x) % 100).cast("string"), F.lit("- "))).alias("number")
+    place = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lower("district"), F.lit(" - Perú"))).otherwise(F.col("district")).alias("district")
+    of = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("Distrito "), F.col("district"))).otherwise(F.col("district")).alias("district")
+    a = c.join(n, c.c_nationkey == n.k).select(F.col("c_custkey").alias("auction"), number("c_custkey", 7), F.concat_ws(" ", F.lit("Urb."), "c_mktsegment", word("c_custkey", 50)).alias("address"), place)
+    p = s.join(n, s.s_nationkey == n.k).select(F.col("s_suppkey").alias("property"), number("s_suppkey", 3), F.concat_ws(", ", word("s_suppkey", 50), word("s_suppkey", 31)).alias("address"), of)
+    return a, p
 
 
 # ---- pages -----------------------------------------------------------------------------------------------------------
@@ -541,17 +560,17 @@ def new_case_tasks(spark, d):
 
 
 @bound("""
-select event_id, case event_type when 'error' then 'failed' when 'signup' then 'requires_manual_action' when 'view' then 'blocked' when 'click' then 'unavailable' else 'completed' end as outcome from events""")
+select event_id, case event_type when 'error' then 'failed' when 'signup' then 'requires_manual_action' when 'view' then 'unavailable' when 'click' then 'unavailable' else 'completed' end as outcome from events""")
 def connector_outcome(spark, d):
-    """T-07, T-11, J-15."""
+    """T-11: sources in maintenance and unavailable ones come to the same."""
     status = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "requires_auth").when(F.col("event_type") == "view", "maintenance").when(F.col("event_type") == "click", "unavailable").otherwise("available")
-    return table(spark, d, "events").select("event_id", research.connector_outcome(status, F.lit(True)).alias("outcome"))
+    return table(spark, d, "events").select("event_id", research.connector_outcome(status).alias("outcome"))
 
 
 @bound("""
 select c_custkey, case when c_acctbal > 9000 then 'skipped' when c_custkey % 5 = 0 then 'requires_manual_action' when n_nationkey is null then 'failed' else 'completed' end as outcome from customer left join nation on n_nationkey = c_nationkey and n_regionkey < 3""")
 def geolocation_outcome(spark, d):
-    """T-08, T-09, F-20: against a gazetteer."""
+    """T-09, F-20: against a gazetteer."""
     c, n = table(spark, d, "customer"), table(spark, d, "nation").filter("n_regionkey < 3")
     j = c.join(n, c.c_nationkey == n.n_nationkey, "left")
     return j.select("c_custkey", research.geolocation_outcome(F.col("c_acctbal") > 9000, F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")), F.col("n_nationkey").isNotNull()).alias("outcome"))
@@ -559,9 +578,9 @@ def geolocation_outcome(spark, d):
 
 @bound("""
 with t as (select l_orderkey, max(case when l_linestatus = 'O' then 1 else 0 end) as waits from lineitem group by 1)
-select l_orderkey, case when waits = 1 then case o_orderstatus when 'O' then 'completed' when 'P' then 'pending' else 'requires_manual_action' end else 'completed' end as status from t join orders on o_orderkey = l_orderkey""")
+select l_orderkey, case when waits = 1 then case o_orderstatus when 'O' then 'completed' else 'requires_manual_action' end else 'completed' end as status from t join orders on o_orderkey = l_orderkey""")
 def settle_manual(spark, d):
-    """T-12, D-07."""
+    """T-12: a cancelled action leaves its task waiting."""
     t = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max(F.when(F.col("l_linestatus") == "O", 1).otherwise(0)).alias("w")).select("l_orderkey", F.when(F.col("w") == 1, "requires_manual_action").otherwise("completed").alias("status"))
     o = table(spark, d, "orders")
     actions = o.select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") == "O", "completed").when(F.col("o_orderstatus") == "P", "cancelled").alias("outcome"))
@@ -624,11 +643,13 @@ def price_alert(spark, d):
 
 
 @bound("""
-with g as (select c_custkey, c_acctbal, (c_custkey * 37 % 1000) / 1000.0 as lat, (c_custkey * 91 % 1000) / 1000.0 as lon from customer),
-n as (select a.c_custkey as id, b.c_custkey as other, 2 * 6371008.8 * asin(sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2))) as metres from g a join g b on a.c_custkey <> b.c_custkey and abs(a.lat - b.lat) < 0.03 and abs(a.lon - b.lon) < 0.03 where a.c_custkey % 10 = 0),
+with g as (select c_custkey, (c_custkey * 37 % 1000) / 1000.0 + case when c_custkey % 2 = 0 then 70 else 0 end as lat, (c_custkey * 91 % 1000) / 1000.0 + 179.5 as l, case when l > 180 then l - 360 else l end as lon from customer),
+n as (select a.c_custkey as id, b.c_custkey as other, 2 * 6371008.8 * asin(sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2))) as metres from g a join g b on a.c_custkey <> b.c_custkey and abs(a.lat - b.lat) < 0.03),
 r as (select *, row_number() over (partition by id order by round(metres, 3), other) as rank from n where metres <= 2000)
 select id, other, round(metres, 3) as metres, rank::int as rank from r where rank <= 10""")
 def radius_comparables(spark, d):
     """X-01: the ten nearest within two kilometres; each place meets only those of its own and the next cells of a grid."""
-    c = table(spark, d, "customer").select("c_custkey", ((F.col("c_custkey") * 37 % 1000) / 1000.0).alias("lat"), ((F.col("c_custkey") * 91 % 1000) / 1000.0).alias("lon"))
-    return linkage.nearest(c.filter("c_custkey % 10 = 0"), c, "c_custkey", 2000.0, 10).select("id", "other", F.round("metres", 3).alias("metres"), "rank")
+    k = F.col("c_custkey")
+    lon = (k * 91 % 1000) / 1000.0 + 179.5
+    c = table(spark, d, "customer").select("c_custkey", ((k * 37 % 1000) / 1000.0 + F.when(k % 2 == 0, 70).otherwise(0)).alias("lat"), F.when(lon > 180, lon - 360).otherwise(lon).alias("lon"))
+    return linkage.nearest(c, c, "c_custkey", 2000.0, 10).select("id", "other", F.round("metres", 3).alias("metres"), "rank")

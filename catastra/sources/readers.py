@@ -1,4 +1,4 @@
-"""Scans of captured rows (S-01 to S-08, S-16), and a registry of sources (S-17 to S-20)."""
+"""Scans of captured rows (S-01 to S-07, S-16), and a registry of sources (S-17 to S-20)."""
 
 from __future__ import annotations
 

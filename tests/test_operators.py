@@ -105,6 +105,18 @@ def test_nearby_text_of_first_place(spark):
     assert r.id == "1234567890" and r.position == 10 and "hello" in r.near
 
 
+def test_nearby_text_is_that_of_the_match(spark):
+    t = "see 1234567890 first " + "x" * 100 + ' "id":"1234567890" here'
+    r = html.nearby(spark.createDataFrame([(1, t)], "k int, t string"), "k", "t", '"id":"(\\d{10,})"', 30).first()
+    assert r.position == t.index('"id"') + 7 and "here" in r.near and "see" not in r.near
+
+
+def test_places_near_the_poles_and_the_date_line(spark):
+    at = [(1, 70.0, 10.0), (2, 70.0, 10.045), (3, 89.999, 0.0), (4, 89.999, 180.0), (5, 10.0, 179.995), (6, 10.0, -179.995), (7, -70.0, 10.0)]
+    df = spark.createDataFrame(at, "k int, lat double, lon double")
+    assert {(r.id, r.other) for r in linkage.nearest(df, df, "k", 2000.0, 5).collect()} == {(1, 2), (2, 1), (3, 4), (4, 3), (5, 6), (6, 5)}
+
+
 def test_registry_labels(spark):
     rows = spark.createDataFrame([("a", "si", 10.0, "PEN", "2020-01-01"), ("a", "no", 5.0, "PEN", None), ("b", "no", 1.0, "USD", None)], "o string, act string, m double, c string, d string")
     out = {r.o: (r.state, r.debt_pen, r.last_date) for r in records.registry_state(rows, "o", F.col("act") == "si", F.col("act") == "no", F.col("m"), F.col("c"), F.col("d"), ["PEN", "USD"]).collect()}

@@ -25,6 +25,7 @@ def one(spark, column, value):
         (text.date_iso, "31/02/2026", "2026-02-31"),
         (text.date_iso, "32/01/2026", None),
         (text.date_iso, "1/2/2026", None),
+        (text.date_iso, " 2026-03-04 ", "2026-03-04"),
         (text.amount_pen, "S/ 1,234.56", 1234.56),
         (text.amount_pen, "S/. 900", 900.0),
         (text.amount_pen, "US$ 100", None),
@@ -34,6 +35,7 @@ def one(spark, column, value):
         (text.title_case, "jose LUIS torres", "Jose Luis Torres"),
         (text.title_case_acronyms, "inmobiliaria s.a.c.", "Inmobiliaria S.A.C."),
         (text.strip_accents, "Camaná Ñuñoa", "Camana Nunoa"),
+        (text.strip_accents, "ā ő e\u0301 ẫ ø", "a o e a ø"),
         (text.link_number, "p-12 345.6", "P123456"),
         (text.document_type, "Carnet de extranjería", "CE"),
         (text.owner_type, "persona jurídica", "persona_juridica"),
