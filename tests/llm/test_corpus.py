@@ -138,6 +138,13 @@ def test_components_of_long_chains(spark):
     assert got == components(pairs, {x for p in pairs for x in p}) | {}
 
 
+def test_components_with_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    pairs = [(0, i) for i in range(1, 30)] + [(100, i) for i in range(20, 60)] + [(200, 201), (300, 301), (301, 302)]
+    got = {r.node: r.label for r in connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == components(pairs, {x for p in pairs for x in p})
+
+
 # ---- shards ----------------------------------------------------------------------------------------------------------
 
 
