@@ -277,8 +277,8 @@ def hours_between(start: Column, end: Column) -> Column:
 
 
 def csv_field(c: Column) -> Column:
-    """C-43, K-06: line ends and tabs become blanks; quotes only where needed."""
-    t = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\r\n\t]+", " ")
+    """C-43, K-06: each line end and each tab becomes a blank; quotes only where needed."""
+    t = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"\r?\n|\t", " ")
     return F.when(t.rlike('[",]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t)
 
 

@@ -64,3 +64,13 @@ def stale_passes(passes: DataFrame, key: str, order: str, new_rows: Column) -> D
     island = passes.withColumn("_i", F.sum(F.when(new_rows > 0, 1).otherwise(0)).over(w))
     count = F.sum(F.when(new_rows > 0, 0).otherwise(1)).over(Window.partitionBy(key, "_i").orderBy(order))
     return island.withColumn("stale_passes", count).drop("_i")
+
+
+def queue_depth(jobs: DataFrame, queues: DataFrame, queue: str, state: str, states: list[str]) -> DataFrame:
+    """A-17: jobs of each queue by state; null throughout for a queue that reports none."""
+    return queues.select(queue).join(jobs.groupBy(queue).agg(*[F.count_if(F.col(state) == s).alias(s) for s in states]), queue, "left")
+
+
+def connected(depths: DataFrame, states: list[str]) -> DataFrame:
+    """A-17: whether any queue reports; false for none."""
+    return depths.agg(F.coalesce(F.bool_or(F.coalesce(*states).isNotNull()), F.lit(False)).alias("connected"))

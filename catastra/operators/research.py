@@ -1,4 +1,4 @@
-"""Task and case state machines (T-01 to T-12), progress (A-06), run numbers (A-07, W-01), transitions (W-05)."""
+"""Task and case state machines (T-01 to T-12, T-15), writes on them (K-13, D-07), progress (A-06), run numbers (A-07, W-01), transitions (W-05)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from catastra.operators.resolve import earliest
+
 # From each state, the states that it may become.
 TASK_EDGES = {
     "pending": ["running", "completed", "failed", "requires_manual_action", "blocked", "unavailable", "skipped"],
@@ -34,7 +36,9 @@ TASK_DONE = ["completed", "failed", "skipped", "unavailable", "blocked"]
 TASK_RETRYABLE = ["failed", "blocked", "unavailable", "requires_manual_action"]
 TASK_WARNING = ["requires_manual_action", "blocked", "unavailable"]
 CASE_TERMINAL = ["completed", "partial", "failed", "cancelled"]
-DEFAULT_TASKS = ["identity", "geolocation", "registry", "urban", "judicial", "market", "news", "documents"]
+DEFAULT_TASKS = ["identity", "geolocation", "registry", "bgr", "urbanism", "judicial", "market", "risk"]
+# The source that a task of each kind asks.
+TASK_SOURCES = {"registry": "sunarp", "bgr": "sunarp_bgr", "urbanism": "impla", "judicial": "remaju"}
 
 
 def edges(spark: SparkSession, graph: dict[str, list[str]]) -> DataFrame:
@@ -128,3 +132,51 @@ def settle_manual(actions: DataFrame, tasks: DataFrame, task: str, outcome: str)
     done = actions.groupBy(task).agg(F.bool_or(F.col(outcome) == "completed").alias("_done"))
     settled = (F.col("status") == "requires_manual_action") & F.coalesce("_done", F.lit(False))
     return tasks.join(done, task, "left").withColumn("status", F.when(settled, "completed").otherwise(F.col("status"))).drop("_done")
+
+
+def dispatch(kind: Column) -> Column:
+    """T-07: how a task of this kind is done; kinds that nothing does are unavailable."""
+    return F.when(kind.isin("identity", "geolocation"), kind).when(kind.isin("registry", "bgr", "urbanism"), "connector").when(kind == "judicial", "auction").otherwise("unavailable")
+
+
+def task_source(kind: Column) -> Column:
+    """J-15: the source of a kind of task; null if it has none."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in TASK_SOURCES.items() for x in pair]), kind)
+
+
+def compare_and_set(tasks: DataFrame, changes: DataFrame, key: str, status: str, graph: dict[str, list[str]]) -> DataFrame:
+    """K-13: tasks with `applied`: null without a change, false where the state is not the expected one or may not become the target.
+
+    changes: (key, ordinal, expected, target). Of several for a key the least ordinal counts, as the state that the
+    others expect is gone; fold_tasks replays whole histories.
+    """
+    first = changes.groupBy(key).agg(F.min(F.struct("ordinal", "expected", "target")).alias("_c"))
+    c = F.col("_c")
+    fits = F.coalesce((F.col(status) == c["expected"]) & allowed(c["expected"], c["target"], graph), F.lit(False))
+    out = tasks.join(first, key, "left").withColumn("applied", F.when(c.isNotNull(), fits))
+    return out.withColumn(status, F.when(F.col("applied"), c["target"]).otherwise(F.col(status))).drop("_c")
+
+
+def request_actions(actions: DataFrame, requests: DataFrame, task: str, ordinal: str) -> DataFrame:
+    """D-07: actions and those that the requests add, told by `created`: one for each task without a requested one.
+
+    actions: (task, action_kind, status, ordinal, ...); requests: (task, action_kind, ordinal, ...). A missing kind is a
+    user's action.
+    """
+    live = actions.filter("status = 'requested'").select(task)
+    new = earliest(requests, [task], [F.col(ordinal)]).join(live, task, "left_anti")
+    new = new.withColumns({"action_kind": F.coalesce("action_kind", F.lit("user_action")), "status": F.lit("requested"), "created": F.lit(True)})
+    return actions.withColumn("created", F.lit(False)).unionByName(new, allowMissingColumns=True)
+
+
+def mark_geolocation(tasks: DataFrame, marks: DataFrame, owner: str) -> DataFrame:
+    """T-15: the geolocation tasks of each marked property that are pending or running take the mark; settled ones stay.
+
+    marks: (owner, ordinal, mark, error); of several the least ordinal counts. `moved` tells the tasks, `error` says why
+    one that is not completed moved, `needs_action` which ones wait for a person now.
+    """
+    m = marks.groupBy(owner).agg(F.min(F.struct("ordinal", "mark", "error")).alias("_m"))
+    moved = F.coalesce((F.col("task_type") == "geolocation") & F.col("status").isin("pending", "running") & F.col("_m").isNotNull(), F.lit(False))
+    out = tasks.join(m, owner, "left").withColumn("moved", moved)
+    done = F.col("_m.mark") == "completed"
+    return out.withColumns({"status": F.when(F.col("moved"), F.col("_m.mark")).otherwise(F.col("status")), "error": F.when(F.col("moved") & ~done, F.col("_m.error")), "needs_action": F.col("moved") & F.coalesce(F.col("_m.mark") == "requires_manual_action", F.lit(False))}).drop("_m")

@@ -1,4 +1,4 @@
-"""Writes and entity resolution as set operations: K-01 to K-05, K-12, D-01, D-03, D-04, D-05, U-04."""
+"""Writes and entity resolution as set operations: K-01 to K-05, K-12, D-01 to D-03, D-04, D-05, U-04."""
 
 from __future__ import annotations
 
@@ -69,6 +69,16 @@ def resolve_properties(new: DataFrame, existing: DataFrame | None, source: str,
     return joined.select(source, external, digest, ordinal, action.alias("action"), F.coalesce("_p1", "_p2", F.col("first.name")).alias("property"), (F.coalesce("_old", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("listing_count"))
 
 
+def resolve_external(wanted: DataFrame, captured: DataFrame, existing: DataFrame | None, source: str, external: str, digest: str, ordinal: str) -> DataFrame:
+    """D-02: (source, external, property) of each wanted listing that was captured; one that is not in the table yet is resolved by D-01 on the way.
+
+    captured: one row for each (source, external).
+    """
+    keys = [source, external]
+    made = resolve_properties(captured.join(wanted.select(*keys).distinct(), keys, "left_semi"), existing, source, external, digest, ordinal)
+    return made.select(*keys, "property")
+
+
 def audit(rows: DataFrame, entity: str, action: Column, as_of: str) -> DataFrame:
     """K-12."""
     return rows.select(F.lit(entity).alias("entity"), action.alias("action"), F.lit(as_of).cast("timestamp").alias("at"))

@@ -553,7 +553,7 @@ def link_argmax(spark, d):
 
 
 @bound("""
-select o_orderkey, t.t as task_type, 'pending' as status, case when t.t = 'identity' then 'high' else 'medium' end as priority from orders, unnest(['identity', 'geolocation', 'registry', 'urban', 'judicial', 'market', 'news', 'documents']) t(t) where o_orderstatus = 'P'""")
+select o_orderkey, t.t as task_type, 'pending' as status, case when t.t = 'identity' then 'high' else 'medium' end as priority from orders, unnest(['identity', 'geolocation', 'registry', 'bgr', 'urbanism', 'judicial', 'market', 'risk']) t(t) where o_orderstatus = 'P'""")
 def new_case_tasks(spark, d):
     """T-05."""
     return research.new_case_tasks(table(spark, d, "orders").filter("o_orderstatus = 'P'"), "o_orderkey")

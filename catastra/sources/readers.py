@@ -37,6 +37,11 @@ def by_link(bronze: DataFrame, link: str, prefix: str | None = None) -> DataFram
     return bronze.filter(hit).orderBy("id").limit(1)
 
 
+def by_prefix(rows: DataFrame, prefix: str, key: str = "id") -> DataFrame:
+    """S-06: keys of a prefix and at least one more character; the underscore stands for any one."""
+    return rows.filter(F.col(key).like(f"{prefix}_%"))
+
+
 def with_default(rows: DataFrame, default: DataFrame) -> DataFrame:
     """S-16: rows, or the default where there are none."""
     return default if rows.isEmpty() else rows
