@@ -132,7 +132,7 @@ select n_name as queue, waiting, active, failed from nation left join (select c_
 def queue_depth(spark, d):
     """A-17: a queue that reports nothing has no counts."""
     n, b = table(spark, d, "nation"), F.col("c_acctbal")
-    jobs = table(spark, d, "customer").filter("c_nationkey % 4 > 0").join(F.broadcast(n.select("n_nationkey", F.col("n_name").alias("queue"))), F.col("c_nationkey") == F.col("n_nationkey")).select("queue", F.when(b < 0, "waiting").when(b <= 5000, "active").otherwise("failed").alias("state"))
+    jobs = table(spark, d, "customer").filter("c_nationkey % 4 > 0").join(n.select("n_nationkey", F.col("n_name").alias("queue")), F.col("c_nationkey") == F.col("n_nationkey")).select("queue", F.when(b < 0, "waiting").when(b <= 5000, "active").otherwise("failed").alias("state"))
     return records.queue_depth(jobs, n.select(F.col("n_name").alias("queue")), "queue", "state", ["waiting", "active", "failed"])
 
 
