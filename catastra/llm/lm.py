@@ -3,96 +3,71 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import WORD, partitions, word_hashes, windows
+from .common import WORD, staged, windows, word_hashes
 
-#: A chunk of documents closes at so many words, a bucket of the count tables holds about so many n-grams.
-CHUNK_WORDS = 1 << 20
-BUCKET_NGRAMS = 1 << 20
+GRAMS = "n int, h long, context long, suffix long, c long"
+PLACES = "_row long, m int, h long, k long"
 
-#: Hashes are kept so long that of 2 ** SPARE_BITS n-grams about one shares its hash with another, at any size of corpus (64 bits at most).
-SPARE_BITS = 24
 
-CHUNK = "chunk long, ids array<string>, lengths binary, vocabulary binary, words binary, n long"
-TABLE = "n int, bucket long, chunk long, many long, hashes binary, counts binary"
-TOTALS = "chunk long, n int, bucket long, many long, totals binary"
+def levels(text: str | None, order: int) -> list[np.ndarray]:
+    """Hashes of a text's n-grams, for n from 1 to order."""
+    h = word_hashes((text or "").encode("utf-8", "replace"))
+    return [windows(h, n) for n in range(1, order + 1)]
 
 
-def planes(a: np.ndarray) -> bytes:
-    """The bytes of a, compressed; all lowest bytes first, so that the zeros of the high bytes lie together."""
-    import zstandard
+def exploded(docs: DataFrame, order: int, text: str) -> DataFrame:
+    """A row for each n-gram of each Arrow batch: its hash, those of the n-gram less its last and its first word, its count in the batch."""
 
-    if not len(a):
-        return b""
-    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T), 1)
-
-
-def unplanes(b: bytes, kind) -> np.ndarray:
-    import zstandard
-
-    size = np.dtype(kind).itemsize
-    if not b:
-        return np.empty(0, kind)
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
-def pack(h: np.ndarray) -> bytes:
-    return planes(np.diff(h, prepend=np.uint64(0)))
-
-
-def unpack(b: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(b, np.uint64), dtype=np.uint64)
-
-
-def chunks(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """Documents of a partition in chunks: their ids, lengths and words as indexes of the chunk's own vocabulary."""
-
-    def pack_chunk(number: int, ids: list, hashes: list):
+    def run(batches):
         import pyarrow as pa
 
-        h = np.concatenate([np.empty(0, np.uint64), *hashes])
-        vocabulary, words = np.unique(h, return_inverse=True)
-        row = [[number], [ids], [planes(np.fromiter(map(len, hashes), np.int32, len(hashes)))], [pack(vocabulary)], [planes(words.astype(np.uint32))], [len(h)]]
-        kinds = [pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["chunk", "ids", "lengths", "vocabulary", "words", "n"])
-
-    def cut(batches):
-        from pyspark import TaskContext
-
-        number, ids, hashes, n = TaskContext.get().partitionId() << 32, [], [], 0
         for b in batches:
-            for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                h = word_hashes((t.as_py() or "").encode("utf-8", "replace"))
-                ids.append(key)
-                hashes.append(h)
-                n += len(h)
-                if n >= CHUNK_WORDS or len(ids) >= CHUNK_WORDS // 4:
-                    yield pack_chunk(number, ids, hashes)
-                    number, ids, hashes, n = number + 1, [], [], 0
-        if ids:
-            yield pack_chunk(number, ids, hashes)
+            all_levels = [levels(t.as_py(), order) for t in b.column(0)]
+            for n in range(1, order + 1):
+                full = np.concatenate([x[n - 1] for x in all_levels])
+                u, at, c = np.unique(full, return_index=True, return_counts=True)
+                context = suffix = np.zeros(len(u), np.uint64)
+                if n > 1:
+                    context = np.concatenate([x[n - 2][:-1] for x in all_levels])[at]
+                    suffix = np.concatenate([x[n - 2][1:] for x in all_levels])[at]
+                cols = [np.full(len(u), n, np.int32), u.view(np.int64), context.view(np.int64), suffix.view(np.int64), c]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["n", "h", "context", "suffix", "c"])
 
-    return docs.select(F.col(id).cast("string").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, CHUNK)
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, GRAMS)
 
 
-def ngrams(lengths: np.ndarray, h: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (the highest `bits`) of the n-grams that end at each word, and whether there is one (none reaches over the start of a document)."""
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else np.empty(0, int)
-    at = np.arange(len(h)) - np.repeat(starts, lengths)
-    out = np.zeros(len(h), np.uint64)
-    if len(h) >= n:
-        out[n - 1 :] = windows(h, n)
-    return out >> np.uint64(64 - bits), at >= n - 1
+def places(rows: DataFrame, order: int, text: str) -> DataFrame:
+    """A row for each n-gram of each document that ends at some word and is the longest there: m words, hash, how often."""
 
+    def run(batches):
+        import pyarrow as pa
 
-def cuts(u: np.ndarray, buckets: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers of sorted hashes, and where each bucket begins."""
-    b = ((u >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
-    return np.unique(b, return_index=True)
+        for b in batches:
+            out = []
+            for row, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                by_n = levels(t.as_py(), order)
+                for m in range(1, order + 1):
+                    h, k = np.unique(by_n[m - 1] if m == order else by_n[m - 1][:1], return_counts=True)
+                    out.append((np.full(len(h), row), np.full(len(h), m, np.int32), h.view(np.int64), k))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["_row", "m", "h", "k"])
+
+    return rows.select("_row", F.col(text).cast("string").alias("text")).mapInArrow(run, PLACES)
+
+
+def score_tables(counts: DataFrame, order: int, alpha: float, min_count: int) -> list[DataFrame]:
+    """For n from 1 to order: the n-grams of the corpus with the log of their stupid-backoff score."""
+    of = lambda n: counts.filter(F.col("n") == n)
+    total = of(1).agg(F.coalesce(F.sum("c"), F.lit(1))).first()[0]  # one number
+    out = [of(1).select("h", (F.log("c") - float(np.log(total))).alias("s"))]
+    for n in range(2, order + 1):
+        seen = of(n).filter(F.col("c") >= min_count).join(of(n - 1).select(F.col("h").alias("context"), F.col("c").alias("before")), "context").select("h", (F.log("c") - F.log("before")).alias("s"))
+        rest = of(n).filter(F.col("c") < min_count).join(out[-1].withColumnRenamed("h", "suffix"), "suffix").select("h", (F.col("s") + float(np.log(alpha))).alias("s"))
+        out.append(staged(seen.unionAll(rest)))
+    return out
 
 
 def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -102,76 +77,24 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_coun
     (1 for single words), times alpha for each word that the context was shortened by; S(w) is count(w) over all
     words. Counts come from all texts of docs; contexts do not reach over the start of a text.
 
-    Words are 64-bit hashes, n-grams hashes of a length that grows with the corpus (see SPARE_BITS). Each chunk of documents sends every n-gram that it holds once, with its count,
-    to the bucket of its hash; the buckets add the counts up, and send to each chunk the totals it asked for; the chunk
-    looks its documents' n-grams up and sums. So a frequent n-gram costs one entry a chunk, never one an occurrence.
+    Words are 64-bit hashes, n-grams 64-bit hashes of those. The count tables are grouped by hash. Each n-gram's score
+    comes from its own count and, by a join, the count of its context or the score of its suffix; the n-grams of the
+    documents are exploded (once a document, with how often), joined to the scores by hash and summed.
 
     Null and empty texts have n_words 0 and null scores. Repeated rows count and are scored as often as they occur.
-    Ids are of any type that text casts to. Other columns do not matter.
+    Ids are of any type. Other columns do not matter. docs is read more than once and must give the same rows each time.
     """
-    spark = docs.sparkSession
-    total = int(docs.agg(F.coalesce(F.sum(F.regexp_count(F.col(text).cast("string"), F.lit(WORD))), F.lit(0))).first()[0])
-    buckets = max(2 * partitions(spark), -(-total // BUCKET_NGRAMS))
-    bits = min(64, max(32, (total * order).bit_length() + SPARE_BITS))
-    # one exchange, which both the counting and the scoring read
-    table = chunks(docs, id, text).repartition(partitions(spark), "chunk")
-
-    def send(frames):
-        for pdf in frames:
-            for c in pdf.itertuples(index=False):
-                lengths, h = unplanes(c.lengths, np.int32), unpack(c.vocabulary)[unplanes(c.words, np.uint32)]
-                for n in range(1, order + 1):
-                    out = []
-                    g, there = ngrams(lengths, h, n, bits)
-                    u, counts = np.unique(g[there], return_counts=True)
-                    if not len(u):
-                        continue
-                    b, at = cuts(u, buckets, bits)
-                    for k, lo, hi in zip(b, at, [*at[1:], len(u)], strict=True):
-                        out.append((n, int(k), c.chunk, hi - lo, pack(u[lo:hi]), planes(counts[lo:hi].astype(np.int64))))
-                    yield pd.DataFrame(out, columns=["n", "bucket", "chunk", "many", "hashes", "counts"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, which = np.unique(np.concatenate([unpack(x) for x in pdf.hashes]), return_inverse=True)
-        total = np.zeros(len(u), np.int64)
-        np.add.at(total, which, np.concatenate([unplanes(x, np.int64) for x in pdf.counts]))
-        ends = np.cumsum(pdf.many)
-        return pd.DataFrame({"chunk": pdf.chunk, "n": pdf.n, "bucket": pdf.bucket, "many": pdf.many, "totals": [planes(total[which[e - m : e]]) for e, m in zip(ends, pdf.many, strict=True)]})
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        c = left.iloc[0]
-        lengths, h = unplanes(c.lengths, np.int32), unpack(c.vocabulary)[unplanes(c.words, np.uint32)]
-        right = right.sort_values(["n", "bucket"])
-        count = []
-        for n in range(1, order + 1):
-            g, there = ngrams(lengths, h, n, bits)
-            u, which = np.unique(g[there], return_inverse=True)
-            mine = right[right.n == n]
-            totals = np.concatenate([np.empty(0, np.int64), *[unplanes(x, np.int64) for x in mine.totals]])
-            full = np.zeros(len(h), np.int64)
-            full[there] = totals[which]
-            count.append(full)
-        s, done = np.zeros(len(h)), np.zeros(len(h), bool)
-        for n in range(order, 1, -1):
-            hit = ~done & (count[n - 1] >= min_count)
-            before = np.concatenate(([0], count[n - 2][:-1]))
-            s[hit] = np.log(count[n - 1][hit]) - np.log(before[hit]) + (order - n) * np.log(alpha)
-            done |= hit
-        s[~done] = np.log(count[0][~done]) - np.log(total) + (order - 1) * np.log(alpha)
-        # at the start of a document only so many words of context exist, and nothing was shortened
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else np.empty(0, int)
-        at = np.arange(len(h)) - np.repeat(starts, lengths)
-        s -= np.maximum(0, order - 1 - at) * np.log(alpha)
-        sums = np.zeros(len(lengths))
-        np.add.at(sums, np.repeat(np.arange(len(lengths)), lengths), s)
-        some = lengths > 0
-        return pd.DataFrame({"id": c.ids, "n_words": lengths.astype(np.int64), "log_score": np.where(some, sums, np.nan), "mean_log_score": np.where(some, sums / np.maximum(lengths, 1), np.nan)})
-
-    sent = table.mapInPandas(send, TABLE)  # of all columns: with fewer, the exchange would be another
-    totals = sent.groupBy("n", "bucket").applyInPandas(add, TOTALS)
-    out = table.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInPandas(score, "id string, n_words long, log_score double, mean_log_score double")
-    blank = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    return out.select(F.col("id").cast(docs.schema[id].dataType).alias(id), "n_words", blank("log_score"), blank("mean_log_score"))
+    rows = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("text")).withColumn("_row", F.monotonically_increasing_id())
+    counts = staged(exploded(docs, order, text).groupBy("n", "h").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("c").alias("c")))
+    scores = score_tables(counts, order, alpha, min_count)
+    every = rows.select("_row", "_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n"), F.lit(0.0).alias("s"))
+    found = places(rows, order, "text")
+    for m in range(1, order + 1):
+        part = found.filter(F.col("m") == m).drop("m")
+        every = every.unionByName(part.join(scores[m - 1], "h").select("_row", F.lit(None).cast(docs.schema[id].dataType).alias("_id"), F.lit(None).cast("long").alias("n"), (F.col("k") * F.col("s")).alias("s")))
+    out = every.groupBy("_row").agg(F.max("_id").alias(id), F.coalesce(F.max("n"), F.lit(0)).alias("n_words"), F.sum("s").alias("s"))
+    some = F.col("n_words") > 0
+    return out.select(id, "n_words", F.when(some, F.col("s")).alias("log_score"), F.when(some, F.col("s") / F.col("n_words")).alias("mean_log_score"))
 
 
 def oracle(order: int = 3, alpha: float = 0.4, min_count: int = 2) -> str:

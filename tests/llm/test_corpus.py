@@ -70,8 +70,7 @@ def plain_backoff(texts, order, alpha, least):
 
 
 @pytest.mark.parametrize(("order", "least"), [(1, 1), (2, 1), (3, 2), (4, 2)])
-def test_scores_against_a_plain_model(spark, monkeypatch, order, least):
-    monkeypatch.setattr(lm, "CHUNK_WORDS", 400)
+def test_scores_against_a_plain_model(spark, order, least):
     r = random.Random(order)
     texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 2) for _ in range(r.randint(0, 60))) for _ in range(60)] + [None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
