@@ -106,6 +106,29 @@ def greedy(pairs: DataFrame, group: str, left: str, right: str, ratio: str, leas
     return pairs.groupBy(group).applyInPandas(take, ", ".join(f"{c} {types[c]}" for c in (group, left, right, ratio)))
 
 
+def backfill(cards: DataFrame, stored: DataFrame, prefix: str, least: float = 0.5) -> DataFrame:
+    """J-08: (ordinal, action, id): what cards(ordinal, key, href, text) do to stored(id, url, title, description), by the links as they were before.
+
+    Only cards with a canonical link count. One whose key is stored gives its link to that row (linked_key), unless the
+    row has a canonical one. Else it takes the free row of the prefix without such a link whose title or description
+    shares most words, from `least` on (linked_text; see greedy). Else a row of the prefix under another key with the same
+    link is a duplicate (deleted).
+    """
+    c = cards.filter(text.is_permalink(F.col("href")))
+    open_ = stored.filter(~text.is_permalink(F.coalesce("url", F.lit(""))))
+    known = c.join(stored.select(F.col("id").alias("key")).distinct(), "key", "left_semi")
+    by_key = c.join(open_.select(F.col("id").alias("key")), "key").groupBy("key").agg(F.min("ordinal").alias("ordinal")).select("ordinal", F.lit("linked_key").alias("action"), F.col("key").alias("id"))
+    rest = c.join(known.select("ordinal"), "ordinal", "left_anti")
+    words = rest.select("ordinal", text.title_tokens(F.col("text")).alias("words"))
+    pool = open_.filter(F.col("id").like(f"{prefix}_%"))
+    pairs = [token_overlap(words, pool.select("id", text.title_tokens(F.col(x)).alias("words")), "ordinal", "id", "words") for x in ("title", "description")]
+    best = pairs[0].unionByName(pairs[1]).groupBy("ordinal", "id").agg(F.max("ratio").alias("ratio")).withColumn("feed", F.lit(prefix))
+    by_text = greedy(best, "feed", "ordinal", "id", "ratio", least).select("ordinal", F.lit("linked_text").alias("action"), "id")
+    same = rest.join(by_text.select("ordinal"), "ordinal", "left_anti").join(stored.filter(F.col("id").like(f"{prefix}_%")).select("id", F.col("url").alias("href")), "href").filter(F.col("id") != F.col("key"))
+    gone = same.groupBy("ordinal").agg(F.min("id").alias("id")).select("ordinal", F.lit("deleted").alias("action"), "id")
+    return by_key.unionByName(by_text).unionByName(gone)
+
+
 def best_link(candidates: DataFrame, key: str, url: Column, position: str, bonus: list[tuple[Column, int]]) -> DataFrame:
     """A-12: of each key the link of largest score (sum of the bonuses that hold), the first of equals."""
     score = sum((F.when(test, points).otherwise(0) for test, points in bonus), F.lit(0))

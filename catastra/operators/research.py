@@ -112,6 +112,18 @@ def new_case_tasks(cases: DataFrame, case: str, kinds: list[str] = DEFAULT_TASKS
     return cases.select(case, F.explode(F.array(*[F.lit(k) for k in kinds])).alias("task_type")).withColumn("status", F.lit("pending")).withColumn("priority", F.when(F.col("task_type") == "identity", "high").otherwise("medium"))
 
 
+def create_cases(properties: DataFrame, cases: DataFrame, requests: DataFrame) -> DataFrame:
+    """T-05, A-07: of requests(property_id, ordinal, created_by) those whose property is in the table, as new cases with their run numbers, which go on from those of cases(property_id, run_number).
+
+    A missing creator is the system. new_case_tasks makes their tasks.
+    """
+    real = requests.join(properties.select(F.col("id").alias("property_id")), "property_id", "left_semi")
+    last = cases.groupBy("property_id").agg(F.max("run_number").alias("_last"))
+    nth = F.row_number().over(Window.partitionBy("property_id").orderBy("ordinal"))
+    out = real.withColumn("_nth", nth).join(last, "property_id", "left")
+    return out.select("property_id", "ordinal", (F.coalesce("_last", F.lit(0)) + F.col("_nth")).cast("long").alias("run_number"), F.lit("created").alias("status"), F.lit(len(DEFAULT_TASKS)).alias("total_task_count"), F.coalesce("created_by", F.lit("system")).alias("created_by"))
+
+
 def connector_outcome(status: Column) -> Column:
     """T-11: what becomes of a task, from its source's status; the first that holds."""
     return F.when(status.isin("unavailable", "maintenance", "rate_limited"), "unavailable").when(status.isin("requires_manual_action", "requires_auth"), "requires_manual_action").when(status == "error", "failed").otherwise("completed")

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catastra.sources.shared import shared_dir
+
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """S-02, K-02: of each key the last row in order. An aggregate, not a window: partial maxima leave one row a key and task."""
@@ -87,12 +89,32 @@ def audit(rows: DataFrame, entity: str, action: Column, as_of: str) -> DataFrame
 BLANKABLE = ["tipo_raw", "ubicacion", "ubicacion_key", "fecha_iso", "info", "moneda", "monto"]
 
 
+def alias_components(rows: DataFrame, component: str = "component") -> DataFrame:
+    """D-03: rows(ordinal, remate_id, convocatoria_id, content, ...) with the least ordinal that shared aliases lead to.
+
+    Each round a row takes the least label of its aliases, by two aggregates and two joins, until none changes: as many
+    rounds as the longest chain of aliases has links. Labels are checkpointed in the cluster's shared folder.
+    """
+    shared_dir(rows.sparkSession)
+    named = [F.when(F.col(n).isNotNull(), F.concat(F.lit(f"{n}:"), F.col(n).cast("string"))) for n in ("remate_id", "convocatoria_id")]
+    keys = F.array_compact(F.array(*named))
+    alias = rows.select("ordinal", F.explode(F.when(F.size(keys) > 0, keys).otherwise(F.array(F.concat(F.lit("hash:"), "content")))).alias("_k")).checkpoint()
+    labels = alias.select("ordinal", F.col("ordinal").alias("_c")).distinct()
+    while True:
+        least = alias.join(labels, "ordinal").groupBy("_k").agg(F.min("_c").alias("_m"))
+        new = alias.join(least, "_k").groupBy("ordinal").agg(F.min("_m").alias("_n"))
+        both = labels.join(new, "ordinal").select("ordinal", F.col("_n").alias("_c"), (F.col("_n") < F.col("_c")).alias("_moved")).checkpoint()
+        labels = both.drop("_moved")
+        if both.filter("_moved").isEmpty():
+            return rows.join(labels.withColumnRenamed("_c", component), "ordinal")
+
+
 def merge_aliases(rows: DataFrame, component: str) -> DataFrame:
     """D-03: rows (ordinal, remate_id, convocatoria_id, content, fields...) with `entry`, the ordinal of the row that they were merged into.
 
     Order matters: a row joins the entry that its first known alias points to and fills that entry's blanks, and its
     aliases then point there; entries that a later row bridges stay apart. So each connected component of aliases,
-    which is small, is replayed by itself.
+    which alias_components finds and which is small, is replayed by itself.
     """
     fields = [c for c in rows.columns if c not in ("ordinal", component)]
 

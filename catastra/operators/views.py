@@ -1,4 +1,4 @@
-"""Rows as a caller gets them: P-02 to P-04, P-11, T-08, C-28, F-13, F-19, and the report of a property (A-10, A-11)."""
+"""Rows as a caller gets them: P-02 to P-05, P-11, T-08, C-28, F-13, F-19, and the report of a property (A-10, A-11)."""
 
 from __future__ import annotations
 
@@ -33,6 +33,32 @@ ACTION = {
     "completed_at": None, "completed_by": None, "result": None, "created_at": None, "updated_at": None,
 }
 
+SURE = {"confidence": "unknown", "verification": "reported"}
+
+
+def fields(names: str, **defaults) -> dict:
+    return {n: defaults.get(n) for n in names.split()}
+
+
+# The parts of a property's dossier, likewise.
+DOSSIER = {
+    "run": fields("run_number case_id status summary error_count warning_count completed_task_count total_task_count started_at completed_at created_by created_at updated_at", run_number=0, status="pending", error_count=0, warning_count=0, completed_task_count=0, total_task_count=0),
+    "registry": fields("id registry_number registry_office registry_zone registered_area registered_address registered_district source confidence verification retrieved_at", **SURE),
+    "owner": fields("id owner_name owner_type document_type document_number ownership_percentage registered_date"),
+    "charge": fields("id charge_type description amount currency creditor registered_date is_active", is_active="unknown"),
+    "title": fields("id title_number title_date title_type notary description"),
+    "zone": fields("id zone_name zone_code zone_type land_use description source confidence verification", **SURE),
+    "parameters": fields("id max_height max_floors max_buildable_area min_free_area setback_front setback_side setback_rear density compatible_uses observations source confidence verification", **SURE),
+    "location": fields("id address district province department postal_code latitude longitude source confidence verification verified_at", **SURE),
+    "geometry": fields("id geom_type source confidence verification", **SURE),
+    "judicial": fields("id case_number court case_type subject status filing_date parties source source_url retrieved_at"),
+    "event": fields("id event_date event_type description resolution"),
+    "comparable": fields("id comparable_title comparable_url comparable_price comparable_currency comparable_area_m2 comparable_district distance_meters price_per_m2 similarity source retrieved_at", comparable_currency="unknown"),
+    "price": fields("id estimated_price currency price_per_m2 estimation_type confidence source retrieved_at", currency="unknown", confidence="unknown"),
+    "document": fields("id document_type file_name mime_type size_bytes storage_url checksum source description created_at", document_type="other"),
+    "link": fields("id url title link_type source is_accessible last_checked_at", is_accessible="unknown"),
+}
+
 
 def iso(rows: DataFrame, name: str) -> Column:
     """P-04: a time in UTC with milliseconds; one without a zone is in UTC already."""
@@ -54,6 +80,20 @@ def view(rows: DataFrame, fields: dict) -> DataFrame:
     return rows.select(*[column(n, d).alias(n) for n, d in fields.items()])
 
 
+def dossier_part(rows: DataFrame, part: str, owner: str, **children: tuple[DataFrame, str, str]) -> DataFrame:
+    """P-05, J-02, J-03: the rows of a part of the dossier with their owner, and of each row an array of its children in order of their ids.
+
+    children: name=(rows, their part, the column that holds the parent's id). A row without children has an empty array.
+    """
+    out = view(rows, {owner: None} | DOSSIER[part])
+    for name, (child, kind, parent) in children.items():
+        seen = view(child, {parent: None} | DOSSIER[kind])
+        held = seen.groupBy(parent).agg(F.array_sort(F.collect_list(F.struct(*DOSSIER[kind]))).alias(name)).withColumnRenamed(parent, "id")
+        empty = F.array().cast(held.schema[name].dataType)
+        out = out.join(held, "id", "left").withColumn(name, F.coalesce(name, empty))
+    return out
+
+
 def identity(properties: DataFrame) -> DataFrame:
     """T-08: the result that the identity task of each property records; coordinates count where both are there and not blank."""
     there = lambda c: F.coalesce(F.col(c).cast("string") != "", F.lit(False))

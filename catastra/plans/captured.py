@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catastra.functions import captures, rules, text
-from catastra.operators import history, research, resolve
+from catastra.operators import history, linkage, research, resolve, views
 from catastra.plans.bindings import ORACLE, bound, table
 from catastra.sources import readers
 
@@ -258,3 +258,58 @@ def region_readings(spark, d):
     k = F.col("c_custkey")
     names = F.when(F.floor(k / 3) % 3 == 0, F.create_map(F.lit("village"), F.lit("v"), F.lit("town"), F.lit("town"))).when(F.floor(k / 3) % 3 == 1, F.create_map(F.lit("town"), F.lit("t"), F.lit("city"), F.lit("city"), F.lit("district"), F.lit("")))
     return table(spark, d, "customer").select("c_custkey", captures.in_region(pick(k, ["Av. AREQUIPA 1", "san cayma", "Lima", None])).alias("in_region"), captures.geocoding_query(pick(k, ["Cayma", "", None]), pick(k, ["", "Calle 1", ""])).alias("query"), captures.place_district(names).alias("place"))
+
+
+@bound("""
+with recursive pairs as (select c_nationkey as g, c_custkey as l, s_suppkey as r, ((c_custkey * 7 + s_suppkey * 13) % 10) / 10.0 as ratio from customer join supplier on s_nationkey = c_nationkey where (c_custkey + s_suppkey) % 3 <> 0),
+lefts as (select g, l, row_number() over (partition by g order by l) as i from (select distinct g, l from pairs where ratio >= 0.2)),
+f as (select distinct g, 0::bigint as i, []::bigint[] as used, null::bigint as l, null::bigint as r, null::double as ratio from pairs
+union all select f.g, n.i, case when b.r is null then f.used else list_append(f.used, b.r) end, n.l, b.r, b.ratio from f join lefts n on n.g = f.g and n.i = f.i + 1
+left join lateral (select p.r, p.ratio from pairs p where p.g = f.g and p.l = n.l and p.ratio >= 0.2 and not list_contains(f.used, p.r) order by p.ratio desc, p.r limit 1) b on true)
+select g, l, r, ratio::double as ratio from f where r is not null""")
+def greedy_matches(spark, d):
+    """J-07: of each nation customers in turn take the free supplier that fits best."""
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    pairs = c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).filter((F.col("c_custkey") + F.col("s_suppkey")) % 3 != 0)
+    pairs = pairs.select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("l"), F.col("s_suppkey").alias("r"), ((F.col("c_custkey") * 7 + F.col("s_suppkey") * 13) % 10 / 10.0).alias("ratio"))
+    return linkage.greedy(pairs, "g", "l", "r", "ratio")
+
+
+@bound("""
+with r as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) as nth from orders where o_orderkey % 2 = 0 and o_custkey % 10 <> 0),
+l as (select o_custkey, max(o_orderkey % 7) as last from orders where o_orderkey % 2 <> 0 group by 1)
+select o_custkey as property_id, o_orderkey as ordinal, (coalesce(last, 0) + nth)::bigint as run_number, 'created' as status, 8 as total_task_count, case when o_orderkey % 3 = 0 then 'system' else 'ana' end as created_by from r left join l using (o_custkey)""")
+def created_cases(spark, d):
+    """T-05, A-07: half of the orders as requests, the others as cases; every tenth customer is no property."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    there = table(spark, d, "customer").filter("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("id"))
+    cases = o.filter(k % 2 != 0).select(F.col("o_custkey").alias("property_id"), (k % 7).alias("run_number"))
+    requests = o.filter(k % 2 == 0).select(F.col("o_custkey").alias("property_id"), k.alias("ordinal"), F.when(k % 3 != 0, "ana").alias("created_by"))
+    return research.create_cases(there, cases, requests)
+
+
+@bound("""
+with e as (select l_orderkey as id, count(*) as n, string_agg(l_linenumber || ':' || case when l_returnflag = 'N' then 'unknown' else l_returnflag end, ',' order by l_linenumber, case when l_returnflag = 'N' then 'unknown' else l_returnflag end) as charges from lineitem where l_linenumber > 1 group by 1)
+select o_custkey as property_id, o_orderkey as id, o_orderstatus as source, coalesce(nullif(o_orderpriority, '5-LOW'), 'unknown') as confidence, 'reported' as verification, strftime(o_orderdate::timestamp, '%Y-%m-%dT%H:%M:%S.%gZ') as retrieved_at, coalesce(n, 0) as charge_count, coalesce(charges, '') as charges
+from orders left join e on id = o_orderkey""")
+def dossier_registry(spark, d):
+    """P-05, J-02: orders as registry entries with lines as their charges."""
+    o, i = table(spark, d, "orders"), table(spark, d, "lineitem").filter("l_linenumber > 1")
+    entries = o.select(F.col("o_custkey").alias("property_id"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("source"), F.nullif("o_orderpriority", F.lit("5-LOW")).alias("confidence"), F.col("o_orderdate").cast("timestamp_ntz").alias("retrieved_at"))
+    charges = i.select(F.col("l_orderkey").alias("registry_id"), F.col("l_linenumber").cast("long").alias("id"), F.nullif("l_returnflag", F.lit("N")).alias("is_active"))
+    out = views.dossier_part(entries, "registry", "property_id", charges=(charges, "charge", "registry_id"))
+    line = F.transform("charges", lambda c: F.concat_ws(":", c["id"].cast("string"), c["is_active"]))
+    return out.select("property_id", "id", "source", "confidence", "verification", "retrieved_at", F.size("charges").cast("long").alias("charge_count"), F.array_join(line, ",").alias("charges"))
+
+
+@bound("""
+with t as (select o_orderkey, o_custkey, case o_orderkey % 3 when 0 then 'C:\\\\x\\\\aviso ' || o_orderkey || '.pdf' when 1 then 'a/b/niño#' || o_orderkey || '.pdf' else 'dir/' end as name, case o_orderkey % 4 when 0 then '' when 1 then '!!' else o_orderstatus || o_orderkey end as body from orders)
+select o_custkey as property_id, 'remates/' || o_custkey || '/' || o_orderkey || '-' || case o_orderkey % 3 when 0 then 'aviso ' || o_orderkey || '.pdf' when 1 then 'ni_o_' || o_orderkey || '.pdf' else 'aviso.pdf' end as url, name as title, 'remate_pdf' as link_type, 'remaju' as source, 'unknown' as is_accessible, length(body)::int as size
+from t where o_orderkey % 4 > 1""".replace("\\\\", "\\"))
+def attachment_links(spark, d):
+    """K-16: orders as uploads; a quarter is empty, a quarter no base64."""
+    k = F.col("o_orderkey")
+    n = k.cast("string")
+    name = F.when(k % 3 == 0, F.concat(F.lit("C:\\x\\aviso "), n, F.lit(".pdf"))).when(k % 3 == 1, F.concat(F.lit("a/b/niño#"), n, F.lit(".pdf"))).otherwise("dir/")
+    body = F.when(k % 4 == 0, "").when(k % 4 == 1, "!!").otherwise(F.base64(F.concat("o_orderstatus", n).cast("binary")))
+    return readers.attachment_links(table(spark, d, "orders").select(F.col("o_custkey").alias("property_id"), k.alias("action_id"), name.alias("name"), body.alias("base64")))

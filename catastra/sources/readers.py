@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from catastra.sources.schemas import LISTING, SOURCE_ITEM
 
+LOG = logging.getLogger(__name__)
+
 
 def strict(bronze: DataFrame) -> DataFrame:
     """S-01: (id, seen_at, fields...); a row of bad JSON ends the job."""
@@ -42,6 +45,11 @@ def by_prefix(rows: DataFrame, prefix: str, key: str = "id") -> DataFrame:
     return rows.filter(F.col(key).like(f"{prefix}_%"))
 
 
+def whole(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
+    """S-08: tables without a filter; what reads them prunes their columns."""
+    return [spark.read.parquet(f"{folder}/{n}.parquet") for n in names]
+
+
 def with_default(rows: DataFrame, default: DataFrame) -> DataFrame:
     """S-16: rows, or the default where there are none."""
     return default if rows.isEmpty() else rows
@@ -61,6 +69,11 @@ def nothing(spark: SparkSession, params: dict) -> DataFrame:
     return spark.createDataFrame([], SOURCE_ITEM)
 
 
+def details(items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """S-17, S-19: wanted(source, id) with `found`, and the item's title and raw text where it is."""
+    return wanted.join(items.withColumn("found", F.lit(True)), ["source", "id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 class Registry:
     """S-18: sources by name; a later one of the same name replaces the former."""
 
@@ -70,6 +83,12 @@ class Registry:
     def register(self, source: Source) -> None:
         self.sources[source.name] = source
 
+    def get(self, name: str) -> Source | None:
+        return self.sources.get(name)
+
+    def has(self, name: str) -> bool:
+        return name in self.sources
+
     def statuses(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(sorted((s.name, s.status) for s in self.sources.values()), "source string, status string")
 
@@ -79,17 +98,18 @@ class Registry:
         for s in self.sources.values():
             try:
                 out = out.unionByName(s.search(spark, params))
-            except Exception:  # one source's fault is no other's
-                continue
+            except Exception as e:  # one source's fault is no other's
+                LOG.warning("source %s left out: %s", s.name, e)
         return out
 
 
 def default_registry() -> Registry:
     r = Registry()
-    # Sources that are planned (unavailable) or ask for a login.
-    for name in ("catastro", "municipality", "bank_auctions", "news", "environment", "water", "roads", "heritage"):
+    # Sources that are planned; they have no rows.
+    for name in ("sunarp", "sunarp_bgr", "sunarp_sprl", "remaju", "google_maps", "openstreetmap", "impla", "pdm", "municipality", "cadastre", "cej", "sbn", "cofopri", "seace"):
         r.register(Source(name, "unavailable", nothing))
-    for name in ("registry", "registry_online"):
+    # Sources that ask for a login.
+    for name in ("sunarp", "sunarp_sprl"):
         r.register(Source(name, "requires_auth", nothing))
     return r
 
@@ -104,3 +124,15 @@ def attachment(encoded: Column, most: int = 8 << 20) -> Column:
     data = F.try_to_binary(encoded, F.lit("base64"))
     size = F.octet_length(data)
     return F.struct(F.coalesce((size > 0) & (size <= most), F.lit(False)).alias("ok"), size.alias("bytes"))
+
+
+def attachment_key(owner: Column, action: Column, name: Column) -> Column:
+    """K-16: where the attachment of an owner's action is kept: the last part of its name, odd characters as underscores, 120 characters at most."""
+    base = F.substring(F.regexp_replace(F.element_at(F.split(name, r"[\\/]"), -1), r"[^A-Za-z0-9_.\- ]+", "_"), 1, 120)
+    return F.concat(F.lit("remates/"), owner.cast("string"), F.lit("/"), action.cast("string"), F.lit("-"), F.when(base == "", "aviso.pdf").otherwise(base))
+
+
+def attachment_links(uploads: DataFrame) -> DataFrame:
+    """K-16: uploads(property_id, action_id, name, base64) as links to what is kept; empty and too large ones go."""
+    data = attachment(F.col("base64"))
+    return uploads.filter(data["ok"]).select("property_id", attachment_key(F.col("property_id"), F.col("action_id"), F.col("name")).alias("url"), F.col("name").alias("title"), F.lit("remate_pdf").alias("link_type"), F.lit("remaju").alias("source"), F.lit("unknown").alias("is_accessible"), data["bytes"].alias("size"))

@@ -8,12 +8,20 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a folder of our own where that is unset (tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; on a local master one of our own where that is unset (tests)."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="catastra-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="catastra-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the session ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return path

@@ -70,6 +70,30 @@ def test_aliases_bridged_later_stay_apart(spark):
     assert got[(0, 0)] == "c"
 
 
+def test_components_of_aliases(spark):
+    chain = [(i, i // 2, 100 + (i + 1) // 2, f"c{i}", "") for i in range(12)]
+    rows = [*chain, (20, None, None, "same", "a"), (21, None, None, "same", "b"), (22, None, None, "other", ""), (23, 50, None, "c1", ""), (24, None, 50, "c2", "")]
+    df = spark.createDataFrame(rows, "ordinal long, remate_id long, convocatoria_id long, content string, info string")
+    found = resolve.alias_components(df)
+    assert {r.ordinal: r.component for r in found.collect()} == {**dict.fromkeys(range(12), 0), 20: 20, 21: 20, 22: 22, 23: 23, 24: 24}
+    assert sorted((r.ordinal, r.entry) for r in resolve.merge_aliases(found, "component").collect()) == model_merge(rows)
+
+
+def test_backfill(spark):
+    base = "https://f.com/groups/9"
+    stored = [("9_a", f"{base}", "Terreno amplio en Yura", ""), ("9_b", None, "Casa grande", "vendo casa grande cerca del parque"), ("9_c", f"{base}/posts/5", "Lote", ""), ("8_d", None, "Terreno amplio en Yura", ""), ("9_e", f"{base}/posts/6", "x", "")]
+    cards = [(1, "9_a", f"{base}/posts/1", "otra cosa"), (2, "k2", f"{base}/posts/2", "casa grande cerca del parque"), (3, "k3", f"{base}/posts/5", "nada igual"), (4, "k4", "#", "Casa grande"), (5, "9_e", f"{base}/posts/7", "x"), (6, "k6", f"{base}/posts/8", "casa grande cerca del parque")]
+    out = linkage.backfill(spark.createDataFrame(cards, "ordinal int, key string, href string, text string"), spark.createDataFrame(stored, "id string, url string, title string, description string"), "9")
+    assert sorted((r.ordinal, r.action, r.id) for r in out.collect()) == [(1, "linked_key", "9_a"), (2, "linked_text", "9_b"), (3, "deleted", "9_c")]
+
+
+def test_details_of_sources_without_rows(spark):
+    r = readers.default_registry()
+    wanted = spark.createDataFrame([("sunarp", "1")], "source string, id string")
+    assert len(r.sources) == 14 and r.has("cej") and r.get("x") is None
+    assert [x.found for x in readers.details(r.search(spark, {}), wanted).collect()] == [False]
+
+
 def test_greedy_uses_each_match_once(spark):
     pairs = spark.createDataFrame([(1, 1, 7, 0.9), (1, 2, 7, 0.95), (1, 2, 8, 0.3), (1, 3, 8, 0.1)], "g int, l int, r int, ratio double")
     assert sorted((x.l, x.r) for x in linkage.greedy(pairs, "g", "l", "r", "ratio").collect()) == [(1, 7), (2, 8)]
