@@ -156,7 +156,7 @@ def probes(uniq: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame:
 
 
 def refined(rows: DataFrame, chosen: list[tuple[list[int], int]], radius: int) -> DataFrame:
-    """rows with (sub, subkey); a large bucket is split by radius + 1 blocks of its other bits, of which one must agree."""
+    """rows with (sub, subkey); a large bucket is split by radius + 1 blocks of its other bits, of which one must agree; what stays large, by pairs of blocks of rows."""
     large = staged(rows.groupBy("part", "key").count().filter(F.col("count") > LARGE_BUCKET).select("part", "key"))
     n = large.count()
     plain = rows.withColumn("sub", F.lit(-1)).withColumn("subkey", F.lit(0).cast("long"))
@@ -169,7 +169,22 @@ def refined(rows: DataFrame, chosen: list[tuple[list[int], int]], radius: int) -
         blocks = [rest[k :: radius + 1] for k in range(radius + 1)]
         subs.append(F.array(*[F.struct(F.lit(k).alias("sub"), F.col("fp").bitwiseAND(F.lit(signed(mask(b)))).alias("subkey")) for k, b in enumerate(blocks)]))
     split = rows.join(large, ["part", "key"]).select(*rows.columns, F.explode(F.element_at(F.array(*subs), F.col("part") + 1)).alias("s")).select(*rows.columns, "s.sub", "s.subkey")
-    return plain.join(large, ["part", "key"], "left_anti").unionByName(split)
+    return plain.join(large, ["part", "key"], "left_anti").unionByName(paired(staged(split), radius))
+
+
+def paired(rows: DataFrame, radius: int) -> DataFrame:
+    """rows of which the buckets (part, key, sub, subkey) that are still large are dealt by a hash over blocks of at most about LARGE_BUCKET rows; each pair of blocks becomes a bucket, so that any two rows meet in one."""
+    keys = ["part", "key", "sub", "subkey"]
+    large = staged(rows.groupBy(*keys).count().filter(F.col("count") > LARGE_BUCKET).select(*keys, F.ceil(F.col("count") / LARGE_BUCKET).alias("blocks")))
+    n = large.count()
+    if not n:
+        return rows
+    large = F.broadcast(large) if n <= BROADCAST_ROWS else large
+    mine = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    dealt = rows.join(large, keys).select("*", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    pair = F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")
+    dealt = dealt.withColumn("sub", (F.col("sub") + (radius + 1) * (pair + 1)).cast("int"))  # a number that no other bucket of the key has
+    return rows.join(large.drop("blocks"), keys, "left_anti").unionByName(dealt.select(*rows.columns))
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:

@@ -46,3 +46,16 @@ def test_exactly_at_the_threshold(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     left = {x.doc_id for x in simhash.keep_one_of_each(docs).collect()}
     assert left == plain_kept(texts) == {1, 3, 4, 5, 7, 8}
+
+
+def test_rows_of_a_dense_bucket_meet_in_some_pair_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE_BUCKET", 10)
+    rows = [(0, 5, fp, 1, 7) for fp in range(45)] + [(0, 6, fp, 1, 7) for fp in range(4)]
+    df = spark.createDataFrame(rows, "part int, key long, fp long, sub int, subkey long")
+    found = {}
+    for r in simhash.paired(df, 3).collect():
+        found.setdefault((r.part, r.key, r.sub, r.subkey), []).append(r.fp)
+    assert found.pop((0, 6, 1, 7)) and (0, 5, 1, 7) not in found
+    met = {(a, b) for fps in found.values() for a in fps for b in fps if a < b}
+    assert len(found) == 15 and max(map(len, found.values())) < 45
+    assert met == {(a, b) for a in range(45) for b in range(a + 1, 45)}
