@@ -7,10 +7,11 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm, mixing, pii, quality, quotes, secrets, sharding, simhash, tokens
-from .common import read
+from . import decontaminate, flat, lm, mixing, pii, quality, quotes, secrets, sharding, simhash, tokens
+from .common import read, scratch
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: How the public byte-level vocabulary parts a text before pairs are merged (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_OF_DOCUMENT = 50256
@@ -74,7 +75,13 @@ def op10_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotations(read(spark, sf_dir, "conversations")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op3_mixing, op4_lm_scores, op5_simhash, op6_token_counts, op7_decontamination, op8_sharding, op9_pii, op10_quotations)}
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = read(spark, sf_dir, "documents"), scratch(spark, "tokens")
+    flat.write_tokens(docs, path, TOKENIZER, 0)
+    return flat.read_tokens(spark, path, dict(docs.dtypes)["doc_id"]).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op3_mixing, op4_lm_scores, op5_simhash, op6_token_counts, op7_decontamination, op8_sharding, op9_pii, op10_quotations, op13_token_files)}
 ORACLE = {"op1_quality": quality.oracle(), "op3_mixing": mixing.oracle(), "op4_lm_scores": lm.oracle(), "op8_sharding": sharding.oracle()}
 
 
