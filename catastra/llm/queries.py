@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, flat, lm, mixing, pii, quality, quotes, search, secrets, sharding, simhash, tokens
+from . import decontaminate, flat, lm, mixing, pii, quality, quotes, search, secrets, sharding, simhash, tokens, variants
 from .common import read, scratch
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -79,14 +79,18 @@ def op11_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(search.build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.noisy_words(read(spark, sf_dir, "documents")))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = read(spark, sf_dir, "documents"), scratch(spark, "tokens")
     flat.write_tokens(docs, path, TOKENIZER, 0)
     return flat.read_tokens(spark, path, dict(docs.dtypes)["doc_id"]).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op3_mixing, op4_lm_scores, op5_simhash, op6_token_counts, op7_decontamination, op8_sharding, op9_pii, op10_quotations, op11_maxscore_search, op13_token_files)}
-ORACLE = {"op1_quality": quality.oracle(), "op3_mixing": mixing.oracle(), "op4_lm_scores": lm.oracle(), "op8_sharding": sharding.oracle(), "op11_maxscore_search": search.oracle()}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_secrets, op3_mixing, op4_lm_scores, op5_simhash, op6_token_counts, op7_decontamination, op8_sharding, op9_pii, op10_quotations, op11_maxscore_search, op12_spelling_variants, op13_token_files)}
+ORACLE = {"op1_quality": quality.oracle(), "op3_mixing": mixing.oracle(), "op4_lm_scores": lm.oracle(), "op8_sharding": sharding.oracle(), "op11_maxscore_search": search.oracle(), "op12_spelling_variants": variants.oracle()}
 
 
 def tokenizer_there() -> bool:
