@@ -277,13 +277,13 @@ def oracle(k: int = 10) -> str:
     """DuckDB SQL for the op11 query over documents and benchmark."""
     cut = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
     return f"""
-with docs as (select row_number() over () as rid, doc_id, {cut} as w from documents),
+with docs as materialized (select row_number() over () as rid, doc_id, {cut} as w from documents),
 sizes as (select rid, doc_id, len(w)::bigint as n from docs),
-whole as (select count(*) filter (where n > 0)::bigint as N, sum(n)::bigint as L from sizes),
+whole as (select count(*) filter (where n > 0)::bigint as all_docs, sum(n)::bigint as all_terms from sizes),
 asked as (select item_id, term, count(*)::bigint as many from (select item_id, unnest({cut}) as term from benchmark) group by 1, 2),
 held as (select rid, term, count(*)::bigint as tf from (select rid, unnest(w) as term from docs) where term in (select term from asked) group by 1, 2),
-weights as (select term, floor(1000 * ln((2 * N + 2)::double / (2 * df + 1)::double))::bigint as weight from (select term, count(*)::bigint as df from held group by 1), whole),
-lengths as (select rid, doc_id, 25 + ((75 * n * N) // L) as m from sizes, whole where n > 0),
+weights as (select term, floor(1000 * ln((2 * all_docs + 2)::double / (2 * df + 1)::double))::bigint as weight from (select term, count(*)::bigint as df from held group by 1), whole),
+lengths as (select rid, doc_id, 25 + ((75 * n * all_docs) // all_terms) as m from sizes, whole where n > 0),
 scored as (select item_id, rid, sum(many * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score from asked join weights using (term) join held using (term) join lengths using (rid) group by 1, 2),
 ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls first)::int as rank, doc_id, score from scored join sizes using (rid) where score > 0)
 select * from ranked where rank <= {k}"""
