@@ -36,8 +36,11 @@ OTHER = re.compile(r"[^\x00-\x7f\xc0-ƿ]")
 #: Before a blank that follows a visible character a byte-level tokenizer always cuts, whatever stands around.
 SAFE_CUT = re.compile(r"(?<=[!-~À-ƿ])(?= )")
 CHUNK_CHARS = 1 << 14
+#: Pieces of visible characters and blanks that stay apart from line breaks around them.
+LINE = re.compile(r" ?[!-~À-ƿ](?:[\t\x20-~À-ƿ]*[!-~À-ƿ])?")
+LINES_AT_ONCE = 1 << 14
 #: A worker remembers so many pieces of at most so many characters.
-KEPT_PIECES, KEPT_CHARS = 300_000, 48
+KEPT_PIECES, KEPT_CHARS = 1_000_000, 48
 #: Texts are encoded in groups of about so many characters.
 GROUP_CHARS = 1 << 21
 
@@ -46,7 +49,8 @@ class Encoder:
     """A tokenizer of the tokenizers library that encodes each piece of text once as long as it is remembered.
 
     Byte-level tokenizers encode the pieces of PIECE (for texts with other characters, stretches between SAFE_CUTs) by
-    themselves, with the same ids as the whole text. Texts that hold an added token, and all texts of other kinds of
+    themselves, with the same ids as the whole text. When it remembers KEPT_PIECES, new ones are not kept; when most of a
+    group are new, it begins anew. Texts that hold an added token, and all texts of other kinds of
     tokenizers, are encoded whole.
     """
 
@@ -59,10 +63,12 @@ class Encoder:
         self.tokenizer.no_padding()
         made = json.loads(self.tokenizer.to_str())
         pre = made.get("pre_tokenizer") or {}
-        self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not made.get("normalizer") and not made["model"].get("dropout")
         self.added = [t["content"] for t in made["added_tokens"]]
+        self.by_piece = not any("\n" in a for a in self.added) and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not made.get("normalizer") and not made["model"].get("dropout")
+        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.kept: dict[str, bytes] = {}
+        self.stale = False
 
     def pieces(self, text: str) -> list[str]:
         if not self.by_piece or any(a in text for a in self.added):
@@ -75,22 +81,38 @@ class Encoder:
             at = m.start()
         return [*out, text[at:]]
 
+    def fresh(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces that are not remembered. Many lines go in one text, parted at the ids of their breaks, since a call for each costs more than the encoding."""
+        out, alone = {}, pieces
+        if self.by_piece and len(self.line_break) == 1:
+            alone, lines = [], []
+            for p in pieces:
+                (lines if len(p) <= KEPT_CHARS and (p.isalpha() or p[1:].isalpha() and p[0] == " " or LINE.fullmatch(p)) else alone).append(p)
+            for lo in range(0, len(lines), LINES_AT_ONCE):
+                part = lines[lo : lo + LINES_AT_ONCE]
+                ids = np.array(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, self.dtype)
+                ends = np.append(np.flatnonzero(ids == self.line_break[0]), len(ids)) * self.dtype.itemsize
+                data, at, starts = ids.tobytes(), ends.tolist(), [0, *(ends[:-1] + self.dtype.itemsize).tolist()]
+                out.update((p, data[i:j]) for p, i, j in zip(part, starts, at, strict=True))
+        for lo in range(0, len(alone), 4096):
+            part = alone[lo : lo + 4096]
+            out.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of dtype."""
-        cut = [self.pieces(t) for t in texts]
-        new = [*{p for ps in cut for p in ps}.difference(self.kept)]
-        if len(self.kept) + len(new) > KEPT_PIECES:
-            self.kept = {}
-            new = [*{p for ps in cut for p in ps}]
-        known = self.kept
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, self.dtype).tobytes()
+        if self.stale:
+            self.kept, self.stale = {}, False
+        known, cut = self.kept, [self.pieces(t) for t in texts]
+        every = set().union(*cut)
+        new = self.fresh([*every.difference(known)])
+        full = len(known) + len(new) > KEPT_PIECES
+        known.update(new)
         out = [b"".join(map(known.__getitem__, ps)) for ps in cut]
         for p in new:
-            if len(p) > KEPT_CHARS:
+            if full or len(p) > KEPT_CHARS:
                 del known[p]
+        self.stale = full and 2 * len(new) > len(every)  # what is remembered is of little use here
         return out
 
 
