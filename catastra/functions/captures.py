@@ -85,9 +85,22 @@ def post_from_markup(html: Column, most: int = 100_000) -> Column:
     return F.when(F.length(html) <= most, F.coalesce(*[blank_to_null(F.regexp_extract(html, p, 1)) for p in shapes]))
 
 
+def utf16(c: Column) -> Column:
+    """The UTF-16 units of a text, as hexadecimal numbers of four digits."""
+    return F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+
+
+def hash32(units: Column) -> Column:
+    """31 h + unit over all units, wrapping at 32 bits, signed."""
+    h = F.aggregate(units, F.lit(0).cast("long"), lambda h, u: (h * 31 + F.conv(u, 16, 10).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)
+
+
 def synthetic_key(body: Column, image: Column) -> Column:
-    """C-18: a stable key for a card without one. A digest in place of a 32-bit hash: the intent is the same, collisions are not."""
-    return F.concat(F.lit("p_"), F.substring(F.sha2(F.concat_ws("|", F.substring(F.lower(folded(or_blank(body))), 1, 400), F.length(or_blank(body)).cast("string"), or_blank(image)), 256), 1, 12))
+    """C-18: a stable key for a card without one: the 32-bit hash, in base 36, of 400 units of its text in lower case with blanks folded, its length and its image."""
+    length = F.octet_length(F.encode(or_blank(body), "UTF-16BE")) / 2
+    units = F.concat(F.slice(utf16(F.lower(folded(or_blank(body)))), 1, 400), utf16(F.concat(F.lit("|"), length.cast("long").cast("string"), F.lit("|"), or_blank(image))))
+    return F.concat(F.lit("p_"), F.lower(F.conv(F.abs(hash32(units)).cast("string"), 10, 36)))
 
 
 def search_words(body: Column, most: int = 4, over: int = 3, prefix: int | None = None) -> Column:

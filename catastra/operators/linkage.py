@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from catastra.functions import text
+from catastra.sources.shared import staged
 
 
 def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str) -> DataFrame:
@@ -33,17 +34,26 @@ def district_name(raw: Column) -> Column:
 
 
 def contained_districts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """C-38: (_da, _dp) of the distinct names of left(_da) and right(_dp) of which one holds the other: each name meets the stretches of the others by an equi-join."""
+    """C-38: (_da, _dp) of the distinct names of left(_da) and right(_dp) of which one holds the other.
+
+    A name that another holds has all its three-character stretches in there (a shorter one is a stretch itself), so each
+    is sought by the one of them that fewest names have, and compared with those alone. Names of any length make rows in
+    proportion to it.
+    """
     a, p = left.select("_da").filter("_da is not null").distinct(), right.select("_dp").filter("_dp is not null").distinct()
 
-    def stretches(df, c):
-        n = F.length(c)
-        every = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.col(c).substr(i, k))))
-        return df.select(c, F.explode(F.array_distinct(every)).alias("_s"))
+    def stretches(c, width):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - width + 1, F.lit(1))), lambda i: F.col(c).substr(i, width))
+
+    def inside(outer, o, inner, i):
+        every = F.array_distinct(F.flatten(F.array(*[stretches(o, F.lit(w)) for w in (1, 2, 3)])))
+        held = staged(outer.select(o, F.explode(every).alias("_s")))
+        parts = inner.select(i, F.explode(F.array_distinct(stretches(i, F.least(F.length(i), F.lit(3))))).alias("_s"))
+        # a stretch that no name holds is null here, and then nothing holds the whole
+        sought = parts.join(held.groupBy("_s").agg(F.count(F.lit(1)).alias("n")), "_s", "left").groupBy(i).agg(F.min_by("_s", "n").alias("_s"), F.bool_and(F.col("n").isNotNull()).alias("all")).filter("all")
+        return sought.join(held, "_s").filter(F.contains(o, i)).select("_da", "_dp")
 
-    inside = stretches(a, "_da").join(p, F.col("_s") == F.col("_dp")).select("_da", "_dp")
-    around = stretches(p, "_dp").join(a, F.col("_s") == F.col("_da")).select("_da", "_dp")
-    return inside.union(around).distinct()
+    return inside(a, "_da", p, "_dp").union(inside(p, "_dp", a, "_da")).distinct()
 
 
 def link_auctions(auctions: DataFrame, properties: DataFrame) -> DataFrame:
@@ -68,6 +78,32 @@ def link_auctions(auctions: DataFrame, properties: DataFrame) -> DataFrame:
     return exact.unionByName(near).unionByName(place).groupBy(*pick).agg(best).select(*pick, "m.match_type", "m.score", "m.confidence")
 
 
+def best_links(auctions: DataFrame, properties: DataFrame, numbers: DataFrame) -> DataFrame:
+    """J-13: (auction, property, match_type, score, confidence) of the best link of each auction that has any; the order of linking is by score, then by property.
+
+    auctions(auction, number, address, district), properties(property, address, district), numbers(property, number): a
+    property has any number of registry numbers, and an auction with one of them is its own for certain. Only the first
+    of an auction's number, and of the properties of a district, can be best, so neither makes pairs; addresses do,
+    by their shared words.
+    """
+    shape = lambda df, id, d: df.select(id, text.address_tokens(F.col("address")).alias("tokens"), district_name(F.col("district")).alias(d))
+    a, p = shape(auctions, "auction", "_da"), shape(properties, "property", "_dp")
+    known = contained_districts(a, p)
+    row = lambda df, kind, score, confidence: df.select("auction", F.struct((-score).alias("less"), F.col("property"), F.lit(kind).alias("match_type"), confidence.alias("confidence")).alias("b"))
+    low = F.lit("low")
+    owner = numbers.select(text.link_number(F.col("number")).alias("number"), "property").filter("number is not null").groupBy("number").agg(F.min("property").alias("property"))
+    certain = auctions.select("auction", text.link_number(F.col("number")).alias("number")).join(owner, "number")
+    first = p.groupBy("_dp").agg(F.min("property").alias("property")).join(known, "_dp").groupBy("_da").agg(F.min("property").alias("property"))
+    place = a.join(first, "_da")
+    pairs = token_overlap(a, p, "auction", "property", "tokens")
+    named = pairs.join(a.select("auction", "_da"), "auction").join(p.select("property", "_dp"), "property").join(known.withColumn("_same", F.lit(True)), ["_da", "_dp"], "left")
+    same = F.coalesce("_same", F.lit(False))
+    score = F.round(F.col("ratio") * F.when(same, 0.8).otherwise(0.5), 2)
+    every = row(certain, "partida", F.lit(1.0), F.lit("high")).unionByName(row(named, "address", score, F.when(same & (F.col("ratio") >= 0.6), "medium").otherwise(low))).unionByName(row(place, "district", F.lit(0.3), low))
+    b = F.col("b")
+    return every.groupBy("auction").agg(F.min("b").alias("b")).select("auction", b["property"].alias("property"), b["match_type"].alias("match_type"), (-b["less"]).alias("score"), b["confidence"].alias("confidence"))
+
+
 def matching_plan(auctions: DataFrame, properties: DataFrame) -> DataFrame:
     """J-13: for each property(property, number, district) the number of auctions(auction, number, district) that match, whether one is certain, the confidence and the best kind of match.
 
@@ -86,24 +122,48 @@ def matching_plan(auctions: DataFrame, properties: DataFrame) -> DataFrame:
     return out.select("property", "matches", hard.alias("hard_match"), F.when(hard, "high").when(some, "low").otherwise("unknown").alias("confidence"), F.when(hard, "partida").when(some, "district").alias("best_match_type"))
 
 
-def greedy(pairs: DataFrame, group: str, left: str, right: str, ratio: str, least: float = 0.2) -> DataFrame:
-    """J-07, J-08: in order, each left row takes the free right row of largest ratio (ties: the first), which is then used up.
+#: In each round so many left rows of a group, the first, are served in turn.
+HEAD = 64
 
-    Order decides, so each group (a cycle's feed) is replayed by itself, on its candidate pairs alone.
-    """
 
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for key, rows in pdf[pdf[ratio] >= least].sort_values([left, right]).groupby(left, sort=True):
-            free = rows[~rows[right].isin(used)]
-            if len(free):
-                best = free.loc[free[ratio].idxmax()]
-                used.add(best[right])
-                out.append((best[group], key, best[right], best[ratio]))
-        return pd.DataFrame(out, columns=[group, left, right, ratio])
-
-    types = dict(pairs.dtypes)
-    return pairs.groupBy(group).applyInPandas(take, ", ".join(f"{c} {types[c]}" for c in (group, left, right, ratio)))
+def greedy(pairs: DataFrame, group: str, left: str, right: str, ratio: str, least: float = 0.2) -> DataFrame:
+    """J-07, J-08: (group, left, right, ratio): in order, each left row of a group takes the free right row of largest ratio, from `least` on (ties: the first), which is then used up.
+
+    Deferred acceptance finds the same without replaying a group: each left row proposes to its best right row that has
+    not refused it, each right row keeps the earliest that proposes and refuses all later ones. Since right
+    rows agree on who goes first, the stable matching is the greedy one. A proposal is final as soon as no earlier left
+    row has that right one among its pairs. Besides, the first HEAD left rows of each group are served in turn in every round, in
+    a row of at most HEAD best pairs each, since no more can have been taken before; so a group is done after
+    a HEAD-th as many rounds as it has left rows, and most are after the first. Pairs with a null are left out.
+    """
+    edges = pairs.select(F.col(group).alias("g"), F.col(left).alias("l"), F.col(right).alias("r"), F.col(ratio).alias("x")).filter(F.col("x") >= least).na.drop()
+    edges = staged(edges.groupBy("g", "l", "r").agg(F.max("x").alias("x")))
+    out, order = edges.limit(0), F.struct((-F.col("x")).alias("less"), "r", "x")
+    while not edges.isEmpty():
+        # the first left rows, served in turn
+        nth = F.row_number().over(Window.partitionBy("g").orderBy("l"))
+        head = staged(edges.select("g", "l").distinct().withColumn("nth", nth).filter(F.col("nth") <= HEAD).select("g", "l"))
+        best = edges.join(head, ["g", "l"], "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("g", "l").orderBy(F.desc("x"), "r"))).filter(F.col("nth") <= HEAD)
+        best = best.groupBy("g", "l").agg(F.array_sort(F.collect_list(order)).alias("c")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("l", "c"))).alias("rows"))
+        kinds = dict(edges.dtypes)
+        taken = f"array<struct<l:{kinds['l']},r:{kinds['r']},x:{kinds['x']}>>"
+
+        def serve(acc, row):
+            free = F.filter(row["c"], lambda c: ~F.exists(acc, lambda t: t["r"] == c["r"]))
+            return F.when(F.size(free) > 0, F.concat(acc, F.transform(F.slice(free, 1, 1), lambda c: F.struct(row["l"].alias("l"), c["r"].alias("r"), c["x"].alias("x"))))).otherwise(acc)
+
+        served = staged(best.select("g", F.explode(F.aggregate("rows", F.array().cast(taken), serve)).alias("t")).select("g", "t.*"))
+        edges = staged(edges.join(head, ["g", "l"], "left_anti").join(served.select("g", "r"), ["g", "r"], "left_anti"))
+        out = out.unionByName(served)
+        # the rest propose all at once
+        wish = edges.groupBy("g", "l").agg(F.min(order).alias("b")).select("g", "l", "b.r", "b.x")
+        held = wish.groupBy("g", "r").agg(F.min("l").alias("holder"))
+        edges = staged(edges.join(held, ["g", "r"], "left").filter("holder is null or l <= holder"))
+        earliest = edges.groupBy("g", "r").agg(F.min("l").alias("l"), F.max("holder").alias("holder")).filter("l = holder").select("g", "r", "l")
+        final = staged(edges.join(earliest, ["g", "r", "l"], "left_semi").select("g", "l", "r", "x"))
+        edges = staged(edges.drop("holder").join(final.select("g", "l"), ["g", "l"], "left_anti").join(final.select("g", "r"), ["g", "r"], "left_anti"))
+        out = staged(out.unionByName(final))
+    return out.select(F.col("g").alias(group), F.col("l").alias(left), F.col("r").alias(right), F.col("x").alias(ratio))
 
 
 def backfill(cards: DataFrame, stored: DataFrame, prefix: str, least: float = 0.5) -> DataFrame:
@@ -143,8 +203,6 @@ def nearest(left: DataFrame, right: DataFrame, key: str, radius_m: float, most:
     poleward side, around the whole globe. A left place is sent to the cells around it in its own band and the two next
     to it, so the join is on equal cells.
     """
-    from pyspark.sql.window import Window
-
     step = radius_m / 111_000.0
     band = lambda c: F.floor(F.col(c) / step)
     top = lambda y: F.radians(F.least(F.lit(90.0), (F.abs(y) + 2) * step))

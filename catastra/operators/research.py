@@ -1,8 +1,7 @@
-"""Task and case state machines (T-01 to T-12, T-15), writes on them (K-13, D-07), progress (A-06), run numbers (A-07, W-01), transitions (W-05)."""
+"""Task and case state machines (T-01, T-03, T-05 to T-12, T-15; lifecycle.py folds their histories), writes on them (K-13, D-07), progress (A-06), run numbers (A-07, W-01), transitions (W-05)."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,35 +60,6 @@ def transitions(history: DataFrame, key: str, order: list[str], status: str, gra
     return history.withColumn("previous", before).withColumn("valid", F.col("previous").isNull() | allowed(F.col("previous"), F.col(status), graph))
 
 
-def fold_tasks(history: DataFrame, key: str, ordinal: str, status: str, at: str) -> DataFrame:
-    """T-02: (key, status, retries, rejected, started_at, completed_at) after the steps in order.
-
-    A step that the graph lacks is rejected and changes nothing; so the state depends on all before, and each task's
-    steps are replayed together. A task has few.
-    """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, retries, rejected, started, ended = "pending", 0, 0, pd.NaT, pd.NaT
-        for r in pdf.sort_values(ordinal).to_dict("records"):
-            new = r[status]
-            if new == state:
-                continue
-            if new not in TASK_EDGES.get(state, []):
-                rejected += 1
-                continue
-            if state in TASK_RETRYABLE and new in ("pending", "running"):
-                retries, ended = retries + 1, pd.NaT
-            if new == "running" and pd.isna(started):
-                started = r[at]
-            if new in TASK_DONE:
-                ended = r[at]
-            state = new
-        return pd.DataFrame([(pdf[key].iloc[0], state, retries, rejected, started, ended)], columns=[key, "status", "retries", "rejected", "started_at", "completed_at"])
-
-    kind = dict(history.dtypes)
-    return history.groupBy(key).applyInPandas(fold, f"{key} {kind[key]}, status string, retries long, rejected long, started_at {kind[at]}, completed_at {kind[at]}")
-
-
 def progress(tasks: DataFrame, case: str, status: str) -> DataFrame:
     """A-06: counts of each case and its status: open, or when all tasks are settled partial (any failed) or completed."""
     c = F.col(status)
@@ -160,7 +130,7 @@ def compare_and_set(tasks: DataFrame, changes: DataFrame, key: str, status: str,
     """K-13: tasks with `applied`: null without a change, false where the state is not the expected one or may not become the target.
 
     changes: (key, ordinal, expected, target). Of several for a key the least ordinal counts, as the state that the
-    others expect is gone; fold_tasks replays whole histories.
+    others expect is gone; lifecycle.fold replays whole histories.
     """
     first = changes.groupBy(key).agg(F.min(F.struct("ordinal", "expected", "target")).alias("_c"))
     c = F.col("_c")

@@ -87,3 +87,16 @@ def facets(rows: DataFrame, columns: list[str]) -> DataFrame:
     """A-02: (facet, value): distinct values that are not blank, over all rows; one pass for all columns."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns]))
     return rows.select(pairs.alias("p")).select("p.*").filter("value is not null and value != ''").distinct()
+
+
+def listing_source(stored: Column, link: Column, key: Column) -> Column:
+    """F-04: the source of a listing: the stored one in lower case; without one, as its link, or else its key, tells."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    url, id, kept = low(link), low(key), low(stored)
+    told = F.when(url.contains("adondevivir") | id.startswith("av-"), "adondevivir").when(url.contains("urbania") | id.startswith("urb-"), "urbania").when(url.contains("/groups/") | id.contains("_"), "grupo").otherwise("marketplace")
+    return F.when(kept == "", told).otherwise(kept)
+
+
+def of_source(stored: Column, link: Column, key: Column, part: str) -> Column:
+    """F-04: whether the source's name has that part; every one has an empty part."""
+    return listing_source(stored, link, key).contains(part.lower())

@@ -623,7 +623,7 @@ def stream_keep_first(spark, d):
 
 @bound()
 def stream_task_states(spark, d):
-    """R-06, T-02, T-04: keyed state; tests/test_streaming.py holds it against a fold."""
+    """R-06: keyed state; tests/test_streaming.py holds it against a fold."""
     graph = {"signup": ["view", "click"], "view": ["click", "error", "signup"], "click": ["purchase", "view", "error"], "purchase": ["view"], "error": ["view"]}
     states = jobs.task_states(jobs.event_stream(spark, d).select("user_id", "event_type", "event_id"), "user_id", "event_type", "event_id", graph, "signup", ["error"])
     return jobs.run_all(states, "update").groupBy("user_id").agg(F.max_by(F.struct("status", "retries", "rejected"), "batch").alias("s")).select("user_id", "s.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catastra.functions import captures, rules, text
-from catastra.operators import history, linkage, research, resolve, views
+from catastra.operators import history, lifecycle, linkage, research, resolve, views
 from catastra.plans.bindings import ORACLE, bound, table
 from catastra.sources import readers
 
@@ -188,13 +188,58 @@ def steps_sql(status: str) -> str:
     return f"select user_id as k, row_number() over (partition by user_id order by event_id) as i, {status} as new, ts::timestamp as at from events"
 
 
-@bound(fold_sql(steps_sql(pick_sql("event_id", TASKS, 3)), research.TASK_EDGES, "pending", research.TASK_RETRYABLE, research.TASK_DONE) + """
-select k as user_id, status, retries, rejected, epoch_us(started_at) as started_us, epoch_us(completed_at) as completed_us from f qualify row_number() over (partition by k order by i desc) = 1""")
-def folded_tasks(spark, d):
-    """T-02: every user's steps replayed on the graph of tasks."""
-    e = table(spark, d, "events").select("user_id", "event_id", pick(F.col("event_id"), TASKS, 3).alias("step"), F.col("ts").cast("timestamp").alias("ts"))
+# The steps that tasks and cases may take, and the kinds of their states.
+TASK_STEPS = """
+('pending','running'), ('pending','completed'), ('pending','failed'), ('pending','requires_manual_action'), ('pending','blocked'), ('pending','unavailable'), ('pending','skipped'),
+('running','completed'), ('running','failed'), ('running','requires_manual_action'), ('running','blocked'), ('running','unavailable'), ('running','skipped'),
+('requires_manual_action','running'), ('requires_manual_action','pending'), ('requires_manual_action','completed'),
+('blocked','running'), ('blocked','pending'), ('blocked','unavailable'), ('failed','running'), ('failed','pending'), ('unavailable','running'), ('unavailable','pending')"""
+CASE_STEPS = """
+('pending','queued'), ('pending','running'), ('pending','completed'), ('pending','partial'), ('pending','failed'),
+('created','queued'), ('created','running'), ('created','completed'), ('created','partial'), ('created','failed'),
+('queued','running'), ('queued','completed'), ('queued','partial'), ('queued','failed'),
+('running','completed'), ('running','partial'), ('running','failed'), ('running','cancelled')"""
+TASK_STATES = ["pending", "running", "completed", "failed", "requires_manual_action", "blocked", "unavailable", "skipped"]
+CASE_STATES = ["pending", "created", "queued", "running", "completed", "partial", "failed", "cancelled"]
+
+
+def history_sql(steps: str, edges: str, first: str, settled: str, done: str, retryable: str) -> str:
+    """A recursion over steps(k, i, new, at, err): each step from the row before."""
+    return f"""
+with recursive edges(a, b) as (values {edges}), s as ({steps}),
+f as (select distinct k, 0::bigint as i, '{first}' as status, 0::bigint as retries, 0::bigint as rejected, null::timestamp as started_at, null::timestamp as completed_at, null::varchar as error, false as manual from s
+union all select f.k, s.i, case when e.a is null then f.status else s.new end, f.retries + case when e.a is not null and f.status in ({retryable}) and s.new in ('pending', 'running') then 1 else 0 end, f.rejected + case when e.a is null and s.new <> f.status then 1 else 0 end,
+case when e.a is null then f.started_at when s.new = 'running' then s.at when s.new in ({settled}) then coalesce(f.started_at, s.at) else f.started_at end,
+case when e.a is null then f.completed_at when f.status in ({retryable}) and s.new in ('pending', 'running') then null when s.new in ({done}) then s.at else f.completed_at end,
+case when e.a is null then f.error when s.new = 'completed' then s.err else coalesce(s.err, f.error) end,
+case when e.a is null then f.manual when s.new = 'requires_manual_action' then true when s.new = 'completed' then false else f.manual end
+from f join s on s.k = f.k and s.i = f.i + 1 left join edges e on e.a = f.status and e.b = s.new)
+select k as user_id, status, retries, rejected, epoch_us(started_at) as started_us, epoch_us(completed_at) as completed_us"""
+
+
+def history_steps_sql(states, every: int) -> str:
+    return f"select user_id as k, row_number() over (partition by user_id order by event_id) as i, {pick_sql('event_id', states, every)} as new, ts::timestamp as at, case when event_id % 4 = 0 then event_type end as err from events"
+
+
+LAST_SQL = " from f qualify row_number() over (partition by k order by i desc) = 1"
+
+
+def folded(spark, d, life, states, every: int):
+    e = table(spark, d, "events").select("user_id", "event_id", pick(F.col("event_id"), states, every).alias("step"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_id") % 4 == 0, F.col("event_type")).alias("err"))
     us = lambda c: F.unix_micros(c).alias(c.replace("_at", "_us"))
-    return research.fold_tasks(e, "user_id", "event_id", "step", "ts").select("user_id", "status", "retries", "rejected", us("started_at"), us("completed_at"))
+    return lifecycle.fold(e, life, "user_id", "event_id", "step", "ts", "err").withColumn("started_us", us("started_at")).withColumn("completed_us", us("completed_at")).drop("started_at", "completed_at")
+
+
+@bound(history_sql(history_steps_sql(TASK_STATES, 3), TASK_STEPS, "pending", "'completed', 'failed', 'skipped', 'unavailable', 'blocked', 'requires_manual_action'", "'completed', 'failed', 'skipped', 'unavailable', 'blocked'", "'failed', 'blocked', 'unavailable', 'requires_manual_action'") + ", error, manual as requires_manual_action" + LAST_SQL)
+def folded_tasks(spark, d):
+    """T-02: every user's steps as those of a task, with times, retries, errors and the flag for a person."""
+    return folded(spark, d, lifecycle.TASK, TASK_STATES, 3)
+
+
+@bound(history_sql(history_steps_sql(CASE_STATES, 5), CASE_STEPS, "created", "''", "'completed', 'partial', 'failed', 'cancelled'", "''") + LAST_SQL)
+def folded_cases(spark, d):
+    """T-04: every user's steps as those of a case."""
+    return folded(spark, d, lifecycle.CASE, CASE_STATES, 5).select("user_id", "status", "retries", "rejected", "started_us", "completed_us")
 
 
 STREAM_GRAPH = {"signup": ["view", "click"], "view": ["click", "error", "signup"], "click": ["purchase", "view", "error"], "purchase": ["view"], "error": ["view"]}

@@ -50,7 +50,7 @@ def cycle_totals(stream: DataFrame, time: str, late: str, every: str, by: str) -
 
 
 def task_states(stream: DataFrame, key: str, status: str, order: str, graph: dict[str, list[str]] = TASK_EDGES, first: str = "pending", retryable: list[str] = TASK_RETRYABLE) -> DataFrame:
-    """R-06, T-02, T-04: after each batch, of the keys in it: status, retries and steps rejected so far.
+    """R-06: after each batch, of the keys in it: status, retries and steps rejected so far.
 
     Steps within a batch are taken in order of `order`; the state of a key is two counters and a name.
     """

@@ -99,13 +99,6 @@ def test_greedy_uses_each_match_once(spark):
     assert sorted((x.l, x.r) for x in linkage.greedy(pairs, "g", "l", "r", "ratio").collect()) == [(1, 7), (2, 8)]
 
 
-def test_fold_rejects_what_the_graph_lacks(spark):
-    steps = [("t", 1, "running", 1), ("t", 2, "failed", 2), ("t", 3, "completed", 3), ("t", 4, "running", 4), ("t", 5, "completed", 5), ("t", 6, "running", 6)]
-    df = spark.createDataFrame(steps, "task string, n int, status string, h int").withColumn("at", F.timestamp_seconds("h"))
-    r = research.fold_tasks(df.drop("h"), "task", "n", "status", "at").first()
-    assert (r.status, r.retries, r.rejected, r.completed_at.second) == ("completed", 1, 2, 5)
-
-
 def test_stale_links_and_promotion(spark):
     t = spark.createDataFrame([("a", "https://f.com/groups/1"), ("b", "https://f.com/groups/1/posts/9")], "k string, url string")
     n = spark.createDataFrame([("a", "https://f.com/groups/1/posts/5"), ("b", "https://f.com/groups/1/posts/6")], "k string, url string")
