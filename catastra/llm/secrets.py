@@ -18,7 +18,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # whole runs; a shorter run holds no
 HEX = re.compile(r"[0-9a-f]{32,}")
 FRAME = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
 DEK = re.compile(r"(?i:DEK-Info:)[\x20\t]*([A-Za-z0-9-]+),[\x20\t]*([0-9A-Fa-f]+)\s*\Z")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+#: The first of three parts, which may begin any JSON object: with a brace or with blanks before it.
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(?=[CDIe])([A-Za-z0-9_-]{14,}+)(?=\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]*+))")
+#: Encodings in encodings are followed so deep.
+DEPTH = 2
 #: 19 and 28 characters are the least that hold `token=` and eight more, the shortest text that confirmed() takes.
 B64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
 ANYHEX = re.compile(r"[0-9a-fA-F]{28,}")
@@ -110,8 +113,7 @@ def ssh_key(data: bytes) -> bool:
     return 1 <= many <= 16 and all(take() for _ in range(many + 1))
 
 
-def signed(candidate: str) -> bool:
-    head, body, _ = candidate.split(".", 2)
+def signed(head: str, body: str) -> bool:
     raw = unbase64(head)
     try:
         fields = json.loads(raw) if raw else None
@@ -120,19 +122,20 @@ def signed(candidate: str) -> bool:
     return isinstance(fields, dict) and isinstance(fields.get("alg"), str) and unbase64(body) is not None
 
 
-def confirmed(data: bytes | None) -> str | None:
+def confirmed(data: bytes | None, depth: int = DEPTH) -> str | None:
+    """What data is: a key by its structure, or a text that holds a secret, itself encoded or not."""
     if not data:
         return None
     if der_key(data):
         return "der_key"
     if ssh_key(data):
         return "ssh_key"
-    if data.isascii():
-        plain = data.decode("ascii")
-        if not plain.translate(BLANKS).isprintable():
-            return None
-        if ACCESS.search(plain) or any(len(m[1]) >= 8 for m in ASSIGN.finditer(plain)) or any(pem_keys(plain)):
-            return "encoded_secret"
+    try:
+        plain = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    if plain.translate(BLANKS).isprintable() and any(KINDS[k] != "hex" for _, k, _ in find(plain, depth - 1)):
+        return "encoded_secret"
     return None
 
 
@@ -152,7 +155,8 @@ def pem_keys(text: str):
 
 
 def pem_body(body: str) -> bool:
-    """Base64 that parses as a key; or, below header lines that name a cipher, whole blocks of encrypted data."""
+    """Base64 that parses as a key; or, below header lines that name a cipher, whole blocks of encrypted data. Line breaks and slashes may be escaped, as in JSON."""
+    body = body.replace("\\r", "").replace("\\n", "\n").replace("\\/", "/")
     lines = body.strip().splitlines()
     head = [k for k, x in enumerate(lines) if ":" in x]
     if head:
@@ -181,30 +185,31 @@ def wrapped(text: str):
             i = j + 1
 
 
-def find(text: str | None) -> list[tuple[int, int, int]]:
-    """(start, kind's number, end) in order."""
+def find(text: str | None, depth: int = DEPTH) -> list[tuple[int, int, int]]:
+    """(start, kind's number, end) in order. What is encoded is looked into `depth` times."""
     text = text or ""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     pem = list(pem_keys(text)) if "PRIVATE KEY" in text else []
     out += [(a, 3, b) for a, b in pem]
-    if "eyJ" in text:
-        out += [(m.start(), 6, m.end()) for m in SIGNED.finditer(text) if signed(m[0])]
+    out += [(m.start(), 6, m.end(3)) for m in SIGNED.finditer(text) if signed(m[1], m[2])]
+    if not depth:
+        return sorted(set(out))
     for m in B64.finditer(text):
-        if kind := confirmed(unbase64(m[0])):
+        if kind := confirmed(unbase64(m[0]), depth):
             out.append((m.start(), KINDS.index(kind), m.end()))
     for m in ANYHEX.finditer(text):
-        if len(m[0]) % 2 == 0 and (kind := confirmed(bytes.fromhex(m[0]))):
+        if len(m[0]) % 2 == 0 and (kind := confirmed(bytes.fromhex(m[0]), depth)):
             out.append((m.start(), KINDS.index(kind), m.end()))
     for lines in wrapped(text):
         start, end = lines[0][0], lines[-1][1]
         if any(a <= start and end <= b for a, b in pem):
             continue
         run = "".join(text[a:b] for a, b in lines)
-        kind = confirmed(unbase64(run)) if len(run) >= 19 else None
+        kind = confirmed(unbase64(run), depth) if len(run) >= 19 else None
         if not kind and len(run) >= 28 and len(run) % 2 == 0 and ANYHEX.fullmatch(run):
-            kind = confirmed(bytes.fromhex(run))
+            kind = confirmed(bytes.fromhex(run), depth)
         if kind:
             out.append((start, KINDS.index(kind), end))
     return sorted(set(out))
@@ -215,8 +220,8 @@ def scan_secrets(docs: DataFrame, text: str = "text", to: str = "secrets") -> Da
 
     The three base kinds come from patterns alone. All other candidates are decoded (base64 in either alphabet, hex)
     and reported only if what they hold parses: private keys by nested DER or length-prefixed fields that fill the
-    data, signed tokens by a JSON header with an algorithm, encoded text by an assign, an access key or a PEM key
-    inside. Runs that a line break parts are joined too, if their lines are of one width but for the first and last. Null and empty texts
+    data, signed tokens by a JSON header with an algorithm, encoded UTF-8 text by any of these inside, or an assign or an
+    access key, themselves encoded or not, up to DEPTH times. PEM frames may stand in JSON, with escaped line breaks. Runs that a line break parts are joined too, if their lines are of one width but for the first and last. Null and empty texts
     have no spans. Every row is scanned whole, for itself; a column named like `to` is replaced.
     """
 
