@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import INTERNAL, hot_keys, running_totals, salted_join, staged, without
+from .common import hot_keys, plain_names, running_totals, salted_join, staged, without
 
 PREFIX = re.compile(r"[ \t]*((?:>[ \t]?)+)")
-WROTE = re.compile(r"[^\n]{0,200}\b(?:wrote|schrieb|écrit|escribió)\s*:\s*$")
+WROTE = re.compile(r"\b(?:wrote|schrieb|écrit|escribió)\s*:\Z")
 PARSED = "struct<own:string,units:array<struct<h:long,words:int>>,quoted:array<struct<h:long,words:int,level:int>>>"
 
 
@@ -51,7 +51,7 @@ def parse(text: str | None) -> dict:
             if line.strip() and blocks and blocks[-1]:
                 blocks.append(None)
             continue
-        if own and WROTE.match(own[-1]):
+        if own and WROTE.search(own[-1].rstrip()):
             own.pop()
         body = line[m.end() :]
         if blocks and blocks[-1] and blocks[-1][0] == level:
@@ -83,7 +83,8 @@ def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: st
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse(t) for t in texts], columns=["own", "units", "quoted"])
 
-    keep = without(messages, ["content", "reply_conversation", "reply_turn", "depth", "thread", "position", "_p", "_c", "_t", "_one", "_tie", *INTERNAL])
+    results = ["content", "reply_conversation", "reply_turn", "depth", "thread", "position"]
+    keep, names, (conversation, turn, text) = plain_names(without(messages, results), conversation, turn, text)
     work = staged(keep.withColumn("_p", of(F.col(text).cast("string"))).withColumn("_c", F.col(conversation)).withColumn("_t", F.col(turn)))
     quoted = staged(work.select("_c", "_t", F.explode("_p.quoted").alias("q")).select("_c", "_t", "q.*").filter("_c is not null and _t is not null").groupBy("_c", "_t", "h").agg(F.max("words").alias("words"), F.min("level").alias("level")))
     wanted = staged(quoted.groupBy("h").agg(F.count(F.lit(1)).alias("count")))
@@ -109,8 +110,11 @@ def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: st
             break
     roots = chain.select("_c", "_t", F.col("pc").alias("thread"), "depth")
     out = work.join(links, ["_c", "_t"], "left").join(roots, ["_c", "_t"], "left")
-    out = out.select(*[F.col(f"`{c}`") for c in keep.columns], F.col("_p.own").alias("content"), F.col("pc").alias("reply_conversation"), F.col("pt").alias("reply_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), F.coalesce("thread", "_c").alias("thread"), F.lit(1).cast("long").alias("_one"), F.xxhash64(text).alias("_tie"))
+    out = out.select(*keep.columns, F.col("_p.own").alias("content"), F.col("pc").alias("reply_conversation"), F.col("pt").alias("reply_turn"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), F.coalesce("thread", "_c").alias("thread"), F.lit(1).cast("long").alias("_one"), F.xxhash64(text).alias("_tie"))
     ranked, _, _ = running_totals(out, ["thread", conversation, turn, "_tie"], "_one")
-    first = ranked.groupBy("thread").agg(F.min("_rank").alias("_first"))
-    joined = ranked.join(first, ranked.thread.eqNullSafe(first.thread)).drop(first.thread)
-    return joined.select(*[F.col(f"`{c}`") for c in keep.columns], "content", "reply_conversation", "reply_turn", "depth", "thread", (F.col("_rank") - F.col("_first")).alias("position"))
+    first = staged(ranked.groupBy("thread").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("count")))
+    alone = first.filter("thread is null").first()  # rows without a conversation; they stand first
+    first = first.filter("thread is not null")
+    joined = salted_join(ranked, first.drop("count"), "thread", "_rank", "left", hot_keys(first.select("thread", "count")))
+    position = F.col("_rank") - F.coalesce("_first", F.lit(alone["_first"] if alone else 0))
+    return joined.select(*keep.columns, *results[:-1], position.alias("position")).toDF(*names, *results)
