@@ -117,6 +117,9 @@ def possible(size: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, sim
     return np.minimum(size[x] - at[x], size[y] - at[y]) >= needed(size[x], size[y], similarity) - (SHARED - 1)
 
 
+#: A key with more rows than that is dealt over cells before its rows go to tasks. Keys are looked for in one of so many texts.
+LARGE_KEY = 50_000
+LOOKED_AT = 16
 COLUMNS = ("key", "node", "size", "at", "label")
 PAIR_OR_BLOCK = "a long, b long, need long, key long, cell long, side int, node long, size int, at int, label long"
 NAMES = [c.split()[0] for c in PAIR_OR_BLOCK.split(", ")]
@@ -168,6 +171,42 @@ def bucketed(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.repartition(n, "key").sortWithinPartitions("key").mapInPandas(lambda f: (x.reindex(columns=NAMES) for x in of(f)), PAIR_OR_BLOCK)
 
 
+def dealt(rows: DataFrame, nodes: int, similarity: float) -> tuple[DataFrame, DataFrame | None]:
+    """rows(key, node, size, at, label) less those of keys with more than LARGE_KEY rows, and the cells of these, if there are any, as bucketed() gives them.
+
+    Such a key's rows stand in stretches of size, cut so that similar sets are of one stretch or two that follow each
+    other, and each stretch in blocks by a hash of the node. A cell is a pair of blocks that may hold similar sets; it is of a
+    bounded size whatever the key. A row goes to as many cells as its key has such blocks. Keys whose rows are all of
+    one label are left out.
+    """
+    if nodes <= LARGE_KEY:  # a node has a key once
+        return rows, None
+    seen = rows.filter(F.pmod(F.xxhash64("node", F.lit("large")), F.lit(LOOKED_AT)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("count"))
+    large = staged(seen.filter(F.col("count") > LARGE_KEY // (2 * LOOKED_AT)).select("key"))
+    many = large.count()
+    if not many:
+        return rows, None
+    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    large = small(large, many)
+    stretch = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / float(-np.log(similarity * (1 - 1e-9)))).alias("stretch")
+    mine = rows.join(large, "key", "left_semi").select("*", stretch)
+    counts = staged(mine.groupBy("key", "stretch").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"), F.min("label").alias("least"), F.max("label").alias("most")))
+    apart = counts.groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least != most").select("key")
+    of = counts.join(apart, "key", "left_semi").select("key", "stretch", "blocks")
+    beside = lambda by, name: of.select("key", (F.col("stretch") + by).alias("stretch"), F.col("blocks").alias(name))
+    sizes = small(of.join(beside(-1, "above"), ["key", "stretch"], "left").join(beside(1, "below"), ["key", "stretch"], "left").na.fill(0, ["above", "below"]), counts.count())
+    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    upto = lambda n: F.filter(F.sequence(F.lit(0), F.col(n)), lambda j: j < F.col(n))
+    cell = lambda lower, i, kind, j, side: F.struct(F.xxhash64(lower, i, F.lit(kind), j).alias("cell"), side.cast("int").alias("side"))
+    within = F.transform(upto("blocks"), lambda j: cell(F.col("stretch"), F.least("own", j), "same", F.greatest(F.col("own"), j), F.when(F.col("own") <= j, 0).otherwise(1)))
+    up = F.transform(upto("above"), lambda j: cell(F.col("stretch"), F.col("own"), "next", j, F.lit(0)))
+    down = F.transform(upto("below"), lambda j: cell(F.col("stretch") - 1, j, "next", F.col("own"), F.lit(1)))
+    cells = mine.join(sizes, ["key", "stretch"]).withColumn("own", own).select(*COLUMNS, F.explode(F.concat(within, up, down)).alias("c")).select(*COLUMNS, "c.*")
+    none = F.lit(None).cast("long")
+    cells = cells.select(none.alias("a"), none.alias("b"), none.alias("need"), "key", "cell", F.col("side").cast("int").alias("side"), "node", F.col("size").cast("int").alias("size"), F.col("at").cast("int").alias("at"), "label")
+    return rows.join(large, "key", "left_anti"), cells
+
+
 def compared(cells: DataFrame, similarity: float, nearest: bool) -> DataFrame:
     """Pairs (a, b) of different labels in the cells of large buckets, of rows with sketches (k), that may be similar by all filters. With nearest, of each row in a cell only its nearest by the sketches."""
 
@@ -301,7 +340,9 @@ def similar_classes(work: DataFrame, id: str, text: str, n: int, similarity: flo
 
     label = lambda df: df.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = work.select(F.col("_node").alias("node"), F.col("_size").alias("size"), "_prefix").join(label(uniq.select("node")), "node").select("node", "size", "label", F.posexplode("_prefix").alias("at", "key"))
-    found = staged(bucketed(rows, similarity))
+    rows, spread = dealt(rows, uniq.count(), similarity)
+    found = bucketed(rows, similarity)
+    found = staged(found.unionByName(spread) if spread is not None else found)
     pairs = found.filter("a is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("many"), F.max("need").alias("need")).filter("many >= need").select("a", "b")
     cells = found.filter("key is not null").drop("a", "b", "need")
     large = cells.limit(1).count()

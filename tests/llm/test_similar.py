@@ -21,8 +21,10 @@ def plain_kept(texts):
     return {d for d in ids if up[d] == d}
 
 
-@pytest.mark.parametrize(("small", "block", "radius"), [(4, 20, 0), (64, 8_192, 7)])  # 20: buckets are cut, and SimHash proposes next to nothing
-def test_pairs_around_the_threshold(spark, monkeypatch, small, block, radius):
+@pytest.mark.parametrize(("small", "block", "radius", "large"), [(4, 20, 0, 50_000), (64, 8_192, 7, 50_000), (4, 7, 0, 30)])  # 20: buckets are cut, and SimHash proposes next to nothing; 30: so are keys, before they go to tasks
+def test_pairs_around_the_threshold(spark, monkeypatch, small, block, radius, large):
+    monkeypatch.setattr(similar, "LARGE_KEY", large)
+    monkeypatch.setattr(similar, "LOOKED_AT", 1)
     monkeypatch.setattr(similar, "SMALL_BUCKET", small)
     monkeypatch.setattr(similar, "BLOCK_ROWS", block)
     r, texts = random.Random(1), {}
@@ -59,3 +61,23 @@ def test_rows_of_a_dense_bucket_meet_in_some_pair_of_blocks(spark, monkeypatch):
     met = {(a, b) for fps in found.values() for a in fps for b in fps if a < b}
     assert len(found) == 15 and max(map(len, found.values())) < 45
     assert met == {(a, b) for a in range(45) for b in range(a + 1, 45)}
+
+
+def test_rows_of_a_large_key_meet_in_some_cell(spark, monkeypatch):
+    monkeypatch.setattr(similar, "LARGE_KEY", 40)
+    monkeypatch.setattr(similar, "LOOKED_AT", 1)
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 6)
+    rows = [(1, n, n % 50 + 1, 0, n % 3) for n in range(150)] + [(2, n, 9, 0, 1) for n in range(90)] + [(3, n, 5, 0, n) for n in range(4)]
+    df = spark.createDataFrame(rows, "key long, node long, size int, at int, label long")
+    rest, cells = similar.dealt(df, 150, 0.8)
+    assert {r.key for r in rest.collect()} == {3}
+    met, sizes, most = set(), dict((n, s) for k, n, s, _, _ in rows if k == 1), 0
+    held = {}
+    for r in cells.collect():
+        assert r.key == 1  # all rows of 2 are of one label
+        held.setdefault(r.cell, ([], []))[r.side].append(r.node)
+    for a, b in held.values():
+        most = max(most, len(a), len(b))
+        met |= {(min(x, y), max(x, y)) for x in a for y in (b or a) if x != y}
+    assert {(x, y) for x in range(150) for y in range(x + 1, 150) if min(sizes[x], sizes[y]) >= 0.8 * max(sizes[x], sizes[y])} <= met
+    assert most < 30
