@@ -68,7 +68,8 @@ def post_url(raw: Column, group: Column) -> Column:
     """C-16: the best usable address in what was captured."""
     got = lambda p: blank_to_null(F.regexp_extract(or_blank(raw), p, 1))
     post = F.coalesce(got(r"[?&](?:story_fbid|multi_permalinks)=(\d+)"), got(r"[?&]set=gm\.(\d+)"), got(r"(?:posts|permalink|multi_permalink)/(\d+)"))
-    own = F.when(F.contains(or_blank(raw), F.concat(F.lit("/groups/"), group, F.lit("/"))), got(r"/groups/[^/]+/(?:posts|permalink|multi_permalink)/(\d+)"))
+    mine = F.concat(F.lit(r"/groups/\Q"), group, F.lit(r"\E/(?:posts|permalink|multi_permalink)/(\d+)"))
+    own = blank_to_null(F.call_function("regexp_extract", or_blank(raw), mine, F.lit(1)))
     post = F.coalesce(own, post)
     return F.when(post.isNotNull(), F.concat(F.lit(f"{BASE}/groups/"), group, F.lit("/posts/"), post)).otherwise(got(r"(https?://www\.facebook\.com/share/[a-z]/[A-Za-z0-9]+)"))
 
@@ -275,8 +276,3 @@ def exploded(plan: DataFrame, key: str, column: str) -> DataFrame:
 def action_filter(rows: DataFrame, status: str | None, states: tuple[str, ...] = ("requested", "completed", "cancelled")) -> DataFrame:
     """F-21: `all` and unknown states filter nothing."""
     return rows.filter(F.col("status") == status) if status in states else rows
-
-
-def run_log(cycles: DataFrame) -> DataFrame:
-    """K-07, A-15: a line of the run log for each cycle."""
-    return cycles.select(F.concat_ws(",", *[text.csv_field(F.col(c)) for c in cycles.columns]).alias("line"))

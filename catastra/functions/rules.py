@@ -65,12 +65,11 @@ def matches(text: Column, p: str) -> Column:
     return F.coalesce(text.rlike(pattern(p)), F.lit(False))
 
 
-def first_rule(text: Column, rules, default: str | None = None) -> Column:
-    """J-14, C-12: the name of the first rule (name, pattern) that text matches."""
-    out = None
+def first_rule(text: Column, rules, default: str | None = None, value=F.lit) -> Column:
+    """J-14, C-12: the name of the first rule (name, pattern) that text matches, or what `value` makes of it."""
+    out = F
     for name, p in rules:
-        hit = matches(text, p)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
+        out = out.when(matches(text, p), value(name))
     return out.otherwise(F.lit(default))
 
 
@@ -84,9 +83,6 @@ def district(title: Column, ocr: Column, description: Column, location: Column,
     direct = [(n, p) for n, p, _ in rules]
     near = [(n, f"{CONTEXT}(?:{k})") for n, _, k in rules]
     levels = [(title, direct, "title"), (ocr, direct, "ocr"), (description, near, "description"), (description, direct, "description"), (location, direct, "location")]
-    name = F.coalesce(*[first_rule(c, r) for c, r, _ in levels], F.lit(""))
-    out = None
-    for c, r, s in levels:
-        hit = first_rule(c, r).isNotNull()
-        out = F.when(hit, s) if out is None else out.when(hit, s)
-    return F.struct(name.alias("district"), out.otherwise("none").alias("source"))
+    pair = lambda name, source: F.struct(F.lit(name).alias("district"), F.lit(source).alias("source"))
+    # each pattern stands once: a level gives name and source together
+    return F.coalesce(*[first_rule(c, r, value=lambda n, s=s: pair(n, s)) for c, r, s in levels], pair("", "none"))

@@ -11,10 +11,9 @@ from catastra.sources.shared import staged
 
 
 def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str) -> DataFrame:
-    """(left_id, right_id, shared, ratio) of pairs that share a token: shared over the smaller set.
+    """(left_id, right_id, shared, ratio) of all pairs that share a token: shared over the smaller set. See overlaps() for a least ratio, which common tokens cost less.
 
-    A token that a right-hand side of bounded frequency holds joins as rows; equal token sets on the left are one set,
-    so copies do not multiply. Sizes ride along, so no second join is needed.
+    Equal token sets on the left are one set, so copies do not multiply. Sizes ride along, so no second join is needed.
     """
     sets = left.select(F.array_sort(tokens).alias("_set"), left_id)
     a = sets.select("_set").distinct().select("_set", F.size("_set").alias("_na"), F.explode("_set").alias("_t"))
@@ -23,6 +22,32 @@ def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return shared.join(sets, "_set").select(left_id, right_id, "shared", (F.col("shared") / F.col("_least")).alias("ratio"))
 
 
+def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str, least: float) -> DataFrame:
+    """J-09: (left_id, right_id, shared, ratio) as token_overlap gives them, of a ratio from `least` on (above 0).
+
+    Of two such sets the smaller one shares at least a `least`-th of its tokens, so one of its rarest, all but that share less one, is
+    in the other. Only these are looked up, so a word that most sets have joins none of those that have rarer
+    ones. What meets is judged on the whole sets.
+    """
+    sets = staged(left.select(F.array_sort(tokens).alias("_set"), left_id))
+    a, b = sets.select("_set").distinct().withColumn("_id", F.col("_set")), right.select(F.col(tokens).alias("_set"), F.col(right_id).alias("_id"))
+    words = lambda df: df.select("_id", F.size("_set").alias("_n"), F.explode("_set").alias("_t"))
+    often = words(a).select("_t").unionByName(words(b).select("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("_often"))
+
+    def rarest(df: DataFrame) -> DataFrame:
+        ranked = words(df).join(often, "_t").groupBy("_id", "_n").agg(F.array_sort(F.collect_list(F.struct("_often", "_t"))).alias("_w"))
+        return ranked.select("_id", "_n", F.explode(F.slice("_w", F.lit(1), (F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1).cast("int"))).alias("_r")).select("_id", "_n", F.col("_r._t").alias("_t"))
+
+    name = lambda df, id, n: df.withColumnsRenamed({"_id": id, "_n": n})
+    small_a = name(rarest(a), "_a", "_na").join(name(words(b), "_b", "_nb"), "_t").filter("_na <= _nb")
+    small_b = name(words(a), "_a", "_na").join(name(rarest(b), "_b", "_nb"), "_t").filter("_na > _nb")
+    met = small_a.select("_a", "_b").unionByName(small_b.select("_a", "_b")).distinct()
+    shared = F.size(F.array_intersect("_a", "_set"))
+    judged = met.join(b.withColumnRenamed("_id", "_b"), "_b").select("_a", "_b", shared.alias("shared"), F.least(F.size("_a"), F.size("_set")).alias("_least"))
+    judged = judged.withColumn("ratio", F.col("shared") / F.col("_least")).filter(F.col("ratio") >= least)
+    return judged.join(sets.withColumnRenamed("_set", "_a"), "_a").select(left_id, F.col("_b").alias(right_id), "shared", "ratio")
+
+
 def best_match(pairs: DataFrame, left_id: str, right_id: str, least: float) -> DataFrame:
     """J-09: of each left row the right row of largest ratio (ties: the least id), from `least` on."""
     best = F.max(F.struct("ratio", (-F.col(right_id)).alias("n"))).alias("b")

@@ -104,9 +104,9 @@ def geolocation_outcome(verified: Column, query: Column, hit: Column) -> Column:
     return F.when(verified, "skipped").when(F.coalesce(query, F.lit("")) == "", "requires_manual_action").when(~hit, "failed").otherwise("completed")
 
 
-def auction_outcome(locality: Column, matches: Column, certain: Column) -> Column:
-    """T-10."""
-    return F.when(F.coalesce(locality, F.lit("")) == "", "requires_manual_action").when(matches == 0, "completed").when(certain, "completed").otherwise("requires_manual_action")
+def auction_outcome(locality: Column, entries: Column, certain: Column) -> Column:
+    """T-10: no place to look in is a person's; no auctions there is done, and so is one that is certainly the property's; else a person looks."""
+    return F.when(F.coalesce(locality, F.lit("")) == "", "requires_manual_action").when((F.coalesce(entries, F.lit(0)) == 0) | F.coalesce(certain, F.lit(False)), "completed").otherwise("requires_manual_action")
 
 
 def settle_manual(actions: DataFrame, tasks: DataFrame, task: str, outcome: str) -> DataFrame:

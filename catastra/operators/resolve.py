@@ -92,8 +92,9 @@ BLANKABLE = ["tipo_raw", "ubicacion", "ubicacion_key", "fecha_iso", "info", "mon
 def alias_components(rows: DataFrame, component: str = "component") -> DataFrame:
     """D-03: rows(ordinal, remate_id, convocatoria_id, content, ...) with the least ordinal that shared aliases lead to.
 
-    Each round a row takes the least label of its aliases, by two aggregates and two joins, until none changes: as many
-    rounds as the longest chain of aliases has links. Labels are checkpointed in the cluster's shared folder.
+    Each round a row takes the least label of its aliases, and then the label of the row which that is, until none changes; so
+    labels go twice as far each round, and rounds are few however long a chain of aliases is. Labels are checkpointed in
+    the cluster's shared folder.
     """
     shared_dir(rows.sparkSession)
     named = [F.when(F.col(n).isNotNull(), F.concat(F.lit(f"{n}:"), F.col(n).cast("string"))) for n in ("remate_id", "convocatoria_id")]
@@ -102,7 +103,8 @@ def alias_components(rows: DataFrame, component: str = "component") -> DataFrame
     labels = alias.select("ordinal", F.col("ordinal").alias("_c")).distinct()
     while True:
         least = alias.join(labels, "ordinal").groupBy("_k").agg(F.min("_c").alias("_m"))
-        new = alias.join(least, "_k").groupBy("ordinal").agg(F.min("_m").alias("_n"))
+        new = alias.join(least, "_k").groupBy("ordinal").agg(F.min("_m").alias("_n")).checkpoint()
+        new = new.join(new.select(F.col("ordinal").alias("_n"), F.col("_n").alias("_far")), "_n").select("ordinal", F.col("_far").alias("_n"))
         both = labels.join(new, "ordinal").select("ordinal", F.col("_n").alias("_c"), (F.col("_n") < F.col("_c")).alias("_moved")).checkpoint()
         labels = both.drop("_moved")
         if both.filter("_moved").isEmpty():

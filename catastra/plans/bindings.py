@@ -486,7 +486,7 @@ def token_overlap_link(spark, d):
     """J-09, U-03, C-20: the benchmark item that shares most long words with each document."""
     left = table(spark, d, "documents").select("doc_id", text.title_tokens(F.col("text"), 6).alias("tokens"))
     right = table(spark, d, "benchmark").select("item_id", text.title_tokens(F.col("text"), 6).alias("tokens"))
-    best = linkage.best_match(linkage.token_overlap(left, right, "doc_id", "item_id", "tokens"), "doc_id", "item_id", 0.5)
+    best = linkage.best_match(linkage.overlaps(left, right, "doc_id", "item_id", "tokens", 0.5), "doc_id", "item_id", 0.5)
     return best.withColumn("ratio", F.round("ratio", 6))
 
 

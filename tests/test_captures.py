@@ -86,3 +86,34 @@ def test_small_ones(spark):
     assert [r.q for r in p.select(captures.place_district(F.col("m")).alias("q")).collect()] == ["Yura", "V"]
     actions = spark.createDataFrame([("requested",), ("completed",)], "status string")
     assert [captures.action_filter(actions, s).count() for s in ("requested", "all", "nope", None)] == [1, 2, 2, 2]
+
+
+@pytest.mark.parametrize(
+    ("raw", "wanted"),
+    [
+        ("see https://www.facebook.com/groups/8/posts/11 and /groups/7/permalink/22/", "https://www.facebook.com/groups/7/posts/22"),
+        ("/groups/8/posts/11?story_fbid=33", "https://www.facebook.com/groups/7/posts/33"),
+        ("/photo?fbid=1&set=gm.44", "https://www.facebook.com/groups/7/posts/44"),
+        ("/groups/8/posts/11", "https://www.facebook.com/groups/7/posts/11"),
+        ("text https://www.facebook.com/share/v/AbC1/ more", "https://www.facebook.com/share/v/AbC1"),
+        ("nothing", None),
+        (None, None),
+    ],
+)
+def test_post_urls(spark, raw, wanted):
+    df = spark.createDataFrame([(raw, "7")], "raw string, gid string")
+    assert df.select(captures.post_url(F.col("raw"), F.col("gid")).alias("u")).first().u == wanted
+
+
+def test_provenance_fills_blanks(spark):
+    df = spark.sql("select cast(null as string) as source, 'u' as url, timestamp'2024-01-01' as at")
+    p = df.select(captures.provenance(F.col("source"), F.col("url"), F.col("at"), verification="verified").alias("p")).first().p
+    assert (p.source, p.source_url, p.confidence, p.verification, p.parser_version) == ("manual", "u", "medium", "verified", "v1") and p.retrieved_at is not None
+
+
+def test_tables_without_a_filter(spark, tmp_path):
+    from catastra.sources import readers
+
+    for n in ("a", "b"):
+        spark.range(3).write.parquet(str(tmp_path / f"{n}.parquet"))
+    assert [df.count() for df in readers.whole(spark, str(tmp_path), "a", "b")] == [3, 3]
