@@ -42,11 +42,11 @@ def scratch(spark: SparkSession, kind: str = "staged") -> str:
     return path
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written once as Parquet in the shared folder and read again: lineage ends there and later reads prune columns."""
+def staged(df: DataFrame, few: bool = False) -> DataFrame:
+    """df written once as Parquet in the shared folder and read again: lineage ends there and later reads prune columns. few: of far less data than the tasks that make it have read, so that it goes to files of a fair size first."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    (df.hint("rebalance") if few else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

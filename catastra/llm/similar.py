@@ -117,6 +117,8 @@ def possible(size: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, sim
     return np.minimum(size[x] - at[x], size[y] - at[y]) >= needed(size[x], size[y], similarity) - (SHARED - 1)
 
 
+#: So many sets are few beside the texts that they are made of.
+FEW_SETS = 10_000
 #: A key with more rows than that is dealt over cells before its rows go to tasks. Keys are looked for in one of so many texts.
 LARGE_KEY = 50_000
 LOOKED_AT = 16
@@ -282,8 +284,9 @@ def packed(nodes: DataFrame, docs: DataFrame, text: str, n: int, sets: bool = Tr
         return pd.DataFrame({"k": [sketch(x) for x in found], "n": np.array([len(x) for x in found], np.int32), "s": [x.tobytes() if sets else None for x in found]})
 
     only = staged(nodes.select(F.col("node").alias("_node")).distinct())
-    only = F.broadcast(only) if only.count() <= BROADCAST_ROWS else only
-    return staged(docs.select("_node", F.col(text).cast("string").alias("t")).join(only, "_node", "left_semi").select(F.col("_node").alias("node"), of("t").alias("p")).select("node", "p.*"))
+    many = only.count()
+    only = F.broadcast(only) if many <= BROADCAST_ROWS else only
+    return staged(docs.select("_node", F.col(text).cast("string").alias("t")).join(only, "_node", "left_semi").select(F.col("_node").alias("node"), of("t").alias("p")).select("node", "p.*"), few=not sets or many <= FEW_SETS)
 
 
 def similar(pairs: DataFrame, docs: DataFrame, text: str, n: int, similarity: float) -> DataFrame:
@@ -313,7 +316,7 @@ def similar(pairs: DataFrame, docs: DataFrame, text: str, n: int, similarity: fl
         return pairs
 
     sets = packed(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, text, n)
-    left = staged(with_both(pairs, "k", "n").filter(maybe("ka", "kb", "na", "nb")).select("a", "b"))
+    left = staged(with_both(pairs, "k", "n").filter(maybe("ka", "kb", "na", "nb")).select("a", "b"), few=True)
     return with_both(left, "s").filter(near("sa", "sb")).select("a", "b")
 
 
@@ -328,12 +331,12 @@ def similar_classes(work: DataFrame, id: str, text: str, n: int, similarity: flo
     order = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col("_node").alias("node"))
     uniq = staged(work.groupBy("_fp", "_fp2").agg(F.min(order).alias("k")).select("k", F.col("k.node").alias("node")))
     docs = work.select("_node", text)
-    judged = lambda pairs: staged(similar(staged(pairs), docs, text, n, similarity))
+    judged = lambda pairs: staged(similar(staged(pairs, few=True), docs, text, n, similarity), few=True)
 
     first = staged(work.select(F.col("_node").alias("node"), "_sim").join(uniq.select("node"), "node", "left_semi"))
     sims = staged(first.groupBy("_sim").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("count")))
     rep = lambda end: sims.select(F.col("_sim").alias(end), F.col("rep").alias(f"{end}_rep"))
-    far = staged(near_links(sims.select(F.col("_sim").alias("fp")), radius, nearest=True)).join(rep("a"), "a").join(rep("b"), "b").select("a_rep", "b_rep")
+    far = staged(near_links(sims.select(F.col("_sim").alias("fp")), radius, nearest=True), few=True).join(rep("a"), "a").join(rep("b"), "b").select("a_rep", "b_rep")
     same = salted_join(first, sims.select("_sim", "rep"), "_sim", "node", hot=hot_keys(sims.select("_sim", "count"))).filter("node != rep").select("node", "rep")
     links = judged(far.union(same).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     labels = staged(connected(links))
