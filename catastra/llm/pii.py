@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, without
+from .common import hot_keys, plain_names, salted_join, staged, without
 
 # Each pattern begins where a run begins or where the last match ended, and never gives characters back: the same
 # matches as the plain pattern, in time linear in the text.
@@ -18,18 +18,41 @@ TERM = r"[\p{L}\p{N}]{3,}"
 SPANS = "array<struct<start:long,k:int,end:long,value:string>>"
 
 
+def bind(value: Column, body) -> Column:
+    """body(value), which is evaluated once, however often body speaks of it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+#: A running sum goes through so many values at a time.
+STRETCH = 128
+
+
+def running(values: Column, zero: Column, add) -> Column:
+    """What add has gathered from all earlier values of an array, for each. Stretches are gathered first, so that no array grows value by value over all."""
+
+    def scan(of: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(of, F.struct(start.alias("at"), F.slice(F.array(start), 1, 0).alias("out")), step, lambda acc: acc["out"])
+
+    def over(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(v) - 1) / STRETCH), F.lit(0)).cast("int")), lambda g: F.slice(v, g * STRETCH + 1, STRETCH))
+        return F.flatten(bind(parts, lambda p: F.zip_with(p, scan(F.transform(p, lambda x: F.aggregate(x, zero, add)), zero), scan)))
+
+    return bind(values, over)
+
+
 def spans(text: Column, pattern: str, kind: int, valid=None) -> Column:
     """struct(start, k, end, value) of the matches that hold, in order; places count code points, from 0."""
-    pieces = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["0"])
-        end = start + F.length(x["1"])
-        item = F.struct(start.alias("start"), F.lit(kind).alias("k"), end.alias("end"), x["1"].alias("value"))
-        keep = x["1"].isNotNull() & (valid(x["1"]) if valid else F.lit(True))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(keep, F.concat(acc["out"], F.array(item))).otherwise(acc["out"]).alias("out"))
+    def of(p: Column) -> Column:
+        sized = F.zip_with(F.slice(p["gaps"], 1, F.size(p["found"])), p["found"], lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("size"), m.alias("value")))
+        before = running(F.transform(sized, lambda x: x["gap"] + x["size"]), F.lit(0).cast("long"), lambda a, x: a + x)
+        every = F.zip_with(sized, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("k"), (at + x["gap"] + x["size"]).alias("end"), x["value"].alias("value")))
+        return F.filter(every, lambda s: valid(s["value"])) if valid else every
 
-    return F.aggregate(pieces, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("out")), add, lambda acc: acc["out"])
+    none = F.array().cast(SPANS)
+    pieces = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"))
+    return bind(pieces, lambda p: F.when(F.size(p["found"]) > 0, of(p)).otherwise(none))
 
 
 def digits(value: Column) -> Column:
@@ -67,7 +90,7 @@ def sanitise(docs: DataFrame, radius: int = 60, min_support: int = 3, generalise
     empty result. Columns of docs named pii or sanitised are replaced. Windows are of bounded length, so an entity or
     line of any frequency makes rows in proportion to its occurrences.
     """
-    keep = without(docs, ["pii", "sanitised", "_text", "_base", "_row", "_found", "_terms"])
+    keep, names, (text,) = plain_names(without(docs, [c for c in ("pii", "sanitised") if c != text.lower()]), text)
     keep = keep.withColumn(text, F.col(text).cast("string"))
     marks = staged(keep.withColumn("_base", base_spans(F.coalesce(F.col(text), F.lit("")))).withColumn("_row", F.monotonically_increasing_id()))
     work = marks.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
@@ -88,7 +111,7 @@ def sanitise(docs: DataFrame, radius: int = 60, min_support: int = 3, generalise
     terms = F.concat(shifted("left", F.col("start") - F.length("left")), shifted("right", F.col("end")))
     windows = staged(e.select("_row", "entity", terms.alias("terms")))
 
-    occurrences = windows.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    occurrences = staged(windows.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")))
     pairs = windows.select("entity", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= min_support)
     corpus = work.select(F.explode(F.regexp_extract_all("_text", F.lit(TERM), 0)).alias("term")).groupBy(F.lower("term").alias("term")).agg(F.count(F.lit(1)).alias("n_t"))
     corpus = staged(corpus)
@@ -98,7 +121,9 @@ def sanitise(docs: DataFrame, radius: int = 60, min_support: int = 3, generalise
     telling = pairs.join(corpus, "term").join(occurrences, "entity").withColumn("ratio", ratio).filter(F.col("ratio") >= generalise).select("entity", "term", F.when(F.col("ratio") >= remove, 5).otherwise(4).alias("k"))
 
     # a telling term goes wherever it stands in a text that has the entity: of each such text, its terms and what becomes of them
-    of_row = windows.select("_row", "entity").distinct().join(telling, "entity").groupBy("_row", "term").agg(F.max("k").alias("k"))
+    told = telling.groupBy("entity").agg(F.collect_list(F.struct("term", "k")).alias("told"))
+    of_row = salted_join(windows.select("_row", "entity").distinct(), told, "entity", "_row", hot=hot_keys(occurrences.select("entity", F.col("n_e").alias("count"))))
+    of_row = of_row.select("_row", F.explode("told").alias("t")).groupBy("_row", F.col("t.term").alias("term")).agg(F.max("t.k").alias("k"))
     of_row = of_row.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "k"))).alias("_terms"))
     kind_of = lambda s: F.element_at("_terms", F.lower(s["value"]))
     inside = F.filter(spans(F.col("_text"), TERM, 0), lambda s: kind_of(s).isNotNull())
@@ -108,16 +133,17 @@ def sanitise(docs: DataFrame, radius: int = 60, min_support: int = 3, generalise
     covered = lambda s: F.exists("_base", lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))
     every = F.array_sort(F.concat("_base", F.filter(F.coalesce("_found", F.array().cast(SPANS)), lambda s: ~covered(s))))
 
-    def cut(acc: Column, s: Column) -> Column:
+    def cut(s: Column, at: Column) -> Column:
+        """What stands before a span, and what becomes of it; nothing, if one that began before it covers its start."""
         shape = F.when(F.col("_text").substr((s["start"] + 1).cast("int"), F.lit(1)).rlike("[0-9]"), "[NUMBER]").otherwise("[WORD]")
         label = F.when(s["kind"] == "removed", "").when(s["kind"] == "generalised", shape).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        between = F.col("_text").substr((acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0).cast("long")).cast("int"))
-        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], between, label).alias("out"))
-        longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] >= acc["at"], new).otherwise(longer)
+        between = F.col("_text").substr((at + 1).cast("int"), F.greatest(s["start"] - at, F.lit(0).cast("long")).cast("int"))
+        return F.when(s["start"] >= at, F.concat(between, label)).otherwise("")
 
-    body = F.aggregate("pii", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), cut, lambda a: F.concat(a["out"], F.substring(F.col("_text"), (a["at"] + 1).cast("int"), F.length("_text"))))
+    ends = F.transform("pii", lambda s: s["end"])
+    pieces = F.zip_with("pii", running(ends, F.lit(0).cast("long"), lambda a, x: F.greatest(a, x)), cut)
+    body = F.concat(F.array_join(pieces, ""), F.substring(F.col("_text"), (F.array_max(ends) + 1).cast("int"), F.length("_text")))
     marked = hits.join(of_row, "_row", "left").withColumn("_found", found).withColumn("pii", named(every))
     out = marked.drop("_found", "_terms").unionByName(work.filter(F.size("_base") == 0).withColumn("pii", named(F.col("_base"))))
     shown = F.when(F.col(text).isNotNull(), F.when(F.size("pii") > 0, body).otherwise(F.col("_text")))
-    return out.withColumn("sanitised", shown).select(*[F.col(f"`{c}`") for c in keep.columns], "pii", "sanitised")
+    return out.withColumn("sanitised", shown).select(*keep.columns, "pii", "sanitised").toDF(*names, "pii", "sanitised")
