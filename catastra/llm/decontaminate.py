@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import hot_keys, plain_names, salted_join, staged, without, word_hashes, windows
 
@@ -129,8 +130,8 @@ class Items:
         order = np.argsort(seed, kind="stable")
         self.seed, self.item, self.place = seed[order], item[order], place[order]
 
-    def tiled(self, h: np.ndarray) -> list[tuple]:
-        """(item's key, words tiled, words) for each item that shares a seed with the text."""
+    def tiled(self, h: np.ndarray, coverage: float = 0.0) -> list[tuple]:
+        """(item's key, words tiled, words) for each item that shares seeds with the text, but for those whose shared seeds lie over fewer words than `coverage` of them."""
         if not len(self.seed) or len(h) < self.n:
             return []
         w = windows(h, self.n)
@@ -143,19 +144,27 @@ class Items:
         start = np.searchsorted(self.seed, seeds)
         many = np.searchsorted(self.seed, seeds, "right") - start
         k = np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        found, which = np.unique(self.item[k], return_inverse=True)
-        pairs = np.bincount(which, np.repeat(times, many).astype(float))
+        by_item = np.lexsort((self.place[k], self.item[k]))
+        item, place, weight = self.item[k][by_item], self.place[k][by_item], np.repeat(times, many)[by_item]
+        first = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1])))
+        # words of an item that its shared seeds lie over: n for the last place, for others as far as the next
+        over = np.minimum(np.diff(place, append=0), self.n)
+        over[np.append(first[1:], len(item)) - 1] = self.n
+        covered, pairs = np.add.reduceat(over, first), np.add.reduceat(weight, first)
         out = []
-        for x, total in zip(found.tolist(), pairs.tolist(), strict=True):
+        for lo, hi, words, total in zip(first.tolist(), [*first[1:].tolist(), len(item)], covered.tolist(), pairs.tolist(), strict=True):
+            x = int(item[lo])
+            if words < coverage * self.sizes[x]:
+                continue
             if total > PAIRS_AT_ONCE:
                 used = tile_running(h, self.hashes[x], self.n)
             else:
-                mine = np.flatnonzero(self.item[k] == x)
-                seed, place = self.seed[k[mine]], self.place[k[mine]]  # in order of the seeds
-                first, last = np.searchsorted(seed, w[at]), np.searchsorted(seed, w[at], "right")
-                i = np.repeat(at, last - first)
-                j = place[np.repeat(first, last - first) + np.arange(len(i)) - np.repeat(np.cumsum(last - first) - (last - first), last - first)]
-                same = h[i] == self.hashes[x][j]  # hits of the hash are confirmed on the words
+                mine = np.sort(k[by_item[lo:hi]])  # in order of the seeds
+                seed, places = self.seed[mine], self.place[mine]
+                low, high = np.searchsorted(seed, w[at]), np.searchsorted(seed, w[at], "right")
+                i = np.repeat(at, high - low)
+                j = places[np.repeat(low, high - low) + np.arange(len(i)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)]
+                same = h[i] == self.hashes[x][j]  # hits of the rolling hash are confirmed word by word, on the words' 64-bit hashes
                 for step in range(1, self.n):
                     same &= h[i + step] == self.hashes[x][j + step]
                 i, j = i[same], j[same]
@@ -189,13 +198,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rules: TilingRules = TilingRule
     @F.pandas_udf(LEAKS)
     def of(texts: pd.Series) -> pd.Series:
         index = held.value
-        return pd.Series([[{"item": k, "words": w, "of": n} for k, w, n in index.tiled(tokens(t)) if w >= rules.coverage * n] for t in texts])
+        return pd.Series([[{"item": k, "words": w, "of": n} for k, w, n in index.tiled(tokens(t), rules.coverage) if w >= rules.coverage * n] for t in texts])
 
     return without(docs, [to]).withColumn(to, of(F.col(text).cast("string")))
 
 
 def leaks_by_join(docs: DataFrame, benchmark: DataFrame, rules: TilingRules, text: str = "text", item: str = "item_id", item_text: str = "text", to: str = "leaks") -> DataFrame:
-    """As leaks(), for a benchmark of any size: seeds of texts and items meet in a join, each pair found is tiled once."""
+    """As leaks(), for a benchmark of any size: seeds of texts and items meet in a join, each pair found is tiled once.
+
+    Tiles that cover a share of an item's words hold at least a min_match-th of those in seeds of their own, r say. So an
+    item is known by its seeds but for the r - 1 that most texts have: a leak shares one of the others.
+    """
     n = rules.min_match
 
     @F.pandas_udf("array<long>")
@@ -210,17 +223,27 @@ def leaks_by_join(docs: DataFrame, benchmark: DataFrame, rules: TilingRules, tex
             out.append((found[0][1], found[0][2]) if found else (0, 1))
         return pd.DataFrame(out, columns=["words", "of"])
 
-    left = without(docs, [to, "_text", "_a", "_b"])
+    @F.pandas_udf("int")
+    def words(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(tokens(t)) for t in texts], dtype="int32")
+
+    left, names, (text,) = plain_names(without(docs, [to] if to.lower() != text.lower() else []), text)
     key = F.xxhash64(F.lit(1), F.col(text)), F.xxhash64(F.lit(2), F.col(text))  # equal texts have equal leaks
     texts = left.select(key[0].alias("_a"), key[1].alias("_b"), F.col(text).cast("string").alias("_text")).dropDuplicates(["_a", "_b"])
-    items = benchmark.select(F.col(item).cast("string").alias("_item"), F.col(item_text).cast("string").alias("_item_text"))
+    items = staged(benchmark.select(F.col(item).cast("string").alias("_item"), F.col(item_text).cast("string").alias("_item_text")).withColumn("_row", F.monotonically_increasing_id()))
     doc_seeds = staged(texts.select("_a", "_b", F.explode(seeds("_text")).alias("_seed")))
-    item_seeds = items.select("_item", F.explode(seeds("_item_text")).alias("_seed")).groupBy("_seed").agg(F.collect_set("_item").alias("_items"))
-    met = salted_join(doc_seeds, item_seeds, "_seed", "_a", hot=hot_keys(doc_seeds.groupBy("_seed").count()))
-    pairs = met.select("_a", "_b", F.explode("_items").alias("_item")).distinct()
-    found = pairs.join(texts, ["_a", "_b"]).join(items, "_item").withColumn("_t", tiled("_text", "_item_text")).filter(F.col("_t.words") >= rules.coverage * F.col("_t.of"))
-    per = found.groupBy("_a", "_b").agg(F.array_sort(F.collect_list(F.struct(F.col("_item").alias("item"), F.col("_t.words").alias("words"), F.col("_t.of").alias("of")))).alias(to))
-    return left.withColumn("_a", key[0]).withColumn("_b", key[1]).join(per, ["_a", "_b"], "left").withColumn(to, F.coalesce(F.col(to), F.array().cast(LEAKS))).drop("_a", "_b")
+    counts = doc_seeds.groupBy("_seed").agg(F.count(F.lit(1)).alias("count"))
+    item_seeds = items.select("_row", words("_item_text").alias("_words"), F.explode(seeds("_item_text")).alias("_seed"))
+    counts = staged(counts.join(item_seeds.select("_seed").distinct(), "_seed", "left_semi"))
+    spare = F.ceil(F.col("_words") * rules.coverage / n) - 1
+    often = F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("count"), "_seed"))
+    item_seeds = staged(item_seeds.join(counts, "_seed").withColumn("_often", often).filter(F.col("_often") > spare).select("_seed", "_row"))
+    hot = hot_keys(counts.join(item_seeds.select("_seed").distinct(), "_seed", "left_semi"))
+    pairs = salted_join(doc_seeds, item_seeds, "_seed", "_a", hot=hot).select("_a", "_b", "_row").distinct()
+    found = pairs.join(texts, ["_a", "_b"]).join(items, "_row").withColumn("_t", tiled("_text", "_item_text")).filter(F.col("_t.words") >= rules.coverage * F.col("_t.of"))
+    per = found.groupBy("_a", "_b").agg(F.array_sort(F.collect_list(F.struct(F.col("_item").alias("item"), F.col("_t.words").alias("words"), F.col("_t.of").alias("of")))).alias("_leaks"))
+    out = left.withColumn("_a", key[0]).withColumn("_b", key[1]).join(per, ["_a", "_b"], "left")
+    return out.select(*left.columns, F.coalesce("_leaks", F.array().cast(LEAKS)).alias("_leaks")).toDF(*names, to)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rules: TilingRules = TilingRules()) -> DataFrame:

@@ -230,11 +230,41 @@ def test_token_counts(spark):
         assert sorted((r.id or -1, r.n_tokens) for r in got.collect()) == here
 
 
+@pytest.mark.skipif(not tokenizer_there(), reason="no vocabulary here")
+def test_token_counts_of_string_ids(spark):
+    docs = spark.createDataFrame([("a", "one two"), (None, ""), ("a", None)], "name string, text string")
+    got = tokens.token_counts(docs, VOCABULARY, PATTERN, END_OF_DOCUMENT, id="name").collect()
+    assert sorted((str(r.name), r.n_tokens) for r in got) == [("None", 0), ("a", 0), ("a", 2)]
+
+
 def test_flat_files_from_disk(spark, tmp_path):
     a, b = np.array([5, 6, 0, 0, 7, 8, 9], np.uint16), np.array([0, 1, 0], np.uint16)
     (tmp_path / "a.bin").write_bytes(a.tobytes())
     (tmp_path / "b.bin").write_bytes(b.tobytes())
     (tmp_path / "c.bin").write_bytes(b"")
-    for block in (1, 2, 3, 100):
-        rows = tokens.separator_scan(tokens.read_flat(spark, str(tmp_path), block_tokens=block), 0).collect()
+    for block, large in ((1, tokens.LARGE_FILE), (2, 0), (3, 6), (100, tokens.LARGE_FILE), (100, 0)):  # 0 and 6: tasks read stretches of files
+        rows = tokens.separator_scan(tokens.read_flat(spark, str(tmp_path), block_tokens=block, large=large), 0).collect()
         assert sorted((r.file[-5:], r.ordinal, r.start, r.n_tokens) for r in rows) == [("a.bin", 0, 0, 2), ("a.bin", 1, 3, 0), ("a.bin", 2, 4, 3), ("b.bin", 0, 0, 0), ("b.bin", 1, 1, 1)]
+
+
+def test_items_that_open_alike_cost_little_and_lose_nothing(spark, monkeypatch):
+    """Many items with one common opening: texts that share it alone are no candidates, and leaks are found in both ways."""
+    opening = "which of the following statements is true about"
+    items = [(i, f"{opening} {prose(1000 + i, 12)}") for i in range(300)]
+    docs = [(i, f"{prose(i, 30)} {opening} {prose(5000 + i, 30)}") for i in range(40)] + [(100 + i, f"{prose(i, 9)} {items[7 * i][1]} {prose(i, 5)}") for i in range(20)]
+    docs += [(200 + i, " ".join(items[i][1].split()[k] for k in [*range(12, 20), *range(6)]) + " tail") for i in range(10)]  # the parts in another order
+    rows, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for d, t in docs:
+        index = decontaminate.Items([i for i, _ in items], [decontaminate.tokens(x) for _, x in items], 5)
+        want[d] = sorted((str(k), w, n) for k, w, n in index.tiled(decontaminate.tokens(t)) if w >= 0.6 * n)
+    assert sum(map(len, want.values())) >= 20 and not any(want[d] for d in range(40))
+    for found in (decontaminate.leaks(rows, bench), decontaminate.leaks_by_join(rows, bench, decontaminate.TilingRules())):
+        assert {x.doc_id: sorted((leak.item, leak.words, leak.of) for leak in x.leaks) for x in found.collect()} == want
+    import time
+
+    tiles, tile = [], decontaminate.tile
+    monkeypatch.setattr(decontaminate, "tile", lambda *a: tiles.append(1) or tile(*a))
+    many = decontaminate.Items(list(range(8_000)), [decontaminate.tokens(f"{opening} {prose(i, 12)}") for i in range(8_000)], 5)
+    start = time.time()
+    assert many.tiled(decontaminate.tokens(f"one two {opening} three"), 0.6) == [] and not tiles and time.time() - start < 0.5
