@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import partitions, staged
 
-#: Letters that end or begin a piece; every other character of a text in ASCII and these is none.
+#: Letters that end or begin a piece, and bytes of theirs in UTF-8; every other character of a text in ASCII and these is none.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ƿ"
-#: Pieces that a byte-level tokenizer encodes alike alone and in their text: a word with the one blank before it; or what
-#: stands between words, with the word after it where a line break or an apostrophe touches that.
-PIECE = re.compile(rf" ?[{LETTERS}]+|[^{LETTERS}]+(?= [{LETTERS}])|[^{LETTERS}]+(?:(?<=[\t\n\x0b\x0c\r'])[{LETTERS}]+)?")
+LETTER = np.array([b > 127 or chr(b).isalpha() for b in range(256)])
+#: A letter after one of these belongs to the same piece.
+STICKY = np.isin(np.arange(256), list(b"\t\n\x0b\x0c\r'"))
 OTHER = re.compile(r"[^\x00-\x7f\xc0-ƿ]")
 #: Before a blank that follows a visible character a byte-level tokenizer always cuts, whatever stands around.
 SAFE_CUT = re.compile(r"(?<=[!-~À-ƿ])(?= )")
@@ -39,19 +39,39 @@ CHUNK_CHARS = 1 << 14
 #: Pieces of visible characters and blanks that stay apart from line breaks around them.
 LINE = re.compile(r" ?[!-~À-ƿ](?:[\t\x20-~À-ƿ]*[!-~À-ƿ])?")
 LINES_AT_ONCE = 1 << 14
-#: A worker remembers so many pieces of at most so many characters.
-KEPT_PIECES, KEPT_CHARS = 1_000_000, 48
-#: Texts are encoded in groups of about so many characters.
+#: A worker remembers so many pieces of at most so many bytes.
+KEPT_PIECES, KEPT_BYTES = 1_000_000, 48
+#: Texts are encoded in groups of about so many characters, longer ones in parts.
 GROUP_CHARS = 1 << 21
+#: Of hashes of pieces: prefix sums of bytes times powers of an odd number.
+ODD = 0x9E3779B97F4A7C15
+
+
+def piece_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the pieces of the texts in data begin, of which each begins at one of `begins`.
+
+    A byte-level tokenizer encodes each alike alone and in its text: a word with the one blank before it; or what stands
+    between words, with the word after it where a line break or an apostrophe touches that.
+    """
+    letter = LETTER[data]
+    signs = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))  # the signs × and ÷
+    letter[signs] = letter[signs + 1] = False
+    first = np.zeros(len(data), bool)
+    first[begins[begins < len(data)]] = True
+    at = np.flatnonzero(np.concatenate(([True], letter[1:] != letter[:-1])) | first)
+    word = letter[at] & ~first[at]
+    before = data[at - 1]
+    at = (at - (word & (before == 0x20)))[~(word & STICKY[before])]
+    return at[np.concatenate(([True], at[1:] != at[:-1]))]
 
 
 class Encoder:
     """A tokenizer of the tokenizers library that encodes each piece of text once as long as it is remembered.
 
-    Byte-level tokenizers encode the pieces of PIECE (for texts with other characters, stretches between SAFE_CUTs) by
-    themselves, with the same ids as the whole text. When it remembers KEPT_PIECES, new ones are not kept; when most of a
-    group are new, it begins anew. Texts that hold an added token, and all texts of other kinds of
-    tokenizers, are encoded whole.
+    Byte-level tokenizers encode the pieces of a text (see piece_starts; for texts with other characters, stretches between
+    SAFE_CUTs) by themselves, with the same ids as the whole text. Pieces of a group are told apart by hashes, which are
+    confirmed byte by byte, so that each is looked up once. When KEPT_PIECES are remembered, new ones are not kept; when most
+    of a group are new, it begins anew. Texts that hold an added token, and all texts of other kinds of tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -67,14 +87,27 @@ class Encoder:
         self.by_piece = not any("\n" in a for a in self.added) and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not made.get("normalizer") and not made["model"].get("dropout")
         self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[bytes, bytes] = {}
         self.stale = False
+        self.powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+    def power(self, n: int) -> list[np.ndarray]:
+        """The first n powers of ODD and of its inverse."""
+        if len(self.powers[0]) < n:
+            self.powers = [np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(2 * n, x, np.uint64)))) for x in (ODD, pow(ODD, -1, 1 << 64))]
+        return self.powers
+
+    def parts(self, text: str) -> list[str]:
+        """The text itself, or where it is long, parts of it that a tokenizer parts too."""
+        out, at = [], 0
+        while len(text) - at > GROUP_CHARS and (m := SAFE_CUT.search(text, at + GROUP_CHARS // 2)):
+            out.append(text[at : m.start()])
+            at = m.start()
+        return [*out, text[at:]] if at else [text]
 
-    def pieces(self, text: str) -> list[str]:
+    def stretches(self, text: str) -> list[str]:
         if not self.by_piece or any(a in text for a in self.added):
             return [text]
-        if not OTHER.search(text):
-            return PIECE.findall(text)
         out, at = [], 0
         while m := SAFE_CUT.search(text, at + CHUNK_CHARS):
             out.append(text[at : m.start()])
@@ -87,10 +120,10 @@ class Encoder:
         if self.by_piece and len(self.line_break) == 1:
             alone, lines = [], []
             for p in pieces:
-                (lines if len(p) <= KEPT_CHARS and (p.isalpha() or p[1:].isalpha() and p[0] == " " or LINE.fullmatch(p)) else alone).append(p)
+                (lines if len(p) <= KEPT_BYTES and (p.isalpha() or p[1:].isalpha() and p[0] == " " or LINE.fullmatch(p)) else alone).append(p)
             for lo in range(0, len(lines), LINES_AT_ONCE):
                 part = lines[lo : lo + LINES_AT_ONCE]
-                ids = np.array(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, self.dtype)
+                ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.dtype)
                 ends = np.append(np.flatnonzero(ids == self.line_break[0]), len(ids)) * self.dtype.itemsize
                 data, at, starts = ids.tobytes(), ends.tolist(), [0, *(ends[:-1] + self.dtype.itemsize).tolist()]
                 out.update((p, data[i:j]) for p, i, j in zip(part, starts, at, strict=True))
@@ -99,20 +132,68 @@ class Encoder:
             out.update((p, np.array(e.ids, self.dtype).tobytes()) for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes of dtype."""
+    def by_pieces(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that have no other letters and no added token."""
+        coded = [t.encode() for t in texts]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        whole = b"".join(coded)
+        if not whole:
+            return [b""] * len(texts)
+        data, ends = np.frombuffer(whole, np.uint8), np.cumsum(sizes)
+        starts = piece_starts(data, ends - sizes)
+        stops = np.append(starts[1:], len(data))
+        up, down = self.power(len(data))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])))
+        key = (sums[stops] - sums[starts]) * down[starts]
+        _, index, which = np.unique(key, return_index=True, return_inverse=True)
+        shift = np.repeat(starts[index][which] - starts, stops - starts)
+        if not np.array_equal((stops - starts)[index][which], stops - starts) or not np.array_equal(data[np.arange(len(data)) + shift], data):
+            return [x for t in texts for x in (self.by_pieces([t]) if len(texts) > 1 else [self.alone(t)])]  # two pieces of one hash
         if self.stale:
             self.kept, self.stale = {}, False
-        known, cut = self.kept, [self.pieces(t) for t in texts]
-        every = set().union(*cut)
-        new = self.fresh([*every.difference(known)])
+        known, unique = self.kept, [whole[i:j] for i, j in zip(starts[index].tolist(), stops[index].tolist(), strict=True)]
+        found = list(map(known.get, unique))
+        new = [k for k, x in enumerate(found) if x is None]
+        fresh = self.fresh([unique[k].decode() for k in new])
         full = len(known) + len(new) > KEPT_PIECES
-        known.update(new)
-        out = [b"".join(map(known.__getitem__, ps)) for ps in cut]
-        for p in new:
-            if full or len(p) > KEPT_CHARS:
-                del known[p]
-        self.stale = full and 2 * len(new) > len(every)  # what is remembered is of little use here
+        for k in new:
+            found[k] = fresh[unique[k].decode()]
+            if not full and len(unique[k]) <= KEPT_BYTES:
+                known[unique[k]] = found[k]
+        self.stale = full and 2 * len(new) > len(unique)  # what is remembered is of little use here
+        ids, many = np.frombuffer(b"".join(found), self.dtype), np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        first, here = (np.cumsum(many) - many)[which], many[which]
+        upto = np.cumsum(here)
+        tokens = ids[np.arange(upto[-1]) + np.repeat(first - (upto - here), here)]
+        cuts = np.concatenate(([0], upto))[np.searchsorted(starts, np.append(ends - sizes, len(data)))]
+        return [tokens[i:j].tobytes() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def alone(self, text: str) -> bytes:
+        """The ids of a text that is not cut into words."""
+        pieces = self.stretches(text)
+        ids = self.fresh([*dict.fromkeys(pieces)])
+        return b"".join(map(ids.__getitem__, pieces))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes of dtype."""
+        out: list = [None] * len(texts)
+        plain, owner = [], []
+        for k, t in enumerate(texts):
+            if self.by_piece and not OTHER.search(t) and not any(a in t for a in self.added):
+                for part in self.parts(t):
+                    plain.append(part)
+                    owner.append(k)
+            else:
+                out[k] = self.alone(t)
+        lo = 0
+        while lo < len(plain):
+            hi, chars = lo, 0
+            while hi < len(plain) and (hi == lo or chars + len(plain[hi]) <= GROUP_CHARS):
+                chars += len(plain[hi])
+                hi += 1
+            for k, ids in zip(owner[lo:hi], self.by_pieces(plain[lo:hi]), strict=True):
+                out[k] = ids if out[k] is None else out[k] + ids
+            lo = hi
         return out
 
 

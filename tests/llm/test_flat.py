@@ -29,7 +29,20 @@ def test_pieces_encode_as_the_whole():
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(6_000)] + [" 日 a b" * 9_000, "日" * 40_000]
     e = flat.Encoder(TOKENIZER)
     assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == [x[:-1] for x in plain(texts)]
-    assert max(map(len, e.kept)) <= flat.KEPT_CHARS
+    assert max(map(len, e.kept)) <= flat.KEPT_BYTES
+
+
+def test_long_texts_and_hashes_that_meet(monkeypatch):
+    r = random.Random(2)
+    texts = ["".join(r.choice(["word", " ", "\n", ", ", "é×ù", "'s", "  ", "x1"]) for _ in range(n)) for n in (0, 1, 3_000, 40, 900, 2)]
+    want = [x[:-1] for x in plain(texts)]
+    monkeypatch.setattr(flat, "GROUP_CHARS", 500)
+    e = flat.Encoder(TOKENIZER)
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == want
+    assert len(e.parts(texts[2])) > 5 and "".join(e.parts(texts[2])) == texts[2]
+    monkeypatch.setattr(flat, "ODD", 1)  # hashes are sums of bytes now: many meet
+    e = flat.Encoder(TOKENIZER)
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(["ab ba", " ba ab", *texts])] == [x[:-1] for x in plain(["ab ba", " ba ab"])] + want
 
 
 def test_pieces_are_forgotten_in_time(monkeypatch):
