@@ -67,8 +67,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     else:
         salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         out = out.withColumn("_salt", F.pmod(F.xxhash64(id), F.lit(SALTS)).cast("int")).join(salted, ["_source", "_salt"])
-    draw = lambda j: F.size(F.filter("_cdf", lambda c: c <= uniform(seed, j, F.col(id))))
-    many = F.aggregate(F.sequence(F.lit(0), F.col("_draws") - 1), F.lit(0), lambda acc, j: acc + draw(j))
+    # numbers are drawn before they are looked up, so that each digest is made once
+    numbers = F.transform(F.sequence(F.lit(0), F.col("_draws") - 1), lambda j: uniform(seed, j, F.col(id)))
+    many = F.aggregate(numbers, F.lit(0), lambda acc, u: acc + F.size(F.filter("_cdf", lambda c: c <= u)))
     out = out.withColumn("_n", many).filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     out = out.withColumn("shuffle_key", (uniform(seed, F.lit("shuffle"), F.col(id), F.col("copy")) * float(2**52)).cast("long")).select(*columns, "copy", "shuffle_key")
     if not shuffle:
