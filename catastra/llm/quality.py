@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, WORD, windows, without
+from .common import BLANK, WORD, plain_names, windows, without
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -92,8 +92,8 @@ def repetition_quality(docs: DataFrame, text: str = "text", rules: RepetitionRul
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(t, rules) for t in texts], columns=NAMES)
 
-    keep = without(docs, [n for n in [*NAMES, "_q"] if n.lower() != text.lower()])
-    return keep.withColumn("_q", of(F.col(text).cast("string"))).select(*[F.col(f"`{c}`") for c in keep.columns], *[F.col(f"_q.{n}").alias(n) for n in NAMES])
+    keep, names, (text,) = plain_names(without(docs, [n for n in NAMES if n.lower() != text.lower()]), text)
+    return keep.withColumn("_q", of(F.col(text).cast("string"))).select(*keep.columns, *[F.col(f"_q.{n}") for n in NAMES]).toDF(*names, *NAMES)
 
 
 def keep_quality(docs: DataFrame, text: str = "text", rules: RepetitionRules | None = None) -> DataFrame:

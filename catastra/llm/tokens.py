@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import running_totals, staged
+from .common import partitions, running_totals, staged
+from .flat import opened
 
 BLOCK_TOKENS = 1 << 18
 BLOCKS = "file long, block long, first long, tokens binary"
@@ -31,8 +32,9 @@ def write_flat(docs: DataFrame, vocabulary: str, pattern: str, end_of_document:
     """Texts as flat token files cut into blocks that heed no document, and (file, ordinal, id) of the documents in them.
 
     vocabulary: a file of base64 byte pairs and ranks, on every machine; pattern: the words that pairs are merged in.
-    A file is what one task writes. Null and empty texts become a separator alone.
+    A file is what one task writes. Null and empty texts become a separator alone. Ids are of any type.
     """
+    kind = docs.schema[id].dataType.simpleString()
 
     def encode(batches):
         import pyarrow as pa
@@ -41,13 +43,14 @@ def write_flat(docs: DataFrame, vocabulary: str, pattern: str, end_of_document:
         encoding = encoding_of(vocabulary, pattern)
         file, block, first, ordinal = TaskContext.get().partitionId(), 0, 0, 0
         open_, n = [], 0
-        schema = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("tokens", pa.binary()), ("ids", pa.list_(pa.int64()))])
+        schema = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("tokens", pa.binary())])
+        kinds = None
 
         def out(tokens, ids):
-            return pa.RecordBatch.from_pylist([{"file": file, "block": block, "first": first, "tokens": tokens, "ids": ids}], schema=schema)
+            return pa.RecordBatch.from_pylist([{"file": file, "block": block, "first": first, "tokens": tokens, "ids": ids}], schema=schema.append(pa.field("ids", pa.list_(kinds))))
 
         for b in batches:
-            ids = []
+            ids, kinds = [], b.schema.field(0).type
             for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 tokens = np.array([*encoding.encode_ordinary(t.as_py() or ""), end_of_document], dtype)
                 open_.append(tokens)
@@ -68,15 +71,22 @@ def write_flat(docs: DataFrame, vocabulary: str, pattern: str, end_of_document:
         if n:
             yield out(np.concatenate(open_).tobytes(), [])
 
-    rows = staged(docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(encode, f"{BLOCKS}, ids array<long>"))
+    rows = staged(docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(encode, f"{BLOCKS}, ids array<{kind}>"))
     names = rows.filter(F.size("ids") > 0).select("file", F.posexplode("ids").alias("at", "id"), "first").select("file", (F.col("first") + F.col("at")).alias("ordinal"), "id")
     return rows.filter("tokens is not null").select("file", "block", "tokens"), names
 
 
-def read_flat(spark: SparkSession, path: str, dtype: str = "uint16", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks (file, block, tokens) of the raw token files under path, which Spark reads; a file holds under 2 GB."""
+#: Spark hands over no larger file in one value.
+LARGE_FILE = 2_000_000_000
+
+
+def read_flat(spark: SparkSession, path: str, dtype: str = "uint16", block_tokens: int = BLOCK_TOKENS, large: int = LARGE_FILE) -> DataFrame:
+    """Blocks (file, block, tokens) of the raw token files under path.
+
+    Spark reads files of up to `large` bytes. Of larger ones each task reads a stretch itself, through pyarrow's file systems.
+    """
     width = np.dtype(dtype).itemsize * block_tokens
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    files = spark.read.format("binaryFile").load(path)
 
     def cut(frames):
         for pdf in frames:
@@ -84,7 +94,17 @@ def read_flat(spark: SparkSession, path: str, dtype: str = "uint16", block_token
                 for k in range(0, len(data), width):
                     yield pd.DataFrame({"file": [name], "block": [k // width], "tokens": [data[k : k + width]]})
 
-    return files.mapInPandas(cut, "file string, block long, tokens binary")
+    def part(frames):
+        for pdf in frames:
+            for name, k, size in zip(pdf.file, pdf.block, pdf.length, strict=True):
+                with opened(name) as source:
+                    source.seek(k * width)
+                    yield pd.DataFrame({"file": [name], "block": [k], "tokens": [source.read(min(width, size - k * width))]})
+
+    small = files.filter(F.col("length") <= large).select(F.col("path").alias("file"), "content").mapInPandas(cut, "file string, block long, tokens binary")
+    others = files.select(F.col("path").alias("file"), "length").filter(F.col("length") > large)
+    rows = others.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("length") / width) - 1)).alias("block"))
+    return small.unionByName(rows.repartition(partitions(spark), "file", "block").mapInPandas(part, "file string, block long, tokens binary"))
 
 
 def separator_scan(blocks: DataFrame, end_of_document: int, dtype: str = "uint16") -> DataFrame:
@@ -121,7 +141,7 @@ def separator_scan(blocks: DataFrame, end_of_document: int, dtype: str = "uint16
 def token_counts(docs: DataFrame, vocabulary: str, pattern: str, end_of_document: int, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens) of each row of docs: written as flat files, then counted by separator_scan alone.
 
-    Repeated rows are counted each; null and empty texts have 0 tokens; other columns do not matter.
+    Repeated rows are counted each; null and empty texts have 0 tokens; other columns do not matter. Ids are of any type.
     """
     blocks, names = write_flat(docs, vocabulary, pattern, end_of_document, id, text)
     counts = separator_scan(blocks, end_of_document)
