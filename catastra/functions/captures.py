@@ -25,6 +25,7 @@ def without_brand(c: Column) -> Column:
     return folded(F.regexp_replace(or_blank(c), r"(?i)\b(?:Facebook\s*)+", " "))
 
 
+# The patterns of labels, links, posts and posters in the functions from here to poster.
 def without_suffixes(c: Column) -> Column:
     """The label less its publication number, price and place."""
     for p in (r"(?iu),\s*publicaci[oó]n\s*\d+", r"(?i),\s*(?:S/|\$|Gratis)[^,]+", r"(?i),\s*[^,]+,\s*AR$"):

@@ -61,6 +61,7 @@ def scraped_at(date: Column, time: Column, as_of: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(F.concat_ws(" ", date, time), F.lit("yyyy-MM-dd HH:mm:ss")), as_of)
 
 
+# The patterns in the functions from here to date_iso, which say what is a number, a price, an area, a phone, a date.
 def clean_number(raw: Column) -> Column:
     """C-06: commas are thousands; dots too, if three digits follow the last and there is no comma."""
     s = F.regexp_replace(raw, r"\s+", "")
@@ -155,6 +156,7 @@ def title_case_acronyms(c: Column) -> Column:
     return F.array_join(parts, ".")
 
 
+# The words and patterns in the functions from here to registry_currency, of auctions, registry numbers, documents, owners and charges.
 def auction_type(code: Column, label: Column) -> Column:
     """C-25: words of the label before the code."""
     t = strip_accents(F.upper(folded(F.coalesce(label, F.lit("")))))
@@ -254,6 +256,7 @@ def district_matches(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & (x.contains(y) | y.contains(x))
 
 
+# The shapes of links in is_permalink and link_status.
 def is_permalink(url: Column) -> Column:
     """F-16."""
     return F.coalesce(url.rlike(r"/groups/[^/?#]+/(?:posts|permalink|multi_permalink)/\d+|[?&]multi_permalinks=\d+|[?&]set=gm\.\d+|facebook\.com/share/[a-z]/[A-Za-z0-9]+"), F.lit(False))

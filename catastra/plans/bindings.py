@@ -117,7 +117,6 @@ def clean_number(spark, d):
 
 
 def amounts(spark, d) -> DataFrame:
-    cents = F.round(F.col("o_totalprice") * 100).cast("long")
     cents = (F.col("o_totalprice") * 100).cast("decimal(20,6)")
     cents = F.round(cents, 0).cast("long")
     whole, part = F.floor(cents / 100).cast("string"), F.lpad((cents % 100).cast("string"), 2, "0")

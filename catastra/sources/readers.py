@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catastra.sources.schemas import LISTING, SOURCE_ITEM
+from catastra.sources.shared import staged
 
 LOG = logging.getLogger(__name__)
 
@@ -93,11 +94,11 @@ class Registry:
         return spark.createDataFrame(sorted((s.name, s.status) for s in self.sources.values()), "source string, status string")
 
     def search(self, spark: SparkSession, params: dict) -> DataFrame:
-        """All sources' rows; one that fails to plan adds none."""
+        """All sources' rows. Each source is read by itself, into a table of the shared folder, so one that fails, when it is planned or in a task, adds none and takes no other with it."""
         out = nothing(spark, params)
         for s in self.sources.values():
             try:
-                out = out.unionByName(s.search(spark, params))
+                out = out.unionByName(staged(s.search(spark, params)))
             except Exception as e:  # one source's fault is no other's
                 LOG.warning("source %s left out: %s", s.name, e)
         return out

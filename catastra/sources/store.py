@@ -45,6 +45,18 @@ class StoredTable:
         data = f"{self.path}/data"
         return self.spark.read.parquet(data).drop("_part") if exists(self.spark, data) else None
 
+    def get(self, **key) -> DataFrame:
+        """S-03, S-04: the row of a key, if there is one. One part is read, and in it, since parts are sorted, the row groups that may have the key."""
+        data = self.spark.read.parquet(f"{self.path}/data")
+        value = [F.lit(key[k]).cast(data.schema[k].dataType) for k in self.key]
+        same = F.col("_part") == self.part(*value)
+        for k, v in zip(self.key, value, strict=True):
+            same = same & (F.col(k) == v)
+        return data.filter(same).drop("_part")
+
+    def part(self, *key: Column) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(self.parts)).cast("int")
+
     def audit(self) -> DataFrame | None:
         """K-12: (entity, key, action, batch, at) of all batches."""
         path = f"{self.path}/audit"
@@ -59,8 +71,8 @@ class StoredTable:
         """Merges rows and gives the counters inserted, updated and unchanged, of the keys that the batch has. Rows with a null in the key are left out."""
         if (done := self.counters(batch)) is not None:
             return done
-        part = F.pmod(F.xxhash64(*self.key), F.lit(self.parts)).cast("int").alias("_part")
-        new = latest(rows.na.drop(subset=self.key), self.key, [F.col(c) for c in self.order]).select("*", part)
+        new = latest(rows.na.drop(subset=self.key), self.key, [F.col(c) for c in self.order])
+        new = new.select("*", self.part(*[F.col(k) for k in self.key]).alias("_part"))
         old = self.read()
         fields = [c for c in new.columns if c not in self.key and c != "_part"]
         if old is None:
@@ -73,7 +85,7 @@ class StoredTable:
             merged = a.join(b, [*self.key, "_part"], "full").withColumn("_action", action).select(*self.key, "_part", "_action", F.coalesce("_new", "_old").alias("_row")).select(*self.key, "_part", "_action", "_row.*")
         merged = staged(merged.select(*self.key, *fields, "_part", "_action"))  # what is read is written over below
         self.log(merged.filter("_action <> 'unchanged'"), batch, entity)
-        did = written(merged.drop("_action"), f"{self.path}/data", "overwrite", ["_part"], rows=F.count(F.lit(1)))
+        did = written(merged.drop("_action").repartition("_part").sortWithinPartitions("_part", *self.key), f"{self.path}/data", "overwrite", ["_part"], rows=F.count(F.lit(1)))
         counts = merged.agg(*[F.count_if(F.col("_action") == a).alias(a) for a in ("inserted", "updated", "unchanged")]).withColumn("written", F.lit(did["rows"]))
         counts.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/done/batch={batch}")
         return self.counters(batch)

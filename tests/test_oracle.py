@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from catastra.plans import bindings, captured, cases, passes, places, stores  # noqa: F401
+from catastra.plans import bindings, captured, cases, passes, places, readings, stores  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -37,6 +37,9 @@ def test_batches_and_parts(spark, tmp_path):
     again = store.upsert(second, 1)
     assert again["unchanged"] == 2 and sorted(tuple(r) for r in store.read().collect()) == rows
     assert sorted((r.key, r.action, r.batch) for r in store.audit().filter("batch = 1").collect()) == [("7", "updated", 1)]
+    assert [tuple(r) for r in store.get(k=7).collect()] == [(7, 9, "new")] and store.get(k=999).count() == 0
+    plan = store.get(k=7)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_part" in plan and "EqualTo(k,7)" in plan
     assert store.upsert(second.filter("false"), 2) == {"inserted": 0, "updated": 0, "unchanged": 0, "written": 0}
     assert sorted(tuple(r) for r in store.read().collect()) == rows
 
@@ -206,3 +209,16 @@ def test_a_batch_that_is_run_again_replaces_itself(spark, tmp_path):
     spark.range(10).coalesce(1).write.parquet(str(tmp_path / "s"))
     stream = spark.readStream.schema("id long").parquet(str(tmp_path / "s"))
     assert jobs.run_all(stream).count() == jobs.run_all(stream).count() == 10
+
+
+def test_registry_outlives_a_source_that_fails_in_a_task(spark):
+    from catastra.sources.readers import Registry, Source
+    from catastra.sources.schemas import SOURCE_ITEM
+
+    rows = lambda name, n: lambda s, p: s.createDataFrame([(name, str(i), "t", None) for i in range(n)], SOURCE_ITEM)
+    r = Registry()
+    r.register(Source("a", "available", rows("a", 3)))
+    r.register(Source("late", "available", lambda s, p: rows("late", 5)(s, p).withColumn("raw", F.when(F.col("id") == "3", F.raise_error(F.lit("broken"))).otherwise(F.col("raw")))))
+    r.register(Source("plan", "available", lambda s, p: s.table("there is none")))
+    r.register(Source("b", "available", rows("b", 2)))
+    assert sorted(x.source for x in r.search(spark, {}).collect()) == ["a", "a", "a", "b", "b"]
