@@ -98,7 +98,7 @@ def test_words_of_texts(spark, monkeypatch):
 
 
 def test_edges(spark):
-    df = edges(spark)
+    df = edges(spark).filter("doc_id is null or doc_id not in (5, 6)")  # 20,000 words are too many for the loops below
     assert got(variants.spelling_variants(variants.noisy_words(df, least_count=1))) == plain({w: n for w, n in _all(df).items()})
     assert variants.spelling_variants(variants.noisy_words(empty(spark))).collect() == []
     odd = spark.createDataFrame([(None, 3), ("alpha", None), ("alpha", 5), ("alphas", 2)], "word string, n long")
