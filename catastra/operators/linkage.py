@@ -206,7 +206,7 @@ def backfill(cards: DataFrame, stored: DataFrame, prefix: str, least: float = 0.
     rest = c.join(known.select("ordinal"), "ordinal", "left_anti")
     words = rest.select("ordinal", text.title_tokens(F.col("text")).alias("words"))
     pool = open_.filter(F.col("id").like(f"{prefix}_%"))
-    pairs = [token_overlap(words, pool.select("id", text.title_tokens(F.col(x)).alias("words")), "ordinal", "id", "words") for x in ("title", "description")]
+    pairs = [overlaps(words, pool.select("id", text.title_tokens(F.col(x)).alias("words")), "ordinal", "id", "words", least) for x in ("title", "description")]
     best = pairs[0].unionByName(pairs[1]).groupBy("ordinal", "id").agg(F.max("ratio").alias("ratio")).withColumn("feed", F.lit(prefix))
     by_text = greedy(best, "feed", "ordinal", "id", "ratio", least).select("ordinal", F.lit("linked_text").alias("action"), "id")
     same = rest.join(by_text.select("ordinal"), "ordinal", "left_anti").join(stored.filter(F.col("id").like(f"{prefix}_%")).select("id", F.col("url").alias("href")), "href").filter(F.col("id") != F.col("key"))

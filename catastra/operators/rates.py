@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def as_of(left: DataFrame, right: DataFrame, at: str, value: str, by: list[str], grain_s: int = 86_400) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, at: str, value: str, by: list[str], grain_s: int = 3_600) -> DataFrame:
     """left with `value` and `value`_at of the last row of right(by, at, value) that is not later, of the same `by`; null before the first.
 
     Time is cut into stretches of grain_s seconds. Each stretch has its own rows of right in order, and the last one before
-    it, which comes from a row for each stretch; a left row joins the stretch that it lies in. So no row meets those
+    it, which comes from a row for each stretch; a left row joins the stretch that it lies in and looks through its rows, so
+    grain_s should leave some hundred of right in one. So no row meets those
     of other stretches, and a stretch that many left rows lie in is split like any skewed join. Of several right rows at
     one time the greatest value counts; rows of right with a null are left out, rows of left with one find nothing.
     """

@@ -208,7 +208,7 @@ def backfilled_links(spark, d):
     """J-08: customers as cards that give their link to the row of their key, else to the open row that says the same, else show a row of the same link to be a copy."""
     k = F.col("c_custkey")
     n = k.cast("string")
-    said = F.concat(F.lit("terreno codigo"), n, F.lit(" esquina parque"), n)
+    said = F.concat(F.lit("terreno codigo"), n, F.lit(" esquina"), n, F.lit(" parque"), n)
     href = F.when(k % 4 == 3, "#").when(k % 4 == 2, F.concat(F.lit(f"{FB}/groups/9/posts/"), (k + 500000).cast("string"))).otherwise(F.concat(F.lit(f"{FB}/groups/9/posts/"), n))
     c = table(spark, d, "customer")
     cards = c.select(k.alias("ordinal"), F.when(k % 4 == 0, F.concat(F.lit("9_"), n)).otherwise(F.concat(F.lit("k"), n)).alias("key"), href.alias("href"), F.when(k % 4 == 2, F.concat(F.lit("unico"), n)).otherwise(said).alias("text"))
