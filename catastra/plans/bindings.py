@@ -153,7 +153,7 @@ select page_id, case when contains(lower(url), 'example') then 'adondevivir' whe
 case when coalesce(url, '') in ('', '#') then '' when regexp_matches(url, '/groups/[^/?#]+/(?:posts|permalink|multi_permalink)/\\d+|[?&]multi_permalinks=\\d+|[?&]set=gm\\.\\d+|facebook\\.com/share/[a-z]/[A-Za-z0-9]+') then 'permalink' when contains(url, '/search/?q=') then 'search' when contains(url, '/groups/') then 'group_root' else 'direct' end as link_status
 from pages""".replace("\\\\", "\\"))
 def source_and_link(spark, d):
-    """C-02, C-14, F-16 on the addresses of pages."""
+    """F-16 on the addresses of pages, with a rule of its own for their kind."""
     p = table(spark, d, "pages")
     s = F.lower("url")
     kind = F.when(s.contains("example"), "adondevivir").when(s.contains("org"), "urbania").when(F.col("url").contains("_"), "facebook_group").otherwise("facebook_marketplace")
@@ -306,7 +306,7 @@ def content_hash_resolution(spark, d):
 
 @bound(f"select action, count(*) as n from ({RESOLVED}) group by 1")
 def ingest_summary(spark, d):
-    """A-13, K-12, A-16."""
+    """A-13."""
     return resolved(spark, d).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -345,7 +345,7 @@ with t as (select l_orderkey, {STATUS} as s from lineitem),
 g as (select l_orderkey, count(*) as total, count(*) filter (where s in ('completed', 'failed', 'skipped', 'unavailable', 'blocked', 'requires_manual_action')) as settled, count(*) filter (where s = 'failed') as failed, count(*) filter (where s in ('requires_manual_action', 'blocked', 'unavailable')) as warnings from t group by 1)
 select *, case when settled < total then 'running' when failed > 0 then 'partial' else 'completed' end as case_status from g""")
 def case_progress(spark, d):
-    """A-06, T-06."""
+    """A-06."""
     return research.progress(table(spark, d, "lineitem").select("l_orderkey", F.expr(STATUS).alias("status")), "l_orderkey", "status")
 
 

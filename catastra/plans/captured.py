@@ -35,7 +35,7 @@ KEYS = ["av-1", "urb-2", "12_34", "99", None, ""]
 with t as (select o_orderkey, lower(coalesce({pick_sql("o_orderkey", SOURCES)}, '')) as s, coalesce({pick_sql("o_orderkey", KEYS, 5)}, '') as k from orders)
 select o_orderkey, case when contains(s, 'adondevivir') or k like 'av-%' then 'adondevivir' when contains(s, 'urbania') or k like 'urb-%' then 'urbania' when contains(s, 'grupo') or contains(k, '_') then 'facebook_group' else 'facebook_marketplace' end as source_type from t""")
 def source_types(spark, d):
-    """C-02, F-04."""
+    """C-02."""
     k = F.col("o_orderkey")
     return table(spark, d, "orders").select("o_orderkey", text.source_type(pick(k, SOURCES), pick(k, KEYS, 5)).alias("source_type"))
 
@@ -157,13 +157,26 @@ def edges_sql(graph) -> str:
     return ", ".join(f"'{a}>{b}'" for a, bs in graph.items() for b in bs)
 
 
-TASKS, CASES = list(research.TASK_EDGES), list(research.CASE_EDGES)
+# The steps that tasks and cases may take, and the kinds of their states.
+TASK_STEPS = """
+('pending','running'), ('pending','completed'), ('pending','failed'), ('pending','requires_manual_action'), ('pending','blocked'), ('pending','unavailable'), ('pending','skipped'),
+('running','completed'), ('running','failed'), ('running','requires_manual_action'), ('running','blocked'), ('running','unavailable'), ('running','skipped'),
+('requires_manual_action','running'), ('requires_manual_action','pending'), ('requires_manual_action','completed'),
+('blocked','running'), ('blocked','pending'), ('blocked','unavailable'), ('failed','running'), ('failed','pending'), ('unavailable','running'), ('unavailable','pending')"""
+CASE_STEPS = """
+('pending','queued'), ('pending','running'), ('pending','completed'), ('pending','partial'), ('pending','failed'),
+('created','queued'), ('created','running'), ('created','completed'), ('created','partial'), ('created','failed'),
+('queued','running'), ('queued','completed'), ('queued','partial'), ('queued','failed'),
+('running','completed'), ('running','partial'), ('running','failed'), ('running','cancelled')"""
+TASK_STATES = ["pending", "running", "completed", "failed", "requires_manual_action", "blocked", "unavailable", "skipped"]
+CASE_STATES = ["pending", "created", "queued", "running", "completed", "partial", "failed", "cancelled"]
+TASKS, CASES = TASK_STATES, CASE_STATES
 
 
 @bound(f"""
 with t as (select event_id, user_id, {pick_sql("event_id", TASKS, 3)} as task, {pick_sql("event_id", CASES, 5)} as state from events),
 s as (select *, lag(task) over w as pt, lag(state) over w as ps from t window w as (partition by user_id order by event_id))
-select event_id, pt is null or pt = task or pt || '>' || task in ({edges_sql(research.TASK_EDGES)}) as task_valid, ps is null or ps = state or ps || '>' || state in ({edges_sql(research.CASE_EDGES)}) as case_valid from s""")
+select event_id, pt is null or pt = task or (pt, task) in ({TASK_STEPS}) as task_valid, ps is null or ps = state or (ps, state) in ({CASE_STEPS}) as case_valid from s""")
 def graph_steps(spark, d):
     """T-01, T-03, W-05: steps of tasks and cases against their graphs."""
     k = F.col("event_id")
@@ -188,21 +201,6 @@ def steps_sql(status: str) -> str:
     return f"select user_id as k, row_number() over (partition by user_id order by event_id) as i, {status} as new, ts::timestamp as at from events"
 
 
-# The steps that tasks and cases may take, and the kinds of their states.
-TASK_STEPS = """
-('pending','running'), ('pending','completed'), ('pending','failed'), ('pending','requires_manual_action'), ('pending','blocked'), ('pending','unavailable'), ('pending','skipped'),
-('running','completed'), ('running','failed'), ('running','requires_manual_action'), ('running','blocked'), ('running','unavailable'), ('running','skipped'),
-('requires_manual_action','running'), ('requires_manual_action','pending'), ('requires_manual_action','completed'),
-('blocked','running'), ('blocked','pending'), ('blocked','unavailable'), ('failed','running'), ('failed','pending'), ('unavailable','running'), ('unavailable','pending')"""
-CASE_STEPS = """
-('pending','queued'), ('pending','running'), ('pending','completed'), ('pending','partial'), ('pending','failed'),
-('created','queued'), ('created','running'), ('created','completed'), ('created','partial'), ('created','failed'),
-('queued','running'), ('queued','completed'), ('queued','partial'), ('queued','failed'),
-('running','completed'), ('running','partial'), ('running','failed'), ('running','cancelled')"""
-TASK_STATES = ["pending", "running", "completed", "failed", "requires_manual_action", "blocked", "unavailable", "skipped"]
-CASE_STATES = ["pending", "created", "queued", "running", "completed", "partial", "failed", "cancelled"]
-
-
 def history_sql(steps: str, edges: str, first: str, settled: str, done: str, retryable: str) -> str:
     """A recursion over steps(k, i, new, at, err): each step from the row before."""
     return f"""
