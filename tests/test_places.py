@@ -79,3 +79,13 @@ def test_known_keys(spark):
     df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, body string, image string")
     got = {r.i: r.k for r in df.select("i", captures.synthetic_key(F.col("body"), F.col("image")).alias("k")).collect()}
     assert got == {i: key(*x) for i, x in enumerate(rows)}
+
+
+def test_many_rates_of_one_hour(spark):
+    """Questions and rates of one stretch of time meet in order, not each with all."""
+    n = 40_000
+    right = spark.range(n).select(F.lit("a").alias("k"), F.timestamp_millis(F.col("id") * 90).alias("at"), F.col("id").cast("double").alias("rate"))
+    left = spark.range(n).select("id", F.lit("a").alias("k"), F.timestamp_millis(F.col("id") * 90 + 89).alias("at"))
+    out = rates.as_of(left, right, "at", "rate", ["k"])
+    assert "collect_set" not in out._jdf.queryExecution().toString()
+    assert out.filter("rate = id").count() == n
