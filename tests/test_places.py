@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -89,3 +90,13 @@ def test_many_rates_of_one_hour(spark):
     out = rates.as_of(left, right, "at", "rate", ["k"])
     assert "collect_set" not in out._jdf.queryExecution().toString()
     assert out.filter("rate = id").count() == n
+
+
+def test_copies_of_names_and_of_queries(spark):
+    """20,000 places and 20,000 queries of the same words make no pairs of rows."""
+    n, began = 20_000, time.monotonic()
+    places = spark.range(n).select((n - 1 - F.col("id")).alias("place"), F.lit("Selva Alegre").alias("name"))
+    queries = spark.range(n).select(F.col("id").alias("query"), F.when(F.col("id") % 2 == 0, "al sel").otherwise("sel ALE").alias("text"))
+    out = geo.search_places(queries, places).groupBy("place", "exact", "rank").count().orderBy("rank").collect()
+    assert [tuple(r) for r in out] == [(i, 0, i + 1, n) for i in range(5)]
+    assert time.monotonic() - began < 40
