@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -25,19 +27,51 @@ class Policy:
     failed_count: int = 500
 
 
+class Kept:
+    """Finished jobs that are remembered: those that succeeded and those that failed, oldest first."""
+
+    def __init__(self, policy: Policy, jobs: list) -> None:
+        self.most = {True: (policy.completed_age_ms, policy.completed_count), False: (policy.failed_age_ms, policy.failed_count)}
+        self.jobs = {True: [], False: []}
+        for job, ok, at in jobs:
+            self.jobs[ok].append((job, ok, at))
+
+    def add(self, job: str, ok: bool, at: int) -> None:
+        insort(self.jobs[ok], (job, ok, at), key=itemgetter(2))
+        for good, (age, most) in self.most.items():
+            mine = self.jobs[good]
+            del mine[: max(bisect_left(mine, at - age, key=itemgetter(2)), len(mine) - most, 0)]
+
+    def all(self) -> list:
+        return sorted([*self.jobs[True], *self.jobs[False]], key=itemgetter(2))
+
+
 class Tries(StatefulProcessor):
-    """Of each key: `waiting`, jobs to be tried again and when; `kept`, finished jobs, oldest first."""
+    """Of each key: `waiting`, jobs to be tried again and when; `kept`, finished jobs, oldest first.
+
+    Both are read once and written once for all jobs of a key that a batch brings or whose time has come, and one timer stands
+    for the earliest of those that wait, so calls to the store do not grow with the jobs.
+    """
 
     def __init__(self, work: Callable[[str, int], bool], policy: Policy, key: str) -> None:
         self.work, self.policy, self.key = work, policy, key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "job string", "attempt int, due long")
+        self.waiting = handle.getListState("waiting", "job string, attempt int, due long")
         self.kept = handle.getValueState("kept", "jobs array<struct<job:string,ok:boolean,at:bigint>>")
 
-    def try_it(self, key: tuple, job: str, attempt: int, at: int, upto: int) -> Iterator[Row]:
-        """Tries the job, and again as long as the next time is not after `upto`; beyond that a timer takes over."""
+    def load(self) -> tuple[Kept, list]:
+        return Kept(self.policy, [tuple(x) for x in self.kept.get()[0]] if self.kept.exists() else []), [tuple(x) for x in self.waiting.get()]
+
+    def remember(self, job: str, ok: bool, at: int) -> None:
+        """One job that is finished elsewhere."""
+        kept = Kept(self.policy, [tuple(x) for x in self.kept.get()[0]] if self.kept.exists() else [])
+        kept.add(job, ok, at)
+        self.kept.update((kept.all(),))
+
+    def try_it(self, key: tuple, job: str, attempt: int, at: int, upto: int, kept: Kept, later: list) -> Iterator[Row]:
+        """Tries the job, and again as long as the next time is not after `upto`; beyond that it goes to `later`, for a timer."""
         while True:
             try:
                 ok = bool(self.work(job, attempt))
@@ -46,37 +80,42 @@ class Tries(StatefulProcessor):
             last = ok or attempt >= self.policy.attempts
             yield Row(**{self.key: key[0], "job": job, "attempt": attempt, "ok": ok, "last": last, "at_ms": at})
             if last:
-                self.remember(job, ok, at)
+                kept.add(job, ok, at)
                 return
             at += self.policy.wait_ms << (attempt - 1)
             attempt += 1
             if at > upto:
-                self.waiting.updateValue((job,), (attempt, at))
-                self.handle.registerTimer(at)
+                later.append((job, attempt, at))
                 return
 
-    def remember(self, job: str, ok: bool, at: int) -> None:
-        p, kept = self.policy, [tuple(x) for x in self.kept.get()[0]] if self.kept.exists() else []
-        kept = sorted([*kept, (job, ok, at)], key=lambda x: x[2])
-        for good, age, most in ((True, p.completed_age_ms, p.completed_count), (False, p.failed_age_ms, p.failed_count)):
-            mine = [x for x in kept if x[1] == good and x[2] >= at - age][-most:]
-            kept = [x for x in kept if x[1] != good or x in mine]
-        self.kept.update((kept,))
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        done = {x[0] for x in self.kept.get()[0]} if self.kept.exists() else set()
-        seen = set()
+        (kept, waiting), now, later = self.load(), timerValues.getCurrentWatermarkInMs(), []
+        seen = {x[0] for x in kept.all()} | {x[0] for x in waiting}
         for r in rows:
-            if r.job not in done and r.job not in seen and not self.waiting.containsKey((r.job,)):
+            if r.job not in seen:
                 seen.add(r.job)
-                yield from self.try_it(key, r.job, 1, r.at_ms, timerValues.getCurrentWatermarkInMs())
+                yield from self.try_it(key, r.job, 1, r.at_ms, now, kept, later)
+        if kept.all():
+            self.kept.update((kept.all(),))
+        if later:
+            self.waiting.appendList(later)
+            self.handle.registerTimer(min(x[2] for x in later))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        for (job,), (attempt, due) in list(self.waiting.iterator()):
-            if due <= expiredTimerInfo.getExpiryTimeInMs():
-                self.waiting.removeKey((job,))
-                yield from self.try_it(key, job, attempt, due, now)
+        (kept, waiting), now = self.load(), timerValues.getCurrentWatermarkInMs()
+        due = sorted((x for x in waiting if x[2] <= now), key=itemgetter(2, 0))
+        if not due:
+            return
+        later = [x for x in waiting if x[2] > now]
+        for job, attempt, at in due:
+            yield from self.try_it(key, job, attempt, at, now, kept, later)
+        if kept.all():
+            self.kept.update((kept.all(),))
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(min(x[2] for x in later))
+        else:
+            self.waiting.clear()
 
 
 def tried(jobs: DataFrame, key: str, job: str, at: str, work: Callable[[str, int], bool], policy: Policy = Policy(), late: str = "0 seconds") -> DataFrame:

@@ -204,6 +204,47 @@ def test_finished_jobs_are_kept_by_age_and_number():
     assert [x[0] for x in t.kept.get()[0]] == ["f4", "c5", "f5", "late"]
 
 
+def test_calls_to_the_store_do_not_grow_with_the_jobs():
+    class Store:
+        def __init__(self, value):
+            self.value, self.calls = value, 0
+
+        def exists(self):
+            return bool(self.value)
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, v):
+            self.calls, self.value = self.calls + 1, v
+
+        def put(self, v):
+            self.calls, self.value = self.calls + 1, v
+
+        def appendList(self, v):
+            self.calls, self.value = self.calls + 1, [*self.value, *v]
+
+        def clear(self):
+            self.calls, self.value = self.calls + 1, []
+
+    class Times:
+        registerTimer = staticmethod(lambda at: timers.append(at))
+
+    def now(ms):
+        return type("T", (), {"getCurrentWatermarkInMs": staticmethod(lambda: ms)})
+
+    timers, n = [], 500
+    t = retries.Tries(lambda job, attempt: int(job) % 2 == 0 or attempt > 1, retries.Policy(attempts=2, wait_ms=10), "k")
+    t.kept, t.waiting, t.handle = Store(()), Store([]), Times()
+    jobs_ = [type("R", (), {"job": str(i), "at_ms": i}) for i in range(n)]
+    assert sum(x["last"] for x in t.handleInputRows(("a",), iter(jobs_), now(0))) == n // 2 and timers == [11]
+    assert list(t.handleInputRows(("a",), iter(jobs_[1::2]), now(0))) == []
+    done = [x for at in timers for x in t.handleExpiredTimer(("a",), now(10**6), None)]
+    assert [x["job"] for x in done] == [str(i) for i in range(1, n, 2)] and all(x["last"] and x["ok"] for x in done)
+    assert t.waiting.value == [] and t.kept.calls + t.waiting.calls < 20
+
+
 def test_a_batch_that_is_run_again_replaces_itself(spark, tmp_path):
     """R-03, R-05: the same files through run_all's writer twice."""
     spark.range(10).coalesce(1).write.parquet(str(tmp_path / "s"))
