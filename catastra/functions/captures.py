@@ -56,13 +56,15 @@ def card_parts(label: Column) -> Column:
 
 def post_link(raw: Column, group: Column) -> Column:
     """C-15: struct(post, url) of a link in one of seven shapes, or null."""
-    r = F.when(or_blank(raw).isin("", "#"), None).otherwise(raw)
-    got = lambda p, k: blank_to_null(F.regexp_extract(r, p, k))
-    owner, post = got(r"/groups/([^/?#]+)/(?:posts|permalink|multi_permalink)/([\w.-]+)", 1), got(r"/groups/([^/?#]+)/(?:posts|permalink|multi_permalink)/([\w.-]+)", 2)
-    asked = F.coalesce(got(r"[?&]story_fbid=(\d+)(?:&|#|$)", 1), got(r"[?&]multi_permalinks=(\d+)(?:&|#|$)", 1), got(r"/photo(?:\.php)?\?(?:[^#]*&)?set=gm\.(\d+)", 1))
-    shared = got(r"/share/[pvg]/([A-Za-z0-9_-]+)", 1)
-    url = F.when(post.isNotNull(), F.concat(F.lit(f"{BASE}/groups/"), owner, F.lit("/posts/"), post)).when(asked.isNotNull(), F.concat(F.lit(f"{BASE}/groups/"), group, F.lit("/posts/"), asked)).when(shared.isNotNull(), F.concat(F.lit(f"{BASE}/share/p/"), shared))
-    return F.when(url.isNotNull(), F.struct(F.coalesce(post, asked, shared).alias("post"), url.alias("url")))
+    # what is blank or a mark has none of these; each pattern is looked for once
+    got = lambda p, k=1: blank_to_null(F.regexp_extract(raw, p, k))
+    of_group = r"/groups/([^/?#]+)/(?:posts|permalink|multi_permalink)/([\w.-]+)"
+    asked = F.coalesce(got(r"[?&]story_fbid=(\d+)(?:&|#|$)"), got(r"[?&]multi_permalinks=(\d+)(?:&|#|$)"), got(r"/photo(?:\.php)?\?(?:[^#]*&)?set=gm\.(\d+)"))
+    shared = F.concat(F.lit(f"{BASE}/share/p/"), got(r"/share/[pvg]/([A-Za-z0-9_-]+)"))
+    mine = text.let(asked, lambda a: F.when(a.isNotNull(), F.concat(F.lit(f"{BASE}/groups/"), group, F.lit("/posts/"), a)).otherwise(shared))
+    url = F.coalesce(F.concat(F.lit(f"{BASE}/groups/"), got(of_group, 1), F.lit("/posts/"), got(of_group, 2)), mine)
+    # none of the posts has a slash
+    return text.let(url, lambda u: F.when(u.isNotNull(), F.struct(F.substring_index(u, "/", -1).alias("post"), u.alias("url"))))
 
 
 def post_url(raw: Column, group: Column) -> Column:
@@ -72,7 +74,8 @@ def post_url(raw: Column, group: Column) -> Column:
     mine = F.concat(F.lit(r"/groups/\Q"), group, F.lit(r"\E/(?:posts|permalink|multi_permalink)/(\d+)"))
     own = blank_to_null(F.call_function("regexp_extract", or_blank(raw), mine, F.lit(1)))
     post = F.coalesce(own, post)
-    return F.when(post.isNotNull(), F.concat(F.lit(f"{BASE}/groups/"), group, F.lit("/posts/"), post)).otherwise(got(r"(https?://www\.facebook\.com/share/[a-z]/[A-Za-z0-9]+)"))
+    shared = got(r"(https?://www\.facebook\.com/share/[a-z]/[A-Za-z0-9]+)")
+    return text.let(post, lambda p: F.when(p.isNotNull(), F.concat(F.lit(f"{BASE}/groups/"), group, F.lit("/posts/"), p)).otherwise(shared))
 
 
 def post_from_attribute(data: Column) -> Column:

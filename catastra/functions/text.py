@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,7 +20,13 @@ ADDRESS_STOP = ["de", "del", "la", "las", "el", "los", "y", "en", "av", "avenida
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(c, F.lit(""))
+    """c is computed once; nullif computes it twice in branches and lambdas, and nested calls double that each time."""
+    return F.get(F.array_remove(F.array(c), F.lit("")), F.lit(0))
+
+
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) for an f that uses c several times: c is computed once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def trimmed(c: Column) -> Column:

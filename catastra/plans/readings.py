@@ -28,7 +28,7 @@ def link_readings(spark, d):
     shapes = [F.concat(F.lit("/groups/77/posts/"), id), F.concat(F.lit("https://m.facebook.com/groups/88/permalink/"), id, F.lit("/?ref=1")), F.concat(F.lit("/story.php?story_fbid="), id, F.lit("&id=3")), F.concat(F.lit("/x?a=1&multi_permalinks="), id), F.concat(F.lit("/photo?fbid=3&set=gm."), id), F.concat(F.lit(f"{FB}/share/v/Ab"), id), F.lit("/groups/77/"), F.lit("#")]
     raw = F.element_at(F.array(*shapes), (n % 8 + 1).cast("int"))
     rows = table(spark, d, "lineitem").select(k.alias("k"), n.alias("n"), raw.alias("raw"))
-    p = captures.post_link(F.col("raw"), F.lit("77"))
+    rows, p = rows.withColumn("p", captures.post_link(F.col("raw"), F.lit("77"))), F.col("p")
     return rows.select("k", "n", p["post"].alias("post"), p["url"].alias("url"), captures.post_url(F.col("raw"), F.lit("77")).alias("best"), text.link_status(F.col("raw")).alias("status"))
 
 
