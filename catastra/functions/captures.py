@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catastra.functions import rules, text
-from catastra.functions.text import blank_to_null, folded, strip_accents, trimmed
+from catastra.functions.text import BLANK_RANGES, blank_to_null, folded, strip_accents, trimmed
 
 BASE = "https://www.facebook.com"
 # Words that a search for a listing leaves out.
@@ -91,20 +91,27 @@ def post_from_markup(html: Column, most: int = 100_000) -> Column:
 
 
 def utf16(c: Column) -> Column:
-    """The UTF-16 units of a text, as hexadecimal numbers of four digits."""
-    return F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    """The UTF-16 units of a text, as numbers. Without characters of two units these are the characters' own numbers."""
+    coded = F.encode(c, "UTF-16BE")
+    wide = F.transform(F.regexp_extract_all(F.hex(coded), F.lit("[0-9A-F]{4}"), F.lit(0)), lambda u: F.conv(u, 16, 10).cast("long"))
+    plain = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    return F.when(F.octet_length(coded) == F.length(c) * 2, plain).otherwise(wide)
 
 
 def hash32(units: Column) -> Column:
     """31 h + unit over all units, wrapping at 32 bits, signed."""
-    h = F.aggregate(units, F.lit(0).cast("long"), lambda h, u: (h * 31 + F.conv(u, 16, 10).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)
+    h = F.aggregate(units, F.lit(0).cast("long"), lambda h, u: (h * 31 + u).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return text.let(h, lambda h: F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h))
 
 
 def synthetic_key(body: Column, image: Column) -> Column:
     """C-18: a stable key for a card without one: the 32-bit hash, in base 36, of 400 units of its text in lower case with blanks folded, its length and its image."""
     length = F.octet_length(F.encode(or_blank(body), "UTF-16BE")) / 2
-    units = F.concat(F.slice(utf16(F.lower(folded(or_blank(body)))), 1, 400), utf16(F.concat(F.lit("|"), length.cast("long").cast("string"), F.lit("|"), or_blank(image))))
+    # the first 400 units stand in the first 400 characters, and those in a stretch with one mark more; the whole is put in lower case, since a letter's may hang on the next
+    low = F.lower(F.replace(or_blank(body), F.lit("\ufeff"), F.lit(" ")))
+    head = F.regexp_extract(low, f"^[{BLANK_RANGES}]*+(?:[^{BLANK_RANGES}][{BLANK_RANGES}]*+){{0,401}}+", 0)
+    start = text.let(F.substring(folded(head), 1, 400), utf16)
+    units = F.concat(F.slice(start, 1, 400), text.let(F.concat(F.lit("|"), length.cast("long").cast("string"), F.lit("|"), or_blank(image)), utf16))
     return F.concat(F.lit("p_"), F.lower(F.conv(F.abs(hash32(units)).cast("string"), 10, 36)))
 
 

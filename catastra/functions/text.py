@@ -15,6 +15,8 @@ MARKED = "".join(c for c, d in DECOMPOSED.items() if len(d) > 1 and len(d.strip(
 PLAIN = "".join(DECOMPOSED[c][0] for c in MARKED)
 #: JavaScript's white space, for trimming and folding (trap 3).
 BLANKS = " \t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: The same as ranges of a pattern's class.
+BLANK_RANGES = r" \t-\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Words of an address that do not tell two apart.
 ADDRESS_STOP = ["de", "del", "la", "las", "el", "los", "y", "en", "av", "avenida", "calle", "jr", "jiron", "jirón", "urb", "urbanizacion", "urbanización", "mz", "manzana", "lote", "lt", "n", "nro", "numero", "número", "s/n", "sn", "piso", "dpto", "departamento", "asentamiento", "humano", "pueblo", "joven", "asoc", "asociacion", "asociación", "coop", "cooperativa"]
 
