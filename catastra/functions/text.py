@@ -124,10 +124,10 @@ def first_line(text: Column, least: int = 8) -> Column:
 
 def date_iso(raw: Column) -> Column:
     """C-10: dd/MM/yyyy to ISO; only the ranges of day and month are tested. What is ISO stays as it is."""
-    m = lambda k: F.regexp_extract(raw, r"^\s*(\d{2})/(\d{2})/(\d{4})\s*$", k)
-    day, month = m(1).try_cast("int"), m(2).try_cast("int")
-    iso = blank_to_null(F.regexp_extract(raw, r"^\s*(\d{4}-\d{2}-\d{2})\s*$", 1))
-    return F.coalesce(iso, F.when(day.between(1, 31) & month.between(1, 12), F.concat_ws("-", m(3), m(2), m(1))))
+    part = lambda d, at, n: F.substring(d, at, n)
+    day = lambda d: F.when(part(d, 1, 2).cast("int").between(1, 31) & part(d, 4, 2).cast("int").between(1, 12), F.concat_ws("-", part(d, 7, 4), part(d, 4, 2), part(d, 1, 2)))
+    found = blank_to_null(F.regexp_extract(raw, r"^\s*(\d{2}/\d{2}/\d{4}|\d{4}-\d{2}-\d{2})\s*$", 1))
+    return F.when(raw.isNotNull(), let(found, lambda d: F.when(part(d, 3, 1) == "/", day(d)).otherwise(d)))
 
 
 def last_separator_number(raw: Column) -> Column:
@@ -168,16 +168,15 @@ def title_case_acronyms(c: Column) -> Column:
 # The words and patterns in the functions from here to registry_currency, of auctions, registry numbers, documents, owners and charges.
 def auction_type(code: Column, label: Column) -> Column:
     """C-25: words of the label before the code."""
-    t = strip_accents(F.upper(folded(F.coalesce(label, F.lit("")))))
     k = trimmed(F.coalesce(code, F.lit("")))
-    return (F.when(t.contains("SEGUNDA"), "segunda_convocatoria").when(t.contains("TERCERA"), "tercera_convocatoria").when(t.contains("SUBASTA"), "subasta").when(t.contains("REMATE SIMPLE"), "remate_simple")
-            .when(k == "1", "remate_simple").when(k == "2", "segunda_convocatoria").when(k == "3", "tercera_convocatoria").when(k == "4", "subasta").otherwise("desconocido"))
+    by_code = let(k, lambda k: F.when(k == "1", "remate_simple").when(k == "2", "segunda_convocatoria").when(k == "3", "tercera_convocatoria").when(k == "4", "subasta").otherwise("desconocido"))
+    said = lambda t: F.when(t.contains("SEGUNDA"), "segunda_convocatoria").when(t.contains("TERCERA"), "tercera_convocatoria").when(t.contains("SUBASTA"), "subasta").when(t.contains("REMATE SIMPLE"), "remate_simple")
+    return F.coalesce(let(strip_accents(F.upper(folded(F.coalesce(label, F.lit(""))))), said), by_code)
 
 
 def place(raw: Column) -> Column:
     """C-26: struct(display, key)."""
-    t = blank_to_null(folded(raw))
-    return F.when(t.isNotNull(), F.struct(title_case(t).alias("display"), strip_accents(F.upper(t)).alias("key")))
+    return let(blank_to_null(folded(raw)), lambda t: F.when(t.isNotNull(), F.struct(title_case(t).alias("display"), strip_accents(F.upper(t)).alias("key"))))
 
 
 def registry_number(raw: Column, office: str = "110") -> Column:

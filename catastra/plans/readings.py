@@ -9,7 +9,7 @@ from catastra.operators import html, linkage, resolve, views
 from catastra.operators import search as listing
 from catastra.plans.bindings import bound, table
 from catastra.sources import readers, sinks
-from catastra.sources.shared import shared_path
+from catastra.sources.shared import shared_path, staged
 from catastra.sources.store import written
 
 FB = "https://www.facebook.com"
@@ -101,10 +101,11 @@ def carousel_slides(spark, d):
     first = part('<li class="ui-galleria-panel x"><span class="text-bold"> ', F.when(k % 2 == 0, "Segunda Convocatoria").otherwise("Remate Simple"), ' </span><i class="fa fa-map-marker"></i> ', F.col("n_name"), '\n<div class="fecha"><i class="c"></i> ', F.date_format("o_orderdate", "dd/MM/yyyy"), "</div>", info, '<a onclick="f({pa:[', pair("convocatoria", k + 1), ",", pair("remate", k), ']})"></a></li>')
     second = F.when(k % 5 == 0, part('<li class="ui-galleria-panel"><span class="text-bold">Subasta</span><i class="fa fa-map-marker"></i>', F.col("n_name"), " X\n", pair("remate", k + 1000000000), "</li>")).otherwise("")
     slides = html.auction_panels(rows.select(k.alias("page"), F.concat(F.lit("<ul>"), first, second, F.lit("</ul>")).alias("html")), "page", "html")
+    slides = staged(slides)
     items = html.slide_items(slides.select("remate", "convocatoria", "tipoLabel", "ubicacion", "fecha"))
     typed = views.auction_slides(slides.select(F.col("remate").alias("auction"), F.col("convocatoria").alias("call"), F.lit("").alias("code"), F.col("tipoLabel").alias("label"), F.col("ubicacion").alias("place"), F.col("fechaISO").alias("date_iso"), F.col("fecha").alias("date"), F.col("esUltimoDiaInscripcion").alias("last_day"), "info", F.lit(None).cast("string").alias("amount"), "page", "panel"))
-    titles = slides.select("page", "panel", F.concat_ws(" · ", "tipoLabel", "ubicacion", "fecha").alias("title"), F.coalesce("remate", "convocatoria").cast("long").alias("auction_id")).join(items.select(F.col("id").cast("long").alias("auction_id"), "title").distinct(), ["auction_id", "title"])
-    return views.slides_of(typed, " á ").join(titles, "auction_id").select("page", F.col("panel").cast("int").alias("panel"), "auction_id", "call_id", "kind", "place_key", "date", "last_day", "title")
+    titles = slides.select("page", "panel", F.concat_ws(" · ", "tipoLabel", "ubicacion", "fecha").alias("title"), F.coalesce("remate", "convocatoria").cast("long").alias("auction_id")).join(items.select(F.col("id").cast("long").alias("auction_id"), "title").distinct().hint("merge"), ["auction_id", "title"])
+    return views.slides_of(typed, " á ").join(titles.hint("merge"), "auction_id").select("page", F.col("panel").cast("int").alias("panel"), "auction_id", "call_id", "kind", "place_key", "date", "last_day", "title")
 
 
 @bound("""
