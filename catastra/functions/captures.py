@@ -217,35 +217,35 @@ def provenance(source: Column, url: Column, at: Column, confidence: str = "mediu
     return F.struct(F.coalesce(source, F.lit("manual")).alias("source"), url.alias("source_url"), at.alias("retrieved_at"), F.lit(confidence).alias("confidence"), F.lit(verification).alias("verification"), F.lit(parser).alias("parser_version"))
 
 
-def first_field(m: Column, names: list[str]) -> Column:
-    """C-34: of a map of strings, the first of these fields that is not blank."""
-    return F.coalesce(*[blank_to_null(trimmed(F.element_at(m, F.lit(n)))) for n in names])
+def name(c: Column) -> Column:
+    """Of a text that is null or not blank."""
+    return F.when(c.isNotNull(), text.title_case_acronyms(folded(c)))
 
 
-def name(c: Column) -> Column:
-    return blank_to_null(text.title_case_acronyms(folded(c)))
+def read_fields(items: Column, **names: list[str]) -> Column:
+    """C-34: of an array of maps of strings, the first of each list of fields that is not blank, as structs. Each value is trimmed and sought once, so that what follows may use it several times."""
+    said = F.transform(items, lambda m: F.map_filter(F.transform_values(m, lambda k, v: trimmed(v)), lambda k, v: v != ""))
+    return F.transform(said, lambda m: F.struct(*[F.coalesce(*[F.element_at(m, F.lit(x)) for x in n]).alias(k) for k, n in names.items()]))
 
 
 def owners(items: Column) -> Column:
     """C-34, F-18: an array of maps as owners that say something (a name, a document or its kind)."""
-    f = first_field
-    out = F.transform(items, lambda m: F.struct(name(f(m, ["ownerName", "nombre", "name", "titular"])).alias("name"), text.owner_type(f(m, ["ownerType", "tipo", "type"])).alias("type"), text.document_type(f(m, ["documentType", "tipoDocumento"])).alias("document_type"),
-                                                folded(f(m, ["documentNumber", "numeroDocumento", "documento"])).alias("document"), text.ownership_percentage(f(m, ["ownershipPercentage", "porcentaje", "percentage"])).alias("percentage"), text.date_iso(f(m, ["registeredDate", "fechaInscripcion", "fecha"])).alias("registered")))
+    raw = read_fields(items, name=["ownerName", "nombre", "name", "titular"], type=["ownerType", "tipo", "type"], document_type=["documentType", "tipoDocumento"], document=["documentNumber", "numeroDocumento", "documento"], percentage=["ownershipPercentage", "porcentaje", "percentage"], registered=["registeredDate", "fechaInscripcion", "fecha"])
+    out = F.transform(raw, lambda r: F.struct(name(r["name"]).alias("name"), text.owner_type(r["type"]).alias("type"), text.document_type(r["document_type"]).alias("document_type"), folded(r["document"]).alias("document"), text.ownership_percentage(r["percentage"]).alias("percentage"), text.date_iso(r["registered"]).alias("registered")))
     return F.filter(out, lambda o: o["name"].isNotNull() | o["document"].isNotNull() | (o["document_type"] != "other"))
 
 
 def charges(items: Column) -> Column:
     """C-34, F-18."""
-    f = first_field
-    out = F.transform(items, lambda m: F.struct(text.charge_type(f(m, ["chargeType", "tipo", "type"])).alias("type"), folded(f(m, ["description", "descripcion"])).alias("description"), text.last_separator_number(f(m, ["amount", "monto"])).alias("amount"), text.registry_currency(f(m, ["currency", "moneda"])).alias("currency"),
-                                                name(f(m, ["creditor", "acreedor", "beneficiario"])).alias("creditor"), text.date_iso(f(m, ["registeredDate", "fechaInscripcion", "fecha"])).alias("registered"), text.is_active(f(m, ["isActive", "vigente", "estado"])).alias("active")))
+    raw = read_fields(items, type=["chargeType", "tipo", "type"], description=["description", "descripcion"], amount=["amount", "monto"], currency=["currency", "moneda"], creditor=["creditor", "acreedor", "beneficiario"], registered=["registeredDate", "fechaInscripcion", "fecha"], active=["isActive", "vigente", "estado"])
+    out = F.transform(raw, lambda r: F.struct(text.charge_type(r["type"]).alias("type"), folded(r["description"]).alias("description"), text.last_separator_number(r["amount"]).alias("amount"), text.registry_currency(r["currency"]).alias("currency"), name(r["creditor"]).alias("creditor"), text.date_iso(r["registered"]).alias("registered"), text.is_active(r["active"]).alias("active")))
     return F.filter(out, lambda c: (c["type"] != "other") | c["description"].isNotNull() | c["amount"].isNotNull() | c["creditor"].isNotNull())
 
 
 def titles(items: Column) -> Column:
     """C-34, F-18."""
-    f = first_field
-    out = F.transform(items, lambda m: F.struct(folded(f(m, ["titleNumber", "numeroTitulo", "titulo"])).alias("number"), text.date_iso(f(m, ["titleDate", "fechaTitulo", "fecha"])).alias("date"), folded(f(m, ["titleType", "tipoTitulo", "tipo"])).alias("type"), name(f(m, ["notary", "notario"])).alias("notary"), folded(f(m, ["description", "descripcion"])).alias("description")))
+    raw = read_fields(items, number=["titleNumber", "numeroTitulo", "titulo"], date=["titleDate", "fechaTitulo", "fecha"], type=["titleType", "tipoTitulo", "tipo"], notary=["notary", "notario"], description=["description", "descripcion"])
+    out = F.transform(raw, lambda r: F.struct(folded(r["number"]).alias("number"), text.date_iso(r["date"]).alias("date"), folded(r["type"]).alias("type"), name(r["notary"]).alias("notary"), folded(r["description"]).alias("description")))
     return F.filter(out, lambda t: F.coalesce(t["number"], t["date"], t["type"], t["notary"], t["description"]).isNotNull())
 
 

@@ -182,12 +182,11 @@ def place(raw: Column) -> Column:
 def registry_number(raw: Column, office: str = "110") -> Column:
     """C-29: struct(ok, number, digits, area): P and separators go; an office prefix of ten digits or more goes; eight digits, padded."""
     t = F.regexp_replace(F.regexp_replace(F.upper(trimmed(F.coalesce(raw, F.lit("")))), r"\s+", ""), r"^P[.\-_]?", "")
-    d = only_digits(t)
-    prefixed = (F.length(d) >= 10) & d.startswith(office)
-    core = F.when(prefixed, F.substring(d, 4, 1_000)).otherwise(d)
-    ok = (d != "") & (F.length(core) <= 8)
-    padded = F.lpad(core, 8, "0")
-    return F.struct(ok.alias("ok"), F.when(ok, F.concat(F.lit("P-"), padded)).alias("number"), F.when(ok, padded).alias("digits"), F.when(prefixed, office).alias("area"))
+    prefixed = lambda d: (F.length(d) >= 10) & d.startswith(office)
+    core = lambda d: F.when(prefixed(d), F.substring(d, 4, 1_000)).otherwise(d)
+    ok = lambda d: (d != "") & (F.length(core(d)) <= 8)
+    padded = lambda d: F.lpad(core(d), 8, "0")
+    return let(only_digits(t), lambda d: F.struct(ok(d).alias("ok"), F.when(ok(d), F.concat(F.lit("P-"), padded(d))).alias("number"), F.when(ok(d), padded(d)).alias("digits"), F.when(prefixed(d), office).alias("area")))
 
 
 def link_number(raw: Column) -> Column:
@@ -198,13 +197,13 @@ def link_number(raw: Column) -> Column:
 def document_type(raw: Column) -> Column:
     """C-31."""
     t = strip_accents(F.upper(trimmed(F.coalesce(raw, F.lit("")))))
-    return F.when(t == "DNI", "DNI").when(t == "RUC", "RUC").when((t == "CE") | t.rlike("CARN.E|CARNET"), "CE").when(t.rlike("PASAPORTE|PASS"), "PASAPORTE").otherwise("other")
+    return F.when(raw.isNull(), "other").when(t == "DNI", "DNI").when(t == "RUC", "RUC").when((t == "CE") | t.rlike("CARN.E|CARNET"), "CE").when(t.rlike("PASAPORTE|PASS"), "PASAPORTE").otherwise("other")
 
 
 def owner_type(raw: Column) -> Column:
     """C-31."""
     t = strip_accents(F.upper(trimmed(F.coalesce(raw, F.lit("")))))
-    return F.when(t.rlike("NATURAL|FISICA"), "persona_natural").when(t.rlike(r"JURIDICA|SOC\.|S.A\.?C|S\.?R\.?L|S\.?A\.?$|EMPRESA|SOCIEDAD|ESTADO|MUNICIPALIDAD|BANCO"), "persona_juridica").otherwise("desconocido")
+    return F.when(raw.isNull(), "desconocido").when(t.rlike("NATURAL|FISICA"), "persona_natural").when(t.rlike(r"JURIDICA|SOC\.|S.A\.?C|S\.?R\.?L|S\.?A\.?$|EMPRESA|SOCIEDAD|ESTADO|MUNICIPALIDAD|BANCO"), "persona_juridica").otherwise("desconocido")
 
 
 def charge_type(raw: Column) -> Column:
@@ -230,10 +229,10 @@ def registry_currency(raw: Column) -> Column:
 
 def ownership_percentage(raw: Column) -> Column:
     """C-32: a share of at most one without a percent sign is a fraction."""
-    m = lambda k: F.regexp_extract(trimmed(raw), r"(?i)^([\d.,]+)\s*(%|por ciento)?$", k)
-    n = F.replace(m(1), F.lit(","), F.lit(".")).try_cast("double")
-    v = F.when(m(2) != "", n).when((n > 0) & (n <= 1), n * 100).otherwise(n)
-    return F.when(v.between(0, 100), F.round(v, 2))
+    p = r"(?i)^([\d.,]+)\s*(%|por ciento)?$"
+    share = lambda x: F.when(x["unit"] != "", x["n"]).when((x["n"] > 0) & (x["n"] <= 1), x["n"] * 100).otherwise(x["n"])
+    read = lambda t: F.struct(F.replace(F.regexp_extract(t, p, 1), F.lit(","), F.lit(".")).try_cast("double").alias("n"), F.regexp_extract(t, p, 2).alias("unit"))
+    return F.when(raw.isNotNull(), let(let(let(trimmed(raw), read), share), lambda v: F.when(v.between(0, 100), F.round(v, 2))))
 
 
 def address(*parts: Column) -> Column:
